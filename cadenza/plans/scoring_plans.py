@@ -1 +1,76 @@
-"""Plans (filled in below)."""
+"""Scoring plans on ``lineitem`` (quantity, discount, tax -> price)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cadenza.operators import scoring as SC
+from cadenza.plans.registry import plan
+from cadenza.tables import table
+
+COEF = {"l_quantity": 1200.5, "l_discount": -3000.0, "l_tax": 500.25}
+INTERCEPT = 10.0
+FLAG = ("l_returnflag", {"A": 5.0, "N": 0.0, "R": -5.0})
+
+
+def _scored(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return li.withColumn("predicted", SC.linear_score(COEF, INTERCEPT, FLAG))
+
+
+@plan("score_linear", """
+SELECT l_orderkey, l_linenumber, l_partkey,
+       round(10.0 + 1200.5 * l_quantity + -3000.0 * l_discount + 500.25 * l_tax
+             + CASE l_returnflag WHEN 'R' THEN -5.0 WHEN 'N' THEN 0.0 WHEN 'A' THEN 5.0 ELSE 0.0 END, 6) AS predicted
+FROM lineitem""")
+def score_linear(spark, sf):
+    return _scored(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey",
+                                     F.round("predicted", 6).alias("predicted"))
+
+
+@plan("train_regression", """
+SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
+       round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
+       regr_count(l_extendedprice, l_quantity) AS n_rows
+FROM lineitem GROUP BY l_returnflag""")
+def train_regression(spark, sf):
+    r = SC.regression_line(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"])
+    return r.select("l_returnflag", F.round("slope", 4).alias("slope"),
+                    F.round("intercept", 4).alias("intercept"), "n_rows")
+
+
+_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+          "l_extendedprice"]
+
+
+@plan("batch_payload", f"""
+WITH s AS (SELECT *, floor((10.0 + 1200.5 * l_quantity + -3000.0 * l_discount + 500.25 * l_tax
+             + CASE l_returnflag WHEN 'R' THEN -5.0 WHEN 'N' THEN 0.0 WHEN 'A' THEN 5.0 ELSE 0.0 END) * 100 + 0.5) / 100
+             AS predicted
+           FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY {', '.join(_ORDER)}) AS rn FROM s)
+SELECT l_returnflag, CAST(floor((rn - 1) / 100) AS BIGINT) AS batch_no, count(*) AS n_rows,
+       round(avg(predicted), 6) AS mean_score,
+       to_json(list(predicted ORDER BY rn)) AS predictions_json,
+       to_json(list(l_orderkey ORDER BY rn)) AS songs_json
+FROM n GROUP BY l_returnflag, floor((rn - 1) / 100)""")
+def batch_payload(spark, sf):
+    # cents rounded half up with plain IEEE arithmetic (same in every engine)
+    s = _scored(spark, sf).withColumn("predicted", F.floor(F.col("predicted") * 100 + 0.5) / 100)
+    b = SC.batch_result(s, "l_returnflag", _ORDER, "l_orderkey", "predicted", batch_size=100)
+    return b.select("l_returnflag", F.col("batch_no").cast("long").alias("batch_no"), "n_rows",
+                    F.round("mean_score", 6).alias("mean_score"),
+                    F.to_json("payload.predictions").alias("predictions_json"),
+                    F.to_json("payload.songs").alias("songs_json"))
+
+
+@plan("train_score_ml")
+def train_score_ml(spark, sf):
+    """Spark ML pipeline (one-hot flag + numeric features -> linear
+    regression) fitted and applied on the whole table; iterative fitting
+    has no SQL twin."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount",
+                                             "l_tax", "l_returnflag", "l_extendedprice")
+    model = SC.train(li, ["l_quantity", "l_discount", "l_tax", "l_returnflag"], "l_extendedprice",
+                     categorical=["l_returnflag"])
+    return SC.score(li, model).select("l_orderkey", "l_linenumber", "predicted")
