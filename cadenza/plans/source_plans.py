@@ -1 +1,52 @@
-"""Plans (filled in below)."""
+"""Scan, copy, append, recency and sampling plans."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
+from cadenza.plans.registry import plan
+from cadenza.sources import files as FS
+from cadenza.sources import synth as SY
+from cadenza.tables import table
+
+
+@plan("table_dump", "SELECT * FROM nation")
+def table_dump(spark, sf):
+    return table(spark, sf, "nation")
+
+
+@plan("copy_count", "SELECT r_regionkey, r_name FROM region")
+def copy_count(spark, sf):
+    # the row count is observed while the rows stream to the sink
+    return table(spark, sf, "region").observe(Observation("copy_count"), F.count(F.lit(1)).alias("rows"))
+
+
+@plan("recent_rows", """
+SELECT o_orderkey, o_orderdate FROM orders
+WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 1 DAY""")
+def recent_rows(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    newest = o.agg(F.max("o_orderdate")).scalar()
+    return FS.recent(o, "o_orderdate", dt.timedelta(days=1), now=newest)
+
+
+@plan("history_append", """
+SELECT event_id, ts, value, 'WEBAPP' AS source FROM events WHERE event_type = 'purchase'
+UNION ALL
+SELECT event_id, ts, value, 'SCHEDULED' AS source FROM events WHERE event_type = 'click'""")
+def history_append(spark, sf):
+    e = table(spark, sf, "events")
+    existing = e.filter(F.col("event_type") == "purchase").select(
+        "event_id", "ts", "value", F.lit("WEBAPP").alias("source"))
+    new = e.filter(F.col("event_type") == "click").select(
+        "event_id", "ts", "value", F.lit("SCHEDULED").alias("source"))
+    return existing.unionByName(new)
+
+
+@plan("split_samples")
+def split_samples(spark, sf):
+    """Four independent ~1/4 samples of ``part`` (random: rows-only check)."""
+    return SY.split_samples(table(spark, sf, "part").select("p_partkey", "p_name"), 4, seed=7)
