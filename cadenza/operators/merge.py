@@ -41,6 +41,11 @@ def duplicate_report(df: DataFrame, key: list[str], by: list[str] | None = None)
             .withColumn("n_removed", F.col("n_rows") - F.col("n_unique")))
 
 
+def latest_per_key(df: DataFrame, key: list[str], order: list) -> DataFrame:
+    """One row per key: the last by ``order``."""
+    return _pick(df, key, order, latest=True)
+
+
 def upsert_latest(target: DataFrame, updates: DataFrame, key: list[str], order: list) -> DataFrame:
     """Upsert as "latest row per key wins" over the union of both sides."""
     return _pick(target.unionByName(updates, allowMissingColumns=True), key, order, latest=True)

@@ -224,7 +224,7 @@ def write_routed(routed: DataFrame, out_dir: str, fmt: str = "csv") -> None:
     written by few tasks; a hot destination still spreads over the
     partitions that hold it (no single-task funnel)."""
     w = (routed.drop(FAILED) if FAILED in routed.columns else routed)
-    w = w.repartition("route", "dest_name") if w.rdd.getNumPartitions() > 1 else w
+    w = w.repartition("route", "dest_name")
     writer = w.write.mode("overwrite").partitionBy("route", "dest_name")
     if fmt == "csv":
         writer.option("header", True).csv(out_dir)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,10 +68,15 @@ def scan_tracks(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
 
 
 def scan_corrupt(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Malformed-line tolerant typed read: (parsed rows, corrupt lines)."""
+    """Malformed-line tolerant typed read: (parsed rows, corrupt lines).
+
+    Spark refuses queries that touch only the corrupt-record column of a
+    raw scan, so the parsed frame is persisted (memory and disk) once and
+    both halves read from it."""
     schema = track_schema(corrupt_col=CORRUPT)
     df = (_csv(spark).schema(schema).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
-          .withColumn("file_name", F.col("_metadata.file_name")))
+          .withColumn("file_name", F.col("_metadata.file_name"))
+          .persist(StorageLevel.MEMORY_AND_DISK))
     bad = F.col(CORRUPT).isNotNull()
     return df.filter(~bad).drop(CORRUPT), df.filter(bad).select("file_name", CORRUPT)
 

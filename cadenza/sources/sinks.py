@@ -60,15 +60,20 @@ def write_snapshot(df: DataFrame, table_dir: str, version: int, buckets: int | N
     return path
 
 
-def read_latest(spark: SparkSession, table_dir: str) -> tuple[DataFrame | None, int]:
+def read_latest(spark: SparkSession, table_dir: str,
+                below: int | None = None) -> tuple[DataFrame | None, int]:
     """(newest snapshot, its version); (None, -1) when there is none.
+    ``below`` ignores versions >= it (a replayed batch re-reads the state
+    it started from).
 
-    The version list is read from partition discovery of ``v=`` folders
-    (metadata only, no data is scanned)."""
+    The version list comes from a file listing (metadata only, no data is
+    scanned)."""
     try:
-        versions = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
-                    .load(table_dir).select(F.regexp_extract("path", r"/v=(\d+)/", 1).cast("int").alias("v"))
-                    .agg(F.max("v")).first()[0])
+        v = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+             .load(table_dir).select(F.regexp_extract("path", r"/v=(\d+)/", 1).cast("int").alias("v")))
+        if below is not None:
+            v = v.filter(F.col("v") < below)
+        versions = v.agg(F.max("v")).first()[0]
     except Exception:  # noqa: BLE001 - missing folder means no table yet
         return None, -1
     if versions is None:
