@@ -95,20 +95,35 @@ def split_by(evaluated: DataFrame, failed_col: str = FAILED) -> tuple[DataFrame,
     return evaluated.filter(m), evaluated.filter(~m)
 
 
-def _fail_count_cols(suite: list[Expectation], failed_col: str) -> list[Column]:
-    return [F.count_if(F.array_contains(F.col(failed_col), e.name)).alias(f"_fail_{i}")
-            for i, e in enumerate(suite)]
+def rule_checks(df: DataFrame, suite: list[Expectation]) -> list[Column]:
+    """The suite's pass conditions as plain boolean columns."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return [e.passes(types[e.column]) for e in suite]
 
 
-def file_stats(evaluated: DataFrame, suite: list[Expectation], by: str | list[str],
+def file_stats(df: DataFrame, suite: list[Expectation], by: str | list[str],
                failed_col: str = FAILED) -> DataFrame:
     """Per file: total / valid / invalid rows, failing rows per rule and
-    the number of failed rules per error class (``error_counts`` map)."""
+    the number of failed rules per error class (``error_counts`` map).
+
+    The rule conditions are counted directly (no per-row array), all in
+    one partial aggregate. ``df`` may or may not carry the ``failed``
+    column of :func:`evaluate`."""
     by = [by] if isinstance(by, str) else list(by)
-    agg = (evaluated.groupBy(*by)
+    if all(e.column in df.columns for e in suite):
+        checks = rule_checks(df, suite)
+        valid = F.lit(True)
+        for c in checks:
+            valid = valid & c
+        fails = [F.count_if(~c).alias(f"_fail_{i}") for i, c in enumerate(checks)]
+    else:
+        valid = row_valid(failed_col)
+        fails = [F.count_if(F.array_contains(F.col(failed_col), e.name)).alias(f"_fail_{i}")
+                 for i, e in enumerate(suite)]
+    agg = (df.groupBy(*by)
            .agg(F.count(F.lit(1)).alias("total_rows"),
-                F.count_if(row_valid(failed_col)).alias("valid_rows"),
-                *_fail_count_cols(suite, failed_col)))
+                F.count_if(valid).alias("valid_rows"),
+                *fails))
     per_class = []
     for cls in ERROR_CLASSES:
         idx = [i for i, e in enumerate(suite) if e.error_class == cls]
@@ -202,11 +217,18 @@ def route(evaluated: DataFrame, suite: list[Expectation], file_col: str,
     name; AQE broadcasts it when its measured size is small and otherwise
     splits a skewed file's partition in the sort-merge join.
     """
+    if failed_col in evaluated.columns:
+        ok = row_valid(failed_col)
+    else:
+        ok = F.lit(True)
+        for c in rule_checks(evaluated, suite):
+            ok = ok & c
+    evaluated = evaluated.withColumn("_ok", ok)
     counts = (evaluated.groupBy(file_col)
               .agg(F.count(F.lit(1)).alias("_total"),
-                   F.count_if(row_valid(failed_col)).alias("_valid")))
+                   F.count_if(F.col("_ok")).alias("_valid")))
     j = evaluated.join(counts, file_col, "inner")
-    ok = row_valid(failed_col)
+    ok = F.col("_ok")
     name = F.col(file_col).cast("string")
     dest = (F.when(F.col("_valid") == F.col("_total"), F.lit("good"))
             .when(F.col("_valid") == 0, F.lit("bad"))
@@ -214,7 +236,8 @@ def route(evaluated: DataFrame, suite: list[Expectation], file_col: str,
     dest_name = (F.when((F.col("_valid") == F.col("_total")) | (F.col("_valid") == 0), name)
                  .when(ok, F.concat(F.lit("valid_"), name))
                  .otherwise(F.concat(F.lit("invalid_"), name)))
-    return j.withColumn("route", dest).withColumn("dest_name", dest_name).drop("_total", "_valid")
+    return (j.withColumn("route", dest).withColumn("dest_name", dest_name)
+            .drop("_total", "_valid", "_ok"))
 
 
 def write_routed(routed: DataFrame, out_dir: str, fmt: str = "csv") -> None:

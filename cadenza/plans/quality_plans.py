@@ -28,8 +28,12 @@ def lineitem_checked(spark, sf):
     return q.evaluate(li, LINEITEM_SUITE)
 
 
+def lineitem_rows(spark, sf):
+    return table(spark, sf, "lineitem").withColumn("l_discount_n", F.expr("nullif(l_discount, 0.0)"))
+
+
 def lineitem_stats(spark, sf):
-    return q.file_stats(lineitem_checked(spark, sf), LINEITEM_SUITE, FILE)
+    return q.file_stats(lineitem_rows(spark, sf), LINEITEM_SUITE, FILE)
 
 
 _PASS_SQL = """
@@ -147,13 +151,11 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag,
        {_ROW_FAILED_SQL} AS failed_rules
 FROM e""")
 def dq_row_mask(spark, sf):
+    # one pass: the mask and its complement are the two values of is_valid
     ev = lineitem_checked(spark, sf)
-    valid, invalid = q.split_by(ev)
-    cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", FILE]
-    # the complement is exact: every row lands in exactly one half
-    return (valid.select(*cols, F.lit(True).alias("is_valid"), F.lit("").alias("failed_rules"))
-            .unionByName(invalid.select(*cols, F.lit(False).alias("is_valid"),
-                                        F.array_join(q.FAILED, ",").alias("failed_rules"))))
+    return ev.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", FILE,
+                     q.row_valid().alias("is_valid"),
+                     F.array_join(q.FAILED, ",").alias("failed_rules"))
 
 
 @plan("dq_route", f"""
@@ -165,7 +167,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, e.l_returnflag,
             ELSE 'invalid_' || e.l_returnflag END AS dest_name
 FROM e JOIN c ON e.l_returnflag = c.l_returnflag""")
 def dq_route(spark, sf):
-    return (q.route(lineitem_checked(spark, sf), LINEITEM_SUITE, FILE)
+    return (q.route(lineitem_rows(spark, sf), LINEITEM_SUITE, FILE)
             .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", FILE, "route", "dest_name"))
 
 
@@ -183,7 +185,7 @@ def _part_text_stats(spark, sf):
     p = table(spark, sf, "part").select(
         "p_type", "p_name", F.col("p_brand").alias("brand_text"),
         F.col("p_size").cast("string").alias("size_text"))
-    return q.file_stats(q.evaluate(p, PART_TEXT_SUITE), PART_TEXT_SUITE, "p_type")
+    return q.file_stats(p, PART_TEXT_SUITE, "p_type")
 
 
 _INT_TEXT = "regexp_matches({c}, '^\\s*[+-]?[0-9]+\\s*$') AND TRY_CAST({c} AS BIGINT) BETWEEN -2147483648 AND 2147483647"
@@ -231,7 +233,7 @@ def dq_file_outcome(spark, sf):
     suite = [E("between", "o_totalprice", (1000, 400000))]
     name = F.concat(F.lit("file_"), F.col("o_custkey").cast("string")).alias("file_name")
     rows = table(spark, sf, "orders").select(name, "o_totalprice")
-    stats = q.file_stats(q.evaluate(rows, suite), suite, "file_name")
+    stats = q.file_stats(rows, suite, "file_name")
     files = table(spark, sf, "customer").select(
         F.concat(F.lit("file_"), F.col("c_custkey").cast("string")).alias("file_name"))
     return q.file_outcomes(files, stats, "file_name")
