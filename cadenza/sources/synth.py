@@ -73,10 +73,10 @@ def synth_tracks(spark: SparkSession, n: int, seed: int = 0, files: int = 10,
 
 def split_samples(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` independent random samples of about 1/n of the rows each
-    (they may overlap), tagged with ``part`` = 1..n."""
-    parts = [df.sample(withReplacement=False, fraction=1.0 / n, seed=seed + i)
-             .withColumn("part", F.lit(i + 1)) for i in range(n)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    (they may overlap), tagged with ``part`` = 1..n.
+
+    One scan: every row draws ``n`` independent Bernoulli(1/n) trials in
+    a single projection and is emitted once per trial it wins."""
+    frac = 1.0 / n
+    wins = F.array_compact(F.array(*[F.when(F.rand(seed + i) < frac, F.lit(i + 1)) for i in range(n)]))
+    return df.withColumn("part", F.explode(wins))
