@@ -133,8 +133,9 @@ def describe_row(genre, danceability, tempo) -> Column:
 
 
 def parse_day(col) -> Column:
-    """``YYYY-MM-DD`` text to a timestamp at midnight; bad text -> null."""
-    return F.try_to_timestamp(_c(col), F.lit("yyyy-MM-dd"))
+    """``YYYY-MM-DD`` text to a (time-zone free) timestamp at midnight;
+    bad text -> null."""
+    return F.try_to_timestamp(_c(col), F.lit("yyyy-MM-dd")).cast("timestamp_ntz")
 
 
 def to_json_col(*cols) -> Column:

@@ -122,7 +122,7 @@ def top_k_neighbours(items: DataFrame, id_col: str, vec_col: str, k: int,
     w = Window.partitionBy("qid").orderBy(F.col("rank_key").desc(), F.col("rid"))
     return (part.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= k)
-            .select("qid", "rank", "rid", "score"))
+            .select("qid", F.col("rank").cast("long").alias("rank"), "rid", "score"))
 
 
 def nearest(items: DataFrame, id_col: str, vec_col: str, **kw) -> DataFrame:

@@ -108,7 +108,7 @@ def template_text(spark, sf):
 
 @plan("json_roundtrip", """
 SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
-       to_json({'event_id': event_id, 'k': CAST(json_extract(props, '$.k') AS INTEGER), 'event_type': event_type}) AS payload
+       CAST(to_json({'event_id': event_id, 'k': CAST(json_extract(props, '$.k') AS INTEGER), 'event_type': event_type}) AS VARCHAR) AS payload
 FROM events""")
 def json_roundtrip(spark, sf):
     e = table(spark, sf, "events").select(

@@ -79,8 +79,8 @@ def dq_file_stats(spark, sf):
 
 @plan("dq_error_counts", _STATS_CTE + """
 SELECT l_returnflag, missing_values, invalid_types, out_of_range, invalid_format, other_errors,
-       to_json(map(['missing_values','invalid_types','out_of_range','invalid_format','other_errors'],
-                   [missing_values, invalid_types, out_of_range, invalid_format, other_errors])) AS error_counts_json
+       CAST(to_json(map(['missing_values','invalid_types','out_of_range','invalid_format','other_errors'],
+                   [missing_values, invalid_types, out_of_range, invalid_format, other_errors])) AS VARCHAR) AS error_counts_json
 FROM st""")
 def dq_error_counts(spark, sf):
     return q.error_counts(lineitem_stats(spark, sf), FILE)

@@ -31,7 +31,7 @@ def score_linear(spark, sf):
 @plan("train_regression", """
 SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
        round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
-       regr_count(l_extendedprice, l_quantity) AS n_rows
+       CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n_rows
 FROM lineitem GROUP BY l_returnflag""")
 def train_regression(spark, sf):
     r = SC.regression_line(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"])
@@ -51,8 +51,8 @@ WITH s AS (SELECT *, floor((10.0 + 1200.5 * l_quantity + -3000.0 * l_discount +
 n AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY {', '.join(_ORDER)}) AS rn FROM s)
 SELECT l_returnflag, CAST(floor((rn - 1) / 100) AS BIGINT) AS batch_no, count(*) AS n_rows,
        round(avg(predicted), 6) AS mean_score,
-       to_json(list(predicted ORDER BY rn)) AS predictions_json,
-       to_json(list(l_orderkey ORDER BY rn)) AS songs_json
+       CAST(to_json(list(predicted ORDER BY rn)) AS VARCHAR) AS predictions_json,
+       CAST(to_json(list(l_orderkey ORDER BY rn)) AS VARCHAR) AS songs_json
 FROM n GROUP BY l_returnflag, floor((rn - 1) / 100)""")
 def batch_payload(spark, sf):
     # cents rounded half up with plain IEEE arithmetic (same in every engine)
