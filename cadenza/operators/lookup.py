@@ -40,16 +40,21 @@ def lookup_first(requests: DataFrame, catalogue: DataFrame, name_col: str,
 
 def lookup_or_error(requests: DataFrame, catalogue: DataFrame, name_col: str,
                     order_col: str, result_cols: list[str], req_col: str = "request",
-                    error_text: str = NOT_FOUND) -> DataFrame:
+                    error_text: str = NOT_FOUND, display_fill: str | None = None) -> DataFrame:
     """Every distinct request with its result columns, or an error text
-    when the name is unknown (left outer join)."""
+    when the name is unknown (left outer join). ``display_fill`` (e.g.
+    "N/A") renders every result column as text with missing values
+    filled, for display tables."""
     first = first_by_name(catalogue.select(name_col, order_col, *result_cols),
                           name_col, order_col)
     j = (requests.select(req_col).distinct()
          .join(first, F.col(req_col) == F.col(name_col), "left"))
     found = F.col(name_col).isNotNull()
-    return j.select(req_col, found.alias("found"),
-                    *[F.col(c) for c in [order_col] + result_cols],
+    shown = [F.col(c) for c in [order_col] + result_cols]
+    if display_fill is not None:
+        shown = [F.coalesce(c.cast("string"), F.lit(display_fill)).alias(n)
+                 for c, n in zip(shown, [order_col] + result_cols)]
+    return j.select(req_col, found.alias("found"), *shown,
                     F.when(found, F.lit(None).cast("string")).otherwise(F.lit(error_text)).alias("error"))
 
 

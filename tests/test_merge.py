@@ -42,7 +42,7 @@ def test_ordinal_matches_row_number_on_skewed_groups(spark):
 
 
 def _loop_upsert(rows, batch_size):
-    """The reference row loop: per file in name order, batches of
+    """The original row loop: per file in name order, batches of
     ``batch_size``; first wins inside a batch, later batches overwrite."""
     table = {}
     files = sorted({r[0] for r in rows})

@@ -48,3 +48,12 @@ def test_with_audit_and_history_kind(spark):
         H.history(df, "created_at", kind="weekly")
     hist = H.history(df.withColumn("id", F.col("id")), "created_at", kind=None, columns=["id", "source"])
     assert hist.count() == 3
+
+
+def test_lookup_display_fill(spark):
+    from cadenza.operators.lookup import lookup_or_error
+    cat = spark.createDataFrame([("a", 1, "pop"), ("a", 2, "rock")], "song string, id long, genre string")
+    req = spark.createDataFrame([("a",), ("zzz",)], "request string")
+    got = {r["request"]: r for r in lookup_or_error(req, cat, "song", "id", ["genre"], display_fill="N/A").collect()}
+    assert got["a"]["genre"] == "pop" and got["a"]["id"] == "1"
+    assert got["zzz"]["genre"] == "N/A" and got["zzz"]["error"] == "Song not found"
