@@ -117,16 +117,23 @@ def json_roundtrip(spark, sf):
 
 
 @plan("letters_only", r"""
-SELECT conv_id, turn, split_part(text, ' ', 1) AS word,
-       coalesce(regexp_matches(split_part(text, ' ', 1), '^[a-zA-Z ]+$'), false) AS ascii_ok,
-       coalesce(regexp_matches(split_part(text, ' ', 1), '^[\p{L} ]*\p{L}[\p{L} ]*$'), false) AS unicode_ok
+SELECT conv_id, turn,
+       coalesce(regexp_matches(text, '^[a-zA-Z ]+$'), false) AS text_ascii_ok,
+       coalesce(regexp_matches(text, '^[\p{L} ]*\p{L}[\p{L} ]*$'), false) AS text_unicode_ok,
+       CAST(len(string_split(text, ' ')) AS INTEGER) AS n_words,
+       CAST(len(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '^[a-zA-Z ]+$'))) AS INTEGER) AS ascii_words,
+       CAST(len(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '^[\p{L} ]*\p{L}[\p{L} ]*$'))) AS INTEGER) AS unicode_words
 FROM conversations""")
 def letters_only(spark, sf):
-    c = table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.split_part("text", F.lit(" "), F.lit(1)).alias("word"))
-    return c.select("conv_id", "turn", "word",
-                    C.letters_only("word", unicode=False).alias("ascii_ok"),
-                    C.letters_only("word", unicode=True).alias("unicode_ok"))
+    # whole texts: the full text, and every word of it (a per-row array
+    # filter, no explode and no shuffle)
+    c = table(spark, sf, "conversations").withColumn("_w", F.split("text", " "))
+    return c.select("conv_id", "turn",
+                    C.letters_only("text", unicode=False).alias("text_ascii_ok"),
+                    C.letters_only("text", unicode=True).alias("text_unicode_ok"),
+                    F.size("_w").alias("n_words"),
+                    F.size(F.filter("_w", lambda w: C.letters_only(w, unicode=False))).alias("ascii_words"),
+                    F.size(F.filter("_w", lambda w: C.letters_only(w, unicode=True))).alias("unicode_words"))
 
 
 @plan("contains_ci", """
@@ -206,11 +213,12 @@ def lookup_or_error(spark, sf):
 @plan("valid_category", r"""
 WITH t AS (SELECT DISTINCT trim(u.token) AS token
            FROM part, unnest(regexp_split_to_array(lower(p_name), ',\s*')) AS u(token)),
-r AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS request FROM part
+r AS (SELECT DISTINCT u.w AS request FROM part, unnest(string_split(p_name, ' ')) AS u(w)
       UNION SELECT DISTINCT c_mktsegment FROM customer)
 SELECT request, EXISTS (SELECT 1 FROM t WHERE t.token = lower(trim(r.request)) AND length(t.token) > 0) AS valid FROM r""")
 def valid_category(spark, sf):
-    req = (table(spark, sf, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("request"))
+    # every word of every name is a request, plus market segments (unknown)
+    req = (table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("request"))
            .unionByName(table(spark, sf, "customer").select(F.col("c_mktsegment").alias("request"))))
     return L.valid_category(req, table(spark, sf, "part"), "p_name")
 
