@@ -112,9 +112,11 @@ def top_k_neighbours(items: DataFrame, id_col: str, vec_col: str, k: int,
                       *[c.alias("qc") for c in cat])
     rb = _blocks(ref.count(), block_rows, par)
     qb = rb if queries is None else _blocks(qry.count(), block_rows, par)
-    ref = (ref.withColumn("rblk", F.pmod(F.xxhash64("rid"), F.lit(rb)))
+    # block ids must have one type on both sides: the cogroup hashes the
+    # key values, and an int and a bigint of equal value hash differently
+    ref = (ref.withColumn("rblk", F.pmod(F.xxhash64("rid"), F.lit(rb)).cast("int"))
            .withColumn("qblk", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-    qry = (qry.withColumn("qblk", F.pmod(F.xxhash64("qid"), F.lit(qb)))
+    qry = (qry.withColumn("qblk", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int"))
            .withColumn("rblk", F.explode(F.sequence(F.lit(0), F.lit(rb - 1)))))
     part = (qry.groupBy("qblk", "rblk").cogroup(ref.groupBy("qblk", "rblk"))
             .applyInPandas(_topk_block(k, exclude_self, bool(category_col)),

@@ -93,3 +93,16 @@ def test_top_n_tie_break(spark):
     df = spark.createDataFrame([(1, 0.5), (2, 0.5), (3, 0.9)], "id long, s double")
     assert [r["id"] for r in SIM.top_n(df, "s", "id", 2).collect()] == [3, 1]
     assert df.select(F.lit(1)).count() == 3
+
+
+def test_top_k_every_query_answered_many_blocks(spark):
+    # enough rows for several blocks per side: every query must get k rows
+    rng = np.random.default_rng(9)
+    vecs = rng.normal(size=(900, 8)).tolist()
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vecs)], "id long, v array<double>")
+    got = SIM.top_k_neighbours(df, "id", "v", 3, block_rows=128)
+    assert got.count() == 900 * 3
+    g = {}
+    for r in got.orderBy("qid", "rank").collect():
+        g.setdefault(r["qid"], []).append(r["rid"])
+    assert g == _topk_ref(_brute(vecs), list(range(900)), 3)
