@@ -24,11 +24,15 @@ def ordinal(df: DataFrame, group_cols: list[str], order_cols: list[str],
     ``order_cols``, which must be a total order inside the group."""
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = list(group_cols) + list(order_cols)
     local = (F.monotonically_increasing_id()
              - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    numbered = (df.repartitionByRange(n, *keys)
+    # without an explicit count AQE sizes the range partitions from the
+    # measured shuffle (small inputs are not spread over 200 empty tasks);
+    # numbering happens after that read, so it sees the final partitions
+    ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions
+              else df.repartitionByRange(*keys))
+    numbered = (ranged
                 .sortWithinPartitions(*keys)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_local", local)
