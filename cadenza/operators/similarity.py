@@ -56,40 +56,78 @@ def _blocks(n: int, block_rows: int, parallelism: int) -> int:
     return max(1, math.ceil(n / block_rows), math.ceil(math.sqrt(2 * parallelism)))
 
 
-def _topk_block(k: int, exclude_self: bool, with_cat: bool):
-    out_cols = ["qid", "rid", "score", "rank_key"]
+_OUT_COLS = ["qid", "rid", "score", "rank_key"]
+
+
+def _empty() -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series(dtype="int64" if c.endswith("id") else "float64")
+                         for c in _OUT_COLS})
+
+
+def _unpack(df: pd.DataFrame, idc: str, vc: str, cc: str | None):
+    df = df.sort_values(idc, kind="stable")
+    ids = df[idc].to_numpy()
+    m = np.stack(df[vc].to_numpy()).astype(np.float64)
+    cats = df[cc].to_numpy() if cc else None
+    return ids, m, cats
+
+
+def _cosines(A, B, ca, cb):
+    """Cosine matrix of the rows of A and B (one-hot categories implied)."""
+    S = A @ B.T
+    na = np.einsum("ij,ij->i", A, A)
+    nb = np.einsum("ij,ij->i", B, B)
+    if ca is not None:
+        S = S + (ca[:, None] == cb[None, :])
+        na, nb = na + 1.0, nb + 1.0
+    den = np.sqrt(na)[:, None] * np.sqrt(nb)[None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(den == 0, 0.0, S / den)
+
+
+def _best(S, qid, rid, k, exclude_self):
+    """Top ``k`` columns of every row of ``S`` by (rounded score desc, id
+    asc); ``rid`` must be ascending."""
+    key = np.round(S, RANK_DIGITS)
+    if exclude_self:
+        key = np.where(qid[:, None] == rid[None, :], -np.inf, key)
+    kk = min(k, S.shape[1])
+    if kk == 0 or S.shape[0] == 0:
+        return _empty()
+    # stable sort on -key keeps ascending rid among equal keys
+    idx = np.argsort(-key, axis=1, kind="stable")[:, :kk]
+    rows = np.repeat(np.arange(len(qid)), kk)
+    cols = idx.ravel()
+    keep = np.isfinite(key[rows, cols])
+    rows, cols = rows[keep], cols[keep]
+    return pd.DataFrame({"qid": qid[rows], "rid": rid[cols],
+                         "score": S[rows, cols], "rank_key": key[rows, cols]})
+
 
+def _topk_block(k: int, exclude_self: bool, with_cat: bool):
+    """Queries of one block against references of one block."""
     def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if q.empty or r.empty:
-            return pd.DataFrame({c: pd.Series(dtype="int64" if c.endswith("id") else "float64")
-                                 for c in out_cols})
-        r = r.sort_values("rid", kind="stable")
-        Q = np.stack(q["qv"].to_numpy()).astype(np.float64)
-        R = np.stack(r["rv"].to_numpy()).astype(np.float64)
-        qid = q["qid"].to_numpy()
-        rid = r["rid"].to_numpy()
-        S = Q @ R.T
-        qn2 = np.einsum("ij,ij->i", Q, Q)
-        rn2 = np.einsum("ij,ij->i", R, R)
-        if with_cat:
-            S = S + (q["qc"].to_numpy()[:, None] == r["rc"].to_numpy()[None, :])
-            qn2 = qn2 + 1.0
-            rn2 = rn2 + 1.0
-        den = np.sqrt(qn2)[:, None] * np.sqrt(rn2)[None, :]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            S = np.where(den == 0, 0.0, S / den)
-        key = np.round(S, RANK_DIGITS)
-        if exclude_self:
-            key = np.where(qid[:, None] == rid[None, :], -np.inf, key)
-        kk = min(k, R.shape[0])
-        # stable sort on -key keeps ascending rid among equal keys
-        idx = np.argsort(-key, axis=1, kind="stable")[:, :kk]
-        rows = np.repeat(np.arange(len(qid)), kk)
-        cols = idx.ravel()
-        keep = np.isfinite(key[rows, cols])
-        rows, cols = rows[keep], cols[keep]
-        return pd.DataFrame({"qid": qid[rows], "rid": rid[cols],
-                             "score": S[rows, cols], "rank_key": key[rows, cols]})
+            return _empty()
+        qid, Q, qc = _unpack(q, "qid", "qv", "qc" if with_cat else None)
+        rid, R, rc = _unpack(r, "rid", "rv", "rc" if with_cat else None)
+        return _best(_cosines(Q, R, qc, rc), qid, rid, k, exclude_self)
+    return run
+
+
+def _topk_pair(k: int, with_cat: bool):
+    """All-against-all: blocks i <= j meet once; the product is used in
+    both directions (S for block i's rows, S transposed for block j's)."""
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return _empty()
+        aid, A, ac = _unpack(a, "qid", "qv", "qc" if with_cat else None)
+        bid, B, bc = _unpack(b, "rid", "rv", "rc" if with_cat else None)
+        S = _cosines(A, B, ac, bc)
+        if int(a["pi"].iloc[0]) == int(a["pj"].iloc[0]):
+            return _best(S, aid, bid, k, True)
+        return pd.concat([_best(S, aid, bid, k, False), _best(S.T, bid, aid, k, False)],
+                         ignore_index=True)
     return run
 
 
@@ -110,6 +148,29 @@ def top_k_neighbours(items: DataFrame, id_col: str, vec_col: str, k: int,
     qry = qsrc.select(F.col(id_col).cast("long").alias("qid"),
                       F.col(vec_col).cast("array<double>").alias("qv"),
                       *[c.alias("qc") for c in cat])
+    w = Window.partitionBy("qid").orderBy(F.col("rank_key").desc(), F.col("rid"))
+    if queries is None and exclude_self:
+        nb = _blocks(ref.count(), block_rows, par)
+        items_b = items.select(F.col(id_col).cast("long").alias("id"),
+                               F.col(vec_col).cast("array<double>").alias("v"),
+                               *[c.alias("c") for c in cat])
+        items_b = items_b.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int"))
+        # a row of block b is the left side of pairs (b, j >= b) and the
+        # right side of pairs (i <= b, b): about nb + 1 copies, not 2 nb
+        left = items_b.select(F.col("id").alias("qid"), F.col("v").alias("qv"),
+                              *([F.col("c").alias("qc")] if cat else []),
+                              F.col("blk").alias("pi"),
+                              F.explode(F.sequence(F.col("blk"), F.lit(nb - 1))).alias("pj"))
+        right = items_b.select(F.col("id").alias("rid"), F.col("v").alias("rv"),
+                               *([F.col("c").alias("rc")] if cat else []),
+                               F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("pi"),
+                               F.col("blk").alias("pj"))
+        part = (left.groupBy("pi", "pj").cogroup(right.groupBy("pi", "pj"))
+                .applyInPandas(_topk_pair(k, bool(category_col)),
+                               "qid long, rid long, score double, rank_key double"))
+        return (part.withColumn("rank", F.row_number().over(w))
+                .filter(F.col("rank") <= k)
+                .select("qid", F.col("rank").cast("long").alias("rank"), "rid", "score"))
     rb = _blocks(ref.count(), block_rows, par)
     qb = rb if queries is None else _blocks(qry.count(), block_rows, par)
     # block ids must have one type on both sides: the cogroup hashes the
@@ -121,7 +182,6 @@ def top_k_neighbours(items: DataFrame, id_col: str, vec_col: str, k: int,
     part = (qry.groupBy("qblk", "rblk").cogroup(ref.groupBy("qblk", "rblk"))
             .applyInPandas(_topk_block(k, exclude_self, bool(category_col)),
                            "qid long, rid long, score double, rank_key double"))
-    w = Window.partitionBy("qid").orderBy(F.col("rank_key").desc(), F.col("rid"))
     return (part.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= k)
             .select("qid", F.col("rank").cast("long").alias("rank"), "rid", "score"))
