@@ -195,16 +195,26 @@ def alerts(stats: DataFrame, by: str | list[str]) -> DataFrame:
                              F.lit(" CRITICALITY")).alias("title")))
 
 
-def file_outcomes(files: DataFrame, stats: DataFrame, file_col: str) -> DataFrame:
-    """Outcome per listed file: a listed file with no rows is ``empty_file``,
-    one whose statistics are missing a total is ``file_read_error``."""
+def file_outcomes(files: DataFrame, stats: DataFrame, file_col: str,
+                  corrupt: DataFrame | None = None) -> DataFrame:
+    """Outcome per listed file: ``ok``; ``empty_file`` when a listed file
+    has no rows; ``file_read_error`` when every line of it was unreadable
+    (``corrupt``: one row per file with ``corrupt_rows``)."""
     j = files.join(stats, file_col, "left")
-    outcome = (F.when(F.col("total_rows").isNull() | (F.col("total_rows") == 0), "empty_file")
+    if corrupt is not None:
+        j = j.join(corrupt.select(file_col, "corrupt_rows"), file_col, "left")
+    else:
+        j = j.withColumn("corrupt_rows", F.lit(None).cast("long"))
+    total = F.coalesce(F.col("total_rows"), F.lit(0))
+    bad = F.coalesce(F.col("corrupt_rows"), F.lit(0))
+    outcome = (F.when((total == 0) & (bad > 0), "file_read_error")
+               .when(total == 0, "empty_file")
                .otherwise("ok"))
     return j.select(file_col,
-                    F.coalesce(F.col("total_rows"), F.lit(0)).alias("total_rows"),
+                    total.alias("total_rows"),
                     F.coalesce(F.col("valid_rows"), F.lit(0)).alias("valid_rows"),
                     F.coalesce(F.col("invalid_rows"), F.lit(0)).alias("invalid_rows"),
+                    bad.alias("corrupt_rows"),
                     outcome.alias("outcome"))
 
 

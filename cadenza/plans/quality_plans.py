@@ -236,4 +236,5 @@ def dq_file_outcome(spark, sf):
     stats = q.file_stats(rows, suite, "file_name")
     files = table(spark, sf, "customer").select(
         F.concat(F.lit("file_"), F.col("c_custkey").cast("string")).alias("file_name"))
-    return q.file_outcomes(files, stats, "file_name")
+    return q.file_outcomes(files, stats, "file_name").select(
+        "file_name", "total_rows", "valid_rows", "invalid_rows", "outcome")

@@ -49,10 +49,20 @@ def ingest_batch(spark: SparkSession, files: DataFrame, out_dir: str, batch_id:
         return
     rows = _read_batch_files(spark, paths)
     rows = rows.withColumns({f.name: normalize_na(F.col(f.name)) for f in track_schema().fields})
-    ev = Q.evaluate(rows.drop(CORRUPT), suite).persist()
+    parsed = rows.persist()
+    try:
+        _ingest_parsed(parsed, listed, out_dir, batch_id, suite)
+    finally:
+        parsed.unpersist()
+
+
+def _ingest_parsed(parsed: DataFrame, listed: DataFrame, out_dir: str, batch_id: int, suite) -> None:
+    corrupt = (parsed.groupBy("file_name")
+               .agg(F.count_if(F.col(CORRUPT).isNotNull()).alias("corrupt_rows")))
+    ev = Q.evaluate(parsed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), suite).persist()
     try:
         stats = Q.file_stats(ev, suite, "file_name")
-        outcomes = Q.file_outcomes(listed.select("file_name"), stats, "file_name")
+        outcomes = Q.file_outcomes(listed.select("file_name"), stats, "file_name", corrupt)
         full = outcomes.join(stats.select("file_name", *Q.ERROR_CLASSES, "error_counts"),
                              "file_name", "left")
         tag = F.lit(batch_id).alias("batch_id")
