@@ -83,3 +83,11 @@ def test_profile_histogram_counts(spark):
     h = {(r["feature"], r["bin"]): r["rows"] for r in hist.collect()}
     assert sum(v for (f, _), v in h.items() if f == "x") == 100
     assert h[("c", 0)] == 100 and h[("x", 9)] == 10
+
+
+def test_split_by_is_an_exact_complement(spark):
+    df = spark.range(50).select((F.col("id") / 10.0).alias("x"))
+    suite = [E("between", "x", (0.0, 2.5))]
+    valid, invalid = Q.split_by(Q.evaluate(df, suite))
+    assert valid.count() + invalid.count() == 50
+    assert valid.count() == 26 and invalid.filter(F.col("x") <= 2.5).count() == 0
