@@ -7,7 +7,8 @@ then read those files as CSV inside ``foreachBatch``. That keeps files
 without rows visible (an ``empty_file`` outcome) and lets one read feed
 all writes. Every write goes to a folder named by the batch id, so a
 micro-batch replayed after a failure overwrites its own output instead
-of duplicating it.
+of duplicating it; the keyed prediction table is merged bucket by bucket
+(latest wins), which is idempotent as well.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from cadenza.operators import merge as M
 from cadenza.operators import quality as Q
 from cadenza.schema import SCORING_KEY, track_schema, track_suite
 from cadenza.sources.files import CORRUPT
-from cadenza.sources.sinks import read_latest, write_snapshot
+from cadenza.sources.sinks import upsert_into
 
 
 def _file_stream(spark: SparkSession, in_dir: str, max_files: int, glob: str = "*.csv") -> DataFrame:
@@ -91,7 +92,7 @@ def start_ingest(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
 
 
 def score_batch(spark: SparkSession, files: DataFrame, table_dir: str, ledger_dir: str,
-                batch_id: int, scorer, order: list[str] | None = None) -> None:
+                batch_id: int, scorer, order: list[str] | None = None, buckets: int = 64) -> None:
     """Score the rows of newly arrived good files and upsert them on
     (song, duration_ms, year); later rows overwrite earlier ones. Rows
     that do not cast or whose song breaks the letters-only rule are
@@ -108,12 +109,10 @@ def score_batch(spark: SparkSession, files: DataFrame, table_dir: str, ledger_di
                                   "file_name")
               .withColumn("processed_at", F.current_timestamp())
               .withColumn("batch_id", F.lit(batch_id)))
-    current, _v = read_latest(spark, table_dir, below=batch_id)
-    # newer batch wins, then the later file, then a fixed payload order
+    # newer batch wins, then the later file, then a fixed payload order;
+    # only the key buckets this batch touches are read and rewritten
     order = order or ["batch_id", "file_name", "energy", "loudness", "genre"]
-    merged = (M.upsert_latest(current, scored, SCORING_KEY, order) if current is not None
-              else M.latest_per_key(scored, SCORING_KEY, order))
-    write_snapshot(merged, table_dir, batch_id)
+    upsert_into(spark, scored, table_dir, SCORING_KEY, order, buckets=buckets)
     ledger = M.ledger_entries(scored.withColumn("_stored", F.lit(True)), "file_name", "_stored")
     ledger.write.mode("overwrite").parquet(f"{ledger_dir.rstrip('/')}/batch_id={batch_id}")
 

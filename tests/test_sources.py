@@ -95,3 +95,27 @@ def test_register_upload(spark, tmpdir_fresh):
     df = spark.read.option("header", True).csv(tmpdir_fresh)
     got = FS.register_upload(df).collect()
     assert [r["filename"] for r in got] == ["up.csv"] and got[0]["uploaded_at"] is not None
+
+
+def test_upsert_into_touches_only_needed_buckets(spark, tmpdir_fresh):
+    t = os.path.join(tmpdir_fresh, "keyed")
+    base = spark.range(200).select(F.col("id").alias("k"), F.lit(0).alias("ver"), F.lit("a").alias("v"))
+    SK.upsert_into(spark, base, t, ["k"], ["ver"], buckets=16)
+    before = {r["k"]: r["v"] for r in spark.read.parquet(t).collect()}
+
+    def listing():
+        return {b: sorted(f for f in os.listdir(os.path.join(t, f"bucket={b}")) if f.endswith(".parquet"))
+                for b in range(16) if os.path.isdir(os.path.join(t, f"bucket={b}"))}
+
+    files_before = listing()
+    upd = spark.createDataFrame([(5, 1, "b"), (500, 1, "c")], "k long, ver int, v string")
+    SK.upsert_into(spark, upd, t, ["k"], ["ver"], buckets=16)
+    SK.upsert_into(spark, upd, t, ["k"], ["ver"], buckets=16)  # replay: no change
+    after = {r["k"]: r["v"] for r in spark.read.parquet(t).collect()}
+    assert len(after) == 201 and after[5] == "b" and after[500] == "c"
+    assert all(after[k] == before[k] for k in before if k != 5)
+    touched = {r["bucket"] for r in spark.read.parquet(t).filter(F.col("k").isin(5, 500)).collect()}
+    files_after = listing()
+    for b, names in files_before.items():
+        if b not in touched:
+            assert files_after[b] == names, b   # untouched buckets were not rewritten
