@@ -20,7 +20,7 @@ from cadenza.functions.columns import cast_or_drop, letters_only, normalize_na
 from cadenza.operators import merge as M
 from cadenza.operators import quality as Q
 from cadenza.schema import SCORING_KEY, track_schema, track_suite
-from cadenza.sources.files import CORRUPT
+from cadenza.sources.files import CORRUPT, discover_files
 from cadenza.sources.sinks import upsert_into
 
 
@@ -91,16 +91,14 @@ def start_ingest(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
     return w.start()
 
 
-def score_batch(spark: SparkSession, files: DataFrame, table_dir: str, ledger_dir: str,
-                batch_id: int, scorer, order: list[str] | None = None, buckets: int = 64) -> None:
-    """Score the rows of newly arrived good files and upsert them on
+def score_paths(spark: SparkSession, paths: list[str], table_dir: str, ledger_dir: str,
+                batch_id: int, scorer, order: list[str] | None = None, buckets: int = 64,
+                listing: DataFrame | None = None) -> None:
+    """Score the rows of the given good files and upsert them on
     (song, duration_ms, year); later rows overwrite earlier ones. Rows
     that do not cast or whose song breaks the letters-only rule are
     skipped, not fatal. The ledger gets one entry per file with at least
-    one stored row."""
-    paths = [r["path"] for r in files.select("path").collect()]  # bounded by max_files
-    if not paths:
-        return
+    one stored row (with its fingerprint when ``listing`` gives one)."""
     raw = _read_batch_files(spark, paths).drop(CORRUPT)
     types = {"duration_ms": "int", "year": "int", "energy": "double", "loudness": "double"}
     kept, _ = cast_or_drop(raw.filter(F.col("song").isNotNull() & F.col("genre").isNotNull()), types)
@@ -114,9 +112,42 @@ def score_batch(spark: SparkSession, files: DataFrame, table_dir: str, ledger_di
     order = order or ["batch_id", "file_name", "energy", "loudness", "genre"]
     upsert_into(spark, scored, table_dir, SCORING_KEY, order, buckets=buckets)
     ledger = M.ledger_entries(scored.withColumn("_stored", F.lit(True)), "file_name", "_stored")
+    if listing is not None:
+        ledger = ledger.join(listing.select("filename", "fingerprint"), "filename", "left")
+    else:  # one ledger schema for streams and scheduled runs
+        ledger = ledger.withColumn("fingerprint", F.lit(None).cast("string"))
     ledger.write.mode("overwrite").parquet(f"{ledger_dir.rstrip('/')}/batch_id={batch_id}")
 
 
+def score_batch(spark: SparkSession, files: DataFrame, table_dir: str, ledger_dir: str,
+                batch_id: int, scorer, order: list[str] | None = None, buckets: int = 64) -> None:
+    """``foreachBatch`` body of the scoring stream."""
+    paths = [r["path"] for r in files.select("path").collect()]  # bounded by max_files
+    if paths:
+        score_paths(spark, paths, table_dir, ledger_dir, batch_id, scorer, order, buckets)
+
+
+def score_new_files(spark: SparkSession, good_dir: str, table_dir: str, ledger_dir: str,
+                    scorer, run_id: int, buckets: int = 64) -> int:
+    """Scheduled batch job: score files that are new or changed since the
+    ledger (same name, another size/mtime fingerprint is processed again,
+    which a streaming file source would ignore). Returns the number of
+    files scored; 0 means nothing to do (skip)."""
+    listing = discover_files(spark, good_dir, case_sensitive=False)
+    try:
+        ledger = spark.read.parquet(ledger_dir).select(
+            "filename", "fingerprint", "processed_at", "batch_id")
+        todo = M.new_files(listing, ledger, order=["batch_id", "processed_at"])
+    except Exception:  # noqa: BLE001 - no ledger yet: every file is new
+        todo = listing
+    rows = todo.select("path", "filename", "fingerprint").collect()  # file names only
+    if not rows:
+        return 0
+    score_paths(spark, [r["path"] for r in rows], table_dir, ledger_dir, run_id, scorer,
+                buckets=buckets, listing=todo)
+    return len(rows)
+
+
 def start_scoring(spark: SparkSession, good_dir: str, table_dir: str, ledger_dir: str,
                   checkpoint: str, scorer, max_files: int = 10, every: str | None = None):
     """Second stream on the good folder (e.g. every 2 minutes)."""

@@ -77,3 +77,24 @@ def test_replayed_batches_are_idempotent(spark, tmpdir_fresh):
     ST.score_batch(spark, files, table, ledger, 0, scorer)
     assert spark.read.parquet(table).count() == 2
     assert spark.read.parquet(ledger).count() == 1
+
+
+def test_score_new_files_reprocesses_changed(spark, tmpdir_fresh):
+    good = os.path.join(tmpdir_fresh, "good")
+    table = os.path.join(tmpdir_fresh, "pred")
+    ledger = os.path.join(tmpdir_fresh, "ledger")
+
+    def scorer(df):
+        return df.withColumn("predicted_popularity", F.col("energy") * 100)
+
+    write_csv(good, "a.csv", [track_line(song="One")])
+    write_csv(good, "b.CSV", [track_line(song="Two")])
+    assert ST.score_new_files(spark, good, table, ledger, scorer, 0) == 2
+    assert ST.score_new_files(spark, good, table, ledger, scorer, 1) == 0  # nothing new: skip
+    import time
+    time.sleep(1.1)
+    write_csv(good, "a.csv", [track_line(song="One"), track_line(song="Three")])  # changed file
+    assert ST.score_new_files(spark, good, table, ledger, scorer, 2) == 1
+    assert sorted(r["song"] for r in spark.read.parquet(table).collect()) == ["One", "Three", "Two"]
+    led = spark.read.parquet(ledger)
+    assert led.filter(F.col("fingerprint").isNull()).count() == 0 and led.count() == 3
