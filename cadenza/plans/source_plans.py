@@ -13,15 +13,15 @@ from cadenza.sources import synth as SY
 from cadenza.tables import table
 
 
-@plan("table_dump", "SELECT * FROM nation")
+@plan("table_dump", "SELECT * FROM orders")
 def table_dump(spark, sf):
-    return table(spark, sf, "nation")
+    return table(spark, sf, "orders")
 
 
-@plan("copy_count", "SELECT r_regionkey, r_name FROM region")
+@plan("copy_count", "SELECT * FROM customer")
 def copy_count(spark, sf):
     # the row count is observed while the rows stream to the sink
-    return table(spark, sf, "region").observe(Observation("copy_count"), F.count(F.lit(1)).alias("rows"))
+    return table(spark, sf, "customer").observe(Observation("copy_count"), F.count(F.lit(1)).alias("rows"))
 
 
 @plan("recent_rows", """
