@@ -150,7 +150,9 @@ def top_k_neighbours(items: DataFrame, id_col: str, vec_col: str, k: int,
                       *[c.alias("qc") for c in cat])
     w = Window.partitionBy("qid").orderBy(F.col("rank_key").desc(), F.col("rid"))
     if queries is None and exclude_self:
-        nb = _blocks(ref.count(), block_rows, par)
+        n = ref.count()
+        # enough block pairs (nb (nb + 1) / 2) to keep every core busy
+        nb = max(1, math.ceil(n / block_rows), math.ceil(math.sqrt(4 * par)))
         items_b = items.select(F.col(id_col).cast("long").alias("id"),
                                F.col(vec_col).cast("array<double>").alias("v"),
                                *[c.alias("c") for c in cat])
@@ -171,8 +173,13 @@ def top_k_neighbours(items: DataFrame, id_col: str, vec_col: str, k: int,
         return (part.withColumn("rank", F.row_number().over(w))
                 .filter(F.col("rank") <= k)
                 .select("qid", F.col("rank").cast("long").alias("rank"), "rid", "score"))
-    rb = _blocks(ref.count(), block_rows, par)
-    qb = rb if queries is None else _blocks(qry.count(), block_rows, par)
+    if queries is None:
+        rb = qb = _blocks(ref.count(), block_rows, par)
+    else:
+        # a bounded request side stays in few blocks (the catalogue is then
+        # replicated few times); the catalogue side supplies the parallelism
+        qb = max(1, math.ceil(qry.count() / block_rows))
+        rb = max(math.ceil(ref.count() / block_rows), math.ceil(2 * par / qb))
     # block ids must have one type on both sides: the cogroup hashes the
     # key values, and an int and a bigint of equal value hash differently
     ref = (ref.withColumn("rblk", F.pmod(F.xxhash64("rid"), F.lit(rb)).cast("int"))

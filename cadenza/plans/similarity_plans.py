@@ -183,3 +183,34 @@ def standard_scale(spark, sf):
     s = FE.standardize(table(spark, sf, "part"), ["p_size", "p_retailprice"], suffix="_scaled")
     return s.select("p_partkey", F.round("p_size_scaled", R).alias("p_size_scaled"),
                     F.round("p_retailprice_scaled", R).alias("p_retailprice_scaled"))
+
+
+@plan("recommend_names", f"""
+WITH st AS (SELECT min(p_size) AS s0, max(p_size) AS s1, min(p_retailprice) AS r0, max(p_retailprice) AS r1 FROM part),
+sc AS (SELECT p_partkey, p_name, p_brand, p_type,
+              (p_size - s0) / CASE WHEN s1 = s0 THEN 1 ELSE s1 - s0 END AS x,
+              (p_retailprice - r0) / CASE WHEN r1 = r0 THEN 1 ELSE r1 - r0 END AS y FROM part, st),
+req AS (SELECT DISTINCT request FROM (SELECT p_name AS request FROM part WHERE p_size > 25
+                                      UNION ALL SELECT s_name FROM supplier)),
+first AS (SELECT p_name, min(p_partkey) AS qid FROM part GROUP BY p_name),
+q AS (SELECT req.request, first.qid, sc.x, sc.y FROM req JOIN first ON req.request = first.p_name
+      JOIN sc ON sc.p_partkey = first.qid),
+pr AS (SELECT q.request, sc.p_partkey AS rid, sc.p_name, sc.p_brand, sc.p_type,
+              CASE WHEN (q.x * q.x + q.y * q.y) = 0 OR (sc.x * sc.x + sc.y * sc.y) = 0 THEN 0.0
+                   ELSE (q.x * sc.x + q.y * sc.y) / (sqrt(q.x * q.x + q.y * q.y) * sqrt(sc.x * sc.x + sc.y * sc.y)) END AS c
+       FROM q JOIN sc ON sc.p_partkey <> q.qid),
+rk AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY round(c, 9) DESC, rid) AS rank FROM pr)
+SELECT request, rank, p_name AS recommended_p_name, p_brand AS recommended_p_brand,
+       p_type AS recommended_p_type, round(c, {R}) AS similarity_score, CAST(NULL AS VARCHAR) AS error
+FROM rk WHERE rank <= 2
+UNION ALL
+SELECT request, CAST(NULL AS BIGINT), NULL, NULL, NULL, CAST(NULL AS DOUBLE), 'Song not found'
+FROM req WHERE request NOT IN (SELECT p_name FROM part)""")
+def recommend_names(spark, sf):
+    from cadenza.operators.recommend import recommend
+    part = table(spark, sf, "part")
+    names = (part.filter(F.col("p_size") > 25).select(F.col("p_name").alias("request"))
+             .unionByName(table(spark, sf, "supplier").select(F.col("s_name").alias("request"))))
+    r = recommend(part, names, n=2, name_col="p_name", id_col="p_partkey",
+                  features=["p_size", "p_retailprice"], result_cols=("p_name", "p_brand", "p_type"))
+    return r.withColumn("similarity_score", F.round("similarity_score", R))
