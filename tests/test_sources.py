@@ -119,3 +119,13 @@ def test_upsert_into_touches_only_needed_buckets(spark, tmpdir_fresh):
     for b, names in files_before.items():
         if b not in touched:
             assert files_after[b] == names, b   # untouched buckets were not rewritten
+
+
+def test_exact_split_samples(spark):
+    df = spark.range(103).withColumnRenamed("id", "k")
+    got = SY.split_samples(df, 4, seed=5, exact=True, id_cols=["k"])
+    sizes = {r["part"]: r["count"] for r in got.groupBy("part").count().collect()}
+    assert sizes == {1: 26, 2: 26, 3: 26, 4: 26}
+    assert got.groupBy("part", "k").count().filter(F.col("count") > 1).count() == 0
+    again = SY.split_samples(df, 4, seed=5, exact=True, id_cols=["k"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
