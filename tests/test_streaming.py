@@ -98,3 +98,22 @@ def test_score_new_files_reprocesses_changed(spark, tmpdir_fresh):
     assert sorted(r["song"] for r in spark.read.parquet(table).collect()) == ["One", "Three", "Two"]
     led = spark.read.parquet(ledger)
     assert led.filter(F.col("fingerprint").isNull()).count() == 0 and led.count() == 3
+
+
+def test_cli_rescore_with_coefficients(spark, tmpdir_fresh, capsys):
+    import json as _json
+
+    from cadenza import cli
+    good = os.path.join(tmpdir_fresh, "good")
+    write_csv(good, "a.csv", [track_line(song="One"), track_line(song="Two", genre="rock")])
+    coef = os.path.join(tmpdir_fresh, "coef.json")
+    with open(coef, "w") as f:
+        _json.dump({"intercept": 10.0, "features": {"energy": 50.0}, "category": ["genre", {"rock": 5.0}]}, f)
+    args = ["rescore", "--good", good, "--table", os.path.join(tmpdir_fresh, "t"),
+            "--ledger", os.path.join(tmpdir_fresh, "l"), "--run-id", "0", "--coefficients", coef]
+    assert cli.main(args) == 0
+    assert _json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"files_scored": 1, "skipped": False}
+    got = {r["song"]: r["predicted_popularity"] for r in spark.read.parquet(os.path.join(tmpdir_fresh, "t")).collect()}
+    assert got == {"One": 40.0, "Two": 45.0}
+    assert cli.main(args[:-4] + ["--run-id", "1", "--coefficients", coef]) == 0
+    assert _json.loads(capsys.readouterr().out.strip().splitlines()[-1])["skipped"] is True
