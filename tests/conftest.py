@@ -13,7 +13,8 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_session("local[4]", 8, extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="cadenza-test-ckpt-")})
+    s = get_session("local[4]", 8, extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="cadenza-test-ckpt-"),
+                                          "spark.driver.memory": "8g"})
     yield s
     s.stop()
 
