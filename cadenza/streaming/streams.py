@@ -40,9 +40,11 @@ def _read_batch_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def ingest_batch(spark: SparkSession, files: DataFrame, out_dir: str, batch_id: int,
-                 suite=None) -> None:
+                 suite=None, on_error: str = "record") -> None:
     """Validate one micro-batch of files and fan out: statistics, alerts,
-    details and routed rows."""
+    details and routed rows. When validation itself fails, every file of
+    the batch gets a ``critical_error`` outcome row and an alert
+    (``on_error="raise"`` fails the batch instead)."""
     suite = suite or track_suite()
     listed = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "path")
     paths = [r["path"] for r in listed.select("path").collect()]  # bounded by max_files
@@ -53,10 +55,25 @@ def ingest_batch(spark: SparkSession, files: DataFrame, out_dir: str, batch_id:
     parsed = rows.persist()
     try:
         _ingest_parsed(parsed, listed, out_dir, batch_id, suite)
+    except Exception as e:  # noqa: BLE001 - recorded as a file outcome
+        if on_error != "record":
+            raise
+        _record_failure(listed, out_dir, batch_id, f"{type(e).__name__}: {e}"[:1000])
     finally:
         parsed.unpersist()
 
 
+def _record_failure(listed: DataFrame, out_dir: str, batch_id: int, message: str) -> None:
+    base = out_dir.rstrip("/")
+    zero = F.lit(0).cast("long")
+    failed = listed.select("file_name", zero.alias("total_rows"), zero.alias("valid_rows"),
+                           zero.alias("invalid_rows"), zero.alias("corrupt_rows"),
+                           F.lit("critical_error").alias("outcome"), F.lit(message).alias("error"))
+    (failed.select("*", F.lit(batch_id).alias("batch_id"), F.current_timestamp().alias("validated_at"))
+     .write.mode("overwrite").parquet(f"{base}/stats/batch_id={batch_id}"))
+    Q.alerts(failed, "file_name").write.mode("overwrite").parquet(f"{base}/alerts/batch_id={batch_id}")
+
+
 def _ingest_parsed(parsed: DataFrame, listed: DataFrame, out_dir: str, batch_id: int, suite) -> None:
     corrupt = (parsed.groupBy("file_name")
                .agg(F.count_if(F.col(CORRUPT).isNotNull()).alias("corrupt_rows")))

@@ -117,3 +117,20 @@ def test_cli_rescore_with_coefficients(spark, tmpdir_fresh, capsys):
     assert got == {"One": 40.0, "Two": 45.0}
     assert cli.main(args[:-4] + ["--run-id", "1", "--coefficients", coef]) == 0
     assert _json.loads(capsys.readouterr().out.strip().splitlines()[-1])["skipped"] is True
+
+
+def test_validation_failure_becomes_critical_error(spark, tmpdir_fresh):
+    from cadenza.operators.quality import Expectation
+    inbox = os.path.join(tmpdir_fresh, "inbox")
+    out = os.path.join(tmpdir_fresh, "out")
+    write_csv(inbox, "f.csv", [track_line(song="Alpha")])
+    files = spark.read.format("binaryFile").load(inbox).select("path", "length")
+    bad_suite = [Expectation("not_null", "no_such_column")]
+    ST.ingest_batch(spark, files, out, 0, suite=bad_suite)
+    st = spark.read.parquet(os.path.join(out, "stats")).collect()
+    assert [(r["file_name"], r["outcome"]) for r in st] == [("f.csv", "critical_error")]
+    assert "no_such_column" in st[0]["error"]
+    assert spark.read.parquet(os.path.join(out, "alerts")).count() == 1
+    import pytest
+    with pytest.raises(ValueError):
+        ST.ingest_batch(spark, files, out, 1, suite=bad_suite, on_error="raise")
