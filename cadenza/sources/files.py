@@ -125,3 +125,27 @@ def register_upload(df: DataFrame) -> DataFrame:
     """Upload metadata rows: one per source file with the time seen."""
     return (df.select(F.col("_metadata.file_name").alias("filename")).distinct()
             .withColumn("uploaded_at", F.current_timestamp()))
+
+
+def file_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The header line of every file, in one distributed read: the first
+    line of the split that starts at offset 0 (smallest row id there)."""
+    lines = (spark.read.text(paths)
+             .select(F.col("_metadata.file_name").alias("file_name"),
+                     F.col("_metadata.file_block_start").alias("_start"), "value",
+                     F.monotonically_increasing_id().alias("_row")))
+    return (lines.filter(F.col("_start") == 0)
+            .groupBy("file_name").agg(F.min_by("value", "_row").alias("header")))
+
+
+def header_matches(header_col, expected: list[str]):
+    """True when a header line names exactly ``expected`` in order (case
+    and surrounding quotes/spaces ignored, legacy names mapped)."""
+    names = F.transform(F.split(F.lower(header_col), ","),
+                        lambda x: F.regexp_replace(F.trim(x), '^"|"$', ""))
+    def rename(old: str, new: str):
+        return lambda x: F.when(x == old, F.lit(new)).otherwise(x)
+
+    for old, new in LEGACY_ALIASES.items():
+        names = F.transform(names, rename(old, new))
+    return names == F.array(*[F.lit(c) for c in expected])

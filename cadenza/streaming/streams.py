@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from cadenza.functions.columns import cast_or_drop, letters_only, normalize_na
 from cadenza.operators import merge as M
 from cadenza.operators import quality as Q
-from cadenza.schema import SCORING_KEY, track_schema, track_suite
-from cadenza.sources.files import CORRUPT, discover_files
+from cadenza.schema import SCORING_KEY, TRACK_COLUMNS, track_schema, track_suite
+from cadenza.sources.files import CORRUPT, discover_files, file_headers, header_matches
 from cadenza.sources.sinks import upsert_into
 
 
@@ -116,6 +116,14 @@ def score_paths(spark: SparkSession, paths: list[str], table_dir: str, ledger_di
     that do not cast or whose song breaks the letters-only rule are
     skipped, not fatal. The ledger gets one entry per file with at least
     one stored row (with its fingerprint when ``listing`` gives one)."""
+    # files whose header is not the track layout are skipped (a positional
+    # read would misplace their columns); they stay out of the ledger
+    heads = file_headers(spark, paths).withColumn(
+        "ok", header_matches(F.col("header"), [n for n, _ in TRACK_COLUMNS]))
+    good_names = {r["file_name"] for r in heads.filter("ok").select("file_name").collect()}
+    paths = [p for p in paths if p.rstrip("/").split("/")[-1] in good_names]
+    if not paths:
+        return
     raw = _read_batch_files(spark, paths).drop(CORRUPT)
     types = {"duration_ms": "int", "year": "int", "energy": "double", "loudness": "double"}
     kept, _ = cast_or_drop(raw.filter(F.col("song").isNotNull() & F.col("genre").isNotNull()), types)
@@ -168,7 +176,8 @@ def score_new_files(spark: SparkSession, good_dir: str, table_dir: str, ledger_d
 def start_scoring(spark: SparkSession, good_dir: str, table_dir: str, ledger_dir: str,
                   checkpoint: str, scorer, max_files: int = 10, every: str | None = None):
     """Second stream on the good folder (e.g. every 2 minutes)."""
-    w = (_file_stream(spark, good_dir, max_files, glob="*.csv").writeStream
+    # the scoring side accepts .csv in any case (ingestion is case-sensitive)
+    w = (_file_stream(spark, good_dir, max_files, glob="*.[cC][sS][vV]").writeStream
          .foreachBatch(lambda df, bid: score_batch(spark, df, table_dir, ledger_dir, bid, scorer))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(processingTime=every) if every else w.trigger(availableNow=True)

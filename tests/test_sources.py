@@ -129,3 +129,16 @@ def test_exact_split_samples(spark):
     assert got.groupBy("part", "k").count().filter(F.col("count") > 1).count() == 0
     again = SY.split_samples(df, 4, seed=5, exact=True, id_cols=["k"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_file_headers_and_match(spark, tmpdir_fresh):
+    from cadenza.schema import TRACK_COLUMNS
+    write_csv(tmpdir_fresh, "a.csv", [track_line()])
+    write_csv(tmpdir_fresh, "b.csv", ["x"], header="song,genre")
+    legacy = ("artist,song,duration_ms,explicit,year,popularity,danceability,energy,feature1,loudness,"
+              "feature2,speechiness,acousticness,instrumentalness,liveness,valence,tempo,genre")
+    write_csv(tmpdir_fresh, "c.csv", [track_line()], header=legacy)
+    paths = [os.path.join(tmpdir_fresh, f) for f in ("a.csv", "b.csv", "c.csv")]
+    h = FS.file_headers(spark, paths).withColumn(
+        "ok", FS.header_matches(F.col("header"), [n for n, _ in TRACK_COLUMNS]))
+    assert {r["file_name"]: r["ok"] for r in h.collect()} == {"a.csv": True, "b.csv": False, "c.csv": True}

@@ -134,3 +134,19 @@ def test_validation_failure_becomes_critical_error(spark, tmpdir_fresh):
     import pytest
     with pytest.raises(ValueError):
         ST.ingest_batch(spark, files, out, 1, suite=bad_suite, on_error="raise")
+
+
+def test_scoring_skips_files_with_another_layout(spark, tmpdir_fresh):
+    good = os.path.join(tmpdir_fresh, "good")
+    write_csv(good, "ok.csv", [track_line(song="Fine")])
+    write_csv(good, "short.csv", ["Other,200000,2001,0.5,-5.0,pop"],
+              header="song,duration_ms,year,energy,loudness,genre")
+    write_csv(good, "UPPER.CSV", [track_line(song="Loud")])
+
+    def scorer(df):
+        return df.withColumn("predicted_popularity", F.lit(1.0))
+
+    table, ledger = os.path.join(tmpdir_fresh, "t"), os.path.join(tmpdir_fresh, "l")
+    ST.start_scoring(spark, good, table, ledger, os.path.join(tmpdir_fresh, "ck"), scorer).awaitTermination()
+    assert sorted(r["song"] for r in spark.read.parquet(table).collect()) == ["Fine", "Loud"]
+    assert sorted(r["filename"] for r in spark.read.parquet(ledger).collect()) == ["UPPER.CSV", "ok.csv"]
