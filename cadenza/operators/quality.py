@@ -196,18 +196,25 @@ def alerts(stats: DataFrame, by: str | list[str]) -> DataFrame:
 
 
 def file_outcomes(files: DataFrame, stats: DataFrame, file_col: str,
-                  corrupt: DataFrame | None = None) -> DataFrame:
-    """Outcome per listed file: ``ok``; ``empty_file`` when a listed file
-    has no rows; ``file_read_error`` when every line of it was unreadable
-    (``corrupt``: one row per file with ``corrupt_rows``)."""
+                  corrupt: DataFrame | None = None,
+                  rejected: DataFrame | None = None) -> DataFrame:
+    """Outcome per listed file: ``ok``; ``validation_error`` for files in
+    ``rejected`` (e.g. another column layout); ``empty_file`` when a listed
+    file has no rows; ``file_read_error`` when every line of it was
+    unreadable (``corrupt``: one row per file with ``corrupt_rows``)."""
     j = files.join(stats, file_col, "left")
     if corrupt is not None:
         j = j.join(corrupt.select(file_col, "corrupt_rows"), file_col, "left")
     else:
         j = j.withColumn("corrupt_rows", F.lit(None).cast("long"))
+    if rejected is not None:
+        j = j.join(rejected.select(file_col).withColumn("_rejected", F.lit(True)), file_col, "left")
+    else:
+        j = j.withColumn("_rejected", F.lit(None).cast("boolean"))
     total = F.coalesce(F.col("total_rows"), F.lit(0))
     bad = F.coalesce(F.col("corrupt_rows"), F.lit(0))
-    outcome = (F.when((total == 0) & (bad > 0), "file_read_error")
+    outcome = (F.when(F.col("_rejected"), "validation_error")
+               .when((total == 0) & (bad > 0), "file_read_error")
                .when(total == 0, "empty_file")
                .otherwise("ok"))
     return j.select(file_col,

@@ -50,11 +50,19 @@ def ingest_batch(spark: SparkSession, files: DataFrame, out_dir: str, batch_id:
     paths = [r["path"] for r in listed.select("path").collect()]  # bounded by max_files
     if not paths:
         return
-    rows = _read_batch_files(spark, paths)
+    # a file with another column layout is rejected, not read by position
+    heads = file_headers(spark, paths).withColumn(
+        "ok", header_matches(F.col("header"), [n for n, _ in TRACK_COLUMNS]))
+    bad_names = {r["file_name"] for r in heads.filter(~F.col("ok")).select("file_name").collect()}
+    rejected = listed.filter(F.col("file_name").isin(list(bad_names))).select("file_name")
+    paths = [p for p in paths if p.rstrip("/").split("/")[-1] not in bad_names]
+    rows = (_read_batch_files(spark, paths) if paths
+            else spark.createDataFrame([], track_schema(all_strings=True, corrupt_col=CORRUPT))
+            .withColumn("file_name", F.lit(None).cast("string")))
     rows = rows.withColumns({f.name: normalize_na(F.col(f.name)) for f in track_schema().fields})
     parsed = rows.persist()
     try:
-        _ingest_parsed(parsed, listed, out_dir, batch_id, suite)
+        _ingest_parsed(parsed, listed, out_dir, batch_id, suite, rejected)
     except Exception as e:  # noqa: BLE001 - recorded as a file outcome
         if on_error != "record":
             raise
@@ -74,13 +82,14 @@ def _record_failure(listed: DataFrame, out_dir: str, batch_id: int, message: str
     Q.alerts(failed, "file_name").write.mode("overwrite").parquet(f"{base}/alerts/batch_id={batch_id}")
 
 
-def _ingest_parsed(parsed: DataFrame, listed: DataFrame, out_dir: str, batch_id: int, suite) -> None:
+def _ingest_parsed(parsed: DataFrame, listed: DataFrame, out_dir: str, batch_id: int, suite,
+                   rejected: DataFrame | None = None) -> None:
     corrupt = (parsed.groupBy("file_name")
                .agg(F.count_if(F.col(CORRUPT).isNotNull()).alias("corrupt_rows")))
     ev = Q.evaluate(parsed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), suite).persist()
     try:
         stats = Q.file_stats(ev, suite, "file_name")
-        outcomes = Q.file_outcomes(listed.select("file_name"), stats, "file_name", corrupt)
+        outcomes = Q.file_outcomes(listed.select("file_name"), stats, "file_name", corrupt, rejected)
         full = outcomes.join(stats.select("file_name", *Q.ERROR_CLASSES, "error_counts"),
                              "file_name", "left")
         tag = F.lit(batch_id).alias("batch_id")

@@ -19,19 +19,21 @@ def test_ingest_stream_two_runs_and_routes(spark, tmpdir_fresh):
     assert stats.select("batch_id").distinct().count() == 2  # one file per micro-batch
     # second run: only the new files are processed (header-only, unreadable)
     write_csv(inbox, "empty.csv", [])
-    write_csv(inbox, "junk.csv", ["not,a,track", "x,y"], header="a,b,c")
+    write_csv(inbox, "junk.csv", ["not,a,track", "x,y"])
+    write_csv(inbox, "other.csv", ["Song,pop"], header="song,genre")
     q = ST.start_ingest(spark, inbox, out, ck, max_files=1)
     q.awaitTermination()
     stats = {r["file_name"]: r for r in spark.read.parquet(os.path.join(out, "stats")).collect()}
     assert stats["clean.csv"]["invalid_rows"] == 0 and stats["mixed.csv"]["invalid_rows"] == 1
     assert stats["empty.csv"]["outcome"] == "empty_file"
     assert stats["junk.csv"]["outcome"] == "file_read_error" and stats["junk.csv"]["corrupt_rows"] == 2
+    assert stats["other.csv"]["outcome"] == "validation_error"
     routed = spark.read.option("header", True).csv(os.path.join(out, "routed"))
     got = sorted((r["route"], r["dest_name"], r["song"]) for r in routed.collect())
     assert got == [("bad", "invalid_mixed.csv", "Delta"), ("good", "clean.csv", "Alpha"),
                    ("good", "clean.csv", "Beta"), ("good", "valid_mixed.csv", "Gamma")]
     alerts = spark.read.parquet(os.path.join(out, "alerts")).collect()
-    assert {a["file_name"] for a in alerts} == {"mixed.csv", "empty.csv", "junk.csv"}
+    assert {a["file_name"] for a in alerts} == {"mixed.csv", "empty.csv", "junk.csv", "other.csv"}
 
 
 def test_scoring_stream_upserts_and_ledger(spark, tmpdir_fresh):
