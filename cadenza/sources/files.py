@@ -23,6 +23,13 @@ def _csv(spark: SparkSession):
             .option("multiLine", False).option("mode", "PERMISSIVE"))
 
 
+def file_name():
+    """Source file name of each row. ``_metadata.file_name`` is
+    URL-encoded (a space reads as %20); decoded it matches the names a
+    file listing gives."""
+    return F.url_decode(F.col("_metadata.file_name"))
+
+
 def require_columns(columns: list[str], required: list[str]) -> list[str]:
     """Missing required column names (empty when the contract holds)."""
     have = set(columns)
@@ -41,7 +48,7 @@ def scan_raw(spark: SparkSession, path: str, required: list[str] | None = None)
     if missing:
         raise ValueError(f"missing columns: {missing}")
     df = df.withColumns({c: normalize_na(F.col(c)) for c in df.columns})
-    return df.withColumn("file_name", F.col("_metadata.file_name"))
+    return df.withColumn("file_name", file_name())
 
 
 def scan_tracks(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
@@ -75,7 +82,7 @@ def scan_corrupt(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     both halves read from it."""
     schema = track_schema(corrupt_col=CORRUPT)
     df = (_csv(spark).schema(schema).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
-          .withColumn("file_name", F.col("_metadata.file_name"))
+          .withColumn("file_name", file_name())
           .persist(StorageLevel.MEMORY_AND_DISK))
     bad = F.col(CORRUPT).isNotNull()
     return df.filter(~bad).drop(CORRUPT), df.filter(bad).select("file_name", CORRUPT)
@@ -123,7 +130,7 @@ def recent(df: DataFrame, ts_col: str, within: dt.timedelta, now=None) -> DataFr
 
 def register_upload(df: DataFrame) -> DataFrame:
     """Upload metadata rows: one per source file with the time seen."""
-    return (df.select(F.col("_metadata.file_name").alias("filename")).distinct()
+    return (df.select(file_name().alias("filename")).distinct()
             .withColumn("uploaded_at", F.current_timestamp()))
 
 
@@ -131,7 +138,7 @@ def file_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The header line of every file, in one distributed read: the first
     line of the split that starts at offset 0 (smallest row id there)."""
     lines = (spark.read.text(paths)
-             .select(F.col("_metadata.file_name").alias("file_name"),
+             .select(file_name().alias("file_name"),
                      F.col("_metadata.file_block_start").alias("_start"), "value",
                      F.monotonically_increasing_id().alias("_row")))
     return (lines.filter(F.col("_start") == 0)

@@ -20,10 +20,15 @@ from cadenza.functions.columns import cast_or_drop, letters_only, normalize_na
 from cadenza.operators import merge as M
 from cadenza.operators import quality as Q
 from cadenza.schema import SCORING_KEY, TRACK_COLUMNS, track_schema, track_suite
-from cadenza.sources.files import CORRUPT, discover_files, file_headers, header_matches
+from cadenza.sources.files import CORRUPT, discover_files, file_headers, file_name, header_matches
 from cadenza.sources.sinks import upsert_into
 
 
+def _name(path: str) -> str:
+    """File name of a listed path (listing paths are not URL-encoded)."""
+    return path.rstrip("/").split("/")[-1]
+
+
 def _file_stream(spark: SparkSession, in_dir: str, max_files: int, glob: str = "*.csv") -> DataFrame:
     return (spark.readStream.format("binaryFile")
             .schema("path string, modificationTime timestamp, length long, content binary")
@@ -36,7 +41,7 @@ def _read_batch_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return (spark.read.schema(schema).option("header", True).option("escape", '"')
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
             .csv(paths)
-            .withColumn("file_name", F.col("_metadata.file_name")))
+            .withColumn("file_name", file_name()))
 
 
 def ingest_batch(spark: SparkSession, files: DataFrame, out_dir: str, batch_id: int,
@@ -55,7 +60,7 @@ def ingest_batch(spark: SparkSession, files: DataFrame, out_dir: str, batch_id:
         "ok", header_matches(F.col("header"), [n for n, _ in TRACK_COLUMNS]))
     bad_names = {r["file_name"] for r in heads.filter(~F.col("ok")).select("file_name").collect()}
     rejected = listed.filter(F.col("file_name").isin(list(bad_names))).select("file_name")
-    paths = [p for p in paths if p.rstrip("/").split("/")[-1] not in bad_names]
+    paths = [p for p in paths if _name(p) not in bad_names]
     rows = (_read_batch_files(spark, paths) if paths
             else spark.createDataFrame([], track_schema(all_strings=True, corrupt_col=CORRUPT))
             .withColumn("file_name", F.lit(None).cast("string")))
@@ -130,7 +135,7 @@ def score_paths(spark: SparkSession, paths: list[str], table_dir: str, ledger_di
     heads = file_headers(spark, paths).withColumn(
         "ok", header_matches(F.col("header"), [n for n, _ in TRACK_COLUMNS]))
     good_names = {r["file_name"] for r in heads.filter("ok").select("file_name").collect()}
-    paths = [p for p in paths if p.rstrip("/").split("/")[-1] in good_names]
+    paths = [p for p in paths if _name(p) in good_names]
     if not paths:
         return
     raw = _read_batch_files(spark, paths).drop(CORRUPT)

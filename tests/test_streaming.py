@@ -11,7 +11,7 @@ def test_ingest_stream_two_runs_and_routes(spark, tmpdir_fresh):
     inbox = os.path.join(tmpdir_fresh, "inbox")
     out = os.path.join(tmpdir_fresh, "out")
     ck = os.path.join(tmpdir_fresh, "ck")
-    write_csv(inbox, "clean.csv", [track_line(song="Alpha"), track_line(song="Beta")])
+    write_csv(inbox, "clean data.csv", [track_line(song="Alpha"), track_line(song="Beta")])
     write_csv(inbox, "mixed.csv", [track_line(song="Gamma"), track_line(song="Delta", year="2024")])
     q = ST.start_ingest(spark, inbox, out, ck, max_files=1)
     q.awaitTermination()
@@ -24,14 +24,15 @@ def test_ingest_stream_two_runs_and_routes(spark, tmpdir_fresh):
     q = ST.start_ingest(spark, inbox, out, ck, max_files=1)
     q.awaitTermination()
     stats = {r["file_name"]: r for r in spark.read.parquet(os.path.join(out, "stats")).collect()}
-    assert stats["clean.csv"]["invalid_rows"] == 0 and stats["mixed.csv"]["invalid_rows"] == 1
+    assert stats["clean data.csv"]["invalid_rows"] == 0 and stats["mixed.csv"]["invalid_rows"] == 1
+    assert (stats["clean data.csv"]["total_rows"], stats["clean data.csv"]["outcome"]) == (2, "ok")
     assert stats["empty.csv"]["outcome"] == "empty_file"
     assert stats["junk.csv"]["outcome"] == "file_read_error" and stats["junk.csv"]["corrupt_rows"] == 2
     assert stats["other.csv"]["outcome"] == "validation_error"
     routed = spark.read.option("header", True).csv(os.path.join(out, "routed"))
     got = sorted((r["route"], r["dest_name"], r["song"]) for r in routed.collect())
-    assert got == [("bad", "invalid_mixed.csv", "Delta"), ("good", "clean.csv", "Alpha"),
-                   ("good", "clean.csv", "Beta"), ("good", "valid_mixed.csv", "Gamma")]
+    assert got == [("bad", "invalid_mixed.csv", "Delta"), ("good", "clean data.csv", "Alpha"),
+                   ("good", "clean data.csv", "Beta"), ("good", "valid_mixed.csv", "Gamma")]
     alerts = spark.read.parquet(os.path.join(out, "alerts")).collect()
     assert {a["file_name"] for a in alerts} == {"mixed.csv", "empty.csv", "junk.csv", "other.csv"}
 
