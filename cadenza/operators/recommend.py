@@ -33,13 +33,18 @@ def with_outcome(result: DataFrame, message: str) -> DataFrame:
 def similar_songs(catalogue: DataFrame, song: str | None = None, artist: str | None = None,
                   id_col: str = "id", features: list[str] | None = None,
                   category: str | None = "genre", k: int = 5, n: int = 5,
-                  regex: bool = False) -> DataFrame:
+                  regex: bool = False, candidates: str = "top_k") -> DataFrame:
     """Songs similar to the rows matching a song and/or artist text.
 
     Matches are standard-scaled (population std, fitted on the matches)
     plus a one-hot category; candidates are the union of every match's
     top ``k`` (self excluded); they are ranked by their mean similarity to
-    all matches, best ``n`` kept."""
+    all matches, best ``n`` kept.
+
+    The candidate rule is quadratic in the number of matches.
+    ``candidates="all"`` ranks every match by its mean similarity instead
+    (linear; it can differ, since a row with a high mean may be in no
+    match's top ``k``)."""
     spark = catalogue.sparkSession
     if not song and not artist:
         return spark.range(1).select(F.lit(NO_INPUT).alias("message"))
@@ -50,9 +55,13 @@ def similar_songs(catalogue: DataFrame, song: str | None = None, artist: str | N
         m = m.filter(contains_ci("artist", artist, regex))
     feats = features or SIMILAR_FEATURES
     z = FE.standardize(m, feats).withColumn("_vec", FE.assemble(*feats))
-    cand = (SIM.top_k_neighbours(z, id_col, "_vec", k, category_col=category)
-            .select(F.col("rid").alias(id_col)).distinct())
-    ms = SIM.mean_similarity(z, id_col, "_vec", category_col=category).join(cand, id_col, "left_semi")
+    ms = SIM.mean_similarity(z, id_col, "_vec", category_col=category)
+    if candidates == "top_k":
+        cand = (SIM.top_k_neighbours(z, id_col, "_vec", k, category_col=category)
+                .select(F.col("rid").alias(id_col)).distinct())
+        ms = ms.join(cand, id_col, "left_semi")
+    elif candidates != "all":
+        raise ValueError("candidates must be 'top_k' or 'all'")
     best = (SIM.top_n(ms, "mean_similarity", id_col, n)
             .select(id_col, "song", "artist", F.col("mean_similarity").alias("similarity_score")))
     return with_outcome(best, NO_MATCH)

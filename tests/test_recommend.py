@@ -28,6 +28,8 @@ def test_similar_songs_outcomes(spark):
     assert 1 <= len(got) <= 5 and all(r["message"] is None for r in got)
     scores = [r["similarity_score"] for r in got]
     assert scores == sorted(scores, reverse=True)
+    linear = RC.similar_songs(cat, song="RING", candidates="all").collect()
+    assert len(linear) == 5 and linear[0]["similarity_score"] >= scores[0]
 
 
 def test_recommend_names_excludes_self_and_reports_unknown(spark):
