@@ -12,12 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.schema import NA_TOKENS
-
-# --- fixed values: result texts --------------------------------------------
-TEMPLATE_SINGLE = "Predicted for %s with %s danceability and %s tempo"
-NOT_FOUND = "Song not found"
-
+from cadenza.schema import NA_TOKENS, NOT_FOUND, TEMPLATE_SINGLE  # noqa: F401
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col

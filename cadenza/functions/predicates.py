@@ -8,10 +8,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# --- fixed values: "no filter" words ---------------------------------------
-ALL_WORDS = ("all",)          # category filter: any case
-SOURCE_ALL = ("ALL", "all")   # source filter: these two spellings
-PAGE_LIMIT_RANGE = (1, 100)
+from cadenza.schema import ALL_WORDS, PAGE_LIMIT_RANGE, SOURCE_ALL
 
 
 def _c(col) -> Column:

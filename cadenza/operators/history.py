@@ -7,14 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import predicates as P
 from cadenza.operators.summary import score_summary
-
-# --- fixed values: stored columns per prediction kind ----------------------
-KIND_COLUMNS = {
-    "single": ["id", "song", "duration_ms", "year", "energy", "loudness", "genre",
-               "predicted_popularity", "source", "created_at"],
-    "similar": ["id", "reference_song", "reference_artist", "similar_songs", "source", "created_at"],
-    "multiple": ["id", "batch_data", "source", "created_at"],
-}
+from cadenza.schema import KIND_COLUMNS
 
 
 def history(df: DataFrame, ts_col: str, start=None, end=None, mode: str = "next_midnight",

@@ -15,16 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# --- fixed values: error classes and the severity scale --------------------
-ERROR_CLASSES = ["missing_values", "invalid_types", "out_of_range",
-                 "invalid_format", "other_errors"]
-KIND_CLASS = {"not_null": "missing_values", "of_type": "invalid_types",
-              "between": "out_of_range", "not_match": "invalid_format"}
-SEVERITY_HIGH_ABOVE = 0.7
-SEVERITY_MEDIUM_ABOVE = 0.3
-SEVERITY_COLOURS = {"HIGH": "FF0000", "MEDIUM": "FFA500", "LOW": "0076D7"}
-FILE_OUTCOMES = ["ok", "empty_file", "file_read_error", "validation_error",
-                 "critical_error"]
+from cadenza.schema import (ERROR_CLASSES, FILE_OUTCOMES, KIND_CLASS,  # noqa: F401
+                            SEVERITY_COLOURS, SEVERITY_HIGH_ABOVE, SEVERITY_MEDIUM_ABOVE)
 
 FAILED = "failed"
 

@@ -11,11 +11,8 @@ from cadenza.functions.predicates import contains_ci
 from cadenza.operators import features as FE
 from cadenza.operators import similarity as SIM
 from cadenza.operators.lookup import first_by_name
-from cadenza.schema import RECOMMENDER_FEATURES, SIMILAR_FEATURES
+from cadenza.schema import NO_INPUT, NO_MATCH, RECOMMENDER_FEATURES, SIMILAR_FEATURES
 
-# --- fixed values: outcome messages -----------------------------------------
-NO_INPUT = "Please provide artist or song name"
-NO_MATCH = "No matching songs found"
 
 
 def with_outcome(result: DataFrame, message: str) -> DataFrame:

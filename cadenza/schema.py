@@ -1,4 +1,4 @@
-"""Fixed schemas and fixed values the engine must reproduce."""
+"""Fixed schemas and fixed values the engine must reproduce (all in one place)."""
 
 from __future__ import annotations
 
@@ -50,6 +50,44 @@ PREDICTION_KINDS = ["single", "similar", "multiple"]
 SOURCES = ["WEBAPP", "SCHEDULED"]
 
 
+# --- fixed values: quality error classes and the severity scale ------------
+ERROR_CLASSES = ["missing_values", "invalid_types", "out_of_range",
+                 "invalid_format", "other_errors"]
+KIND_CLASS = {"not_null": "missing_values", "of_type": "invalid_types",
+              "between": "out_of_range", "not_match": "invalid_format"}
+SEVERITY_HIGH_ABOVE = 0.7
+SEVERITY_MEDIUM_ABOVE = 0.3
+SEVERITY_COLOURS = {"HIGH": "FF0000", "MEDIUM": "FFA500", "LOW": "0076D7"}
+FILE_OUTCOMES = ["ok", "empty_file", "file_read_error", "validation_error",
+                 "critical_error"]
+
+# --- fixed values: result and outcome texts --------------------------------
+TEMPLATE_SINGLE = "Predicted for %s with %s danceability and %s tempo"
+NOT_FOUND = "Song not found"
+NO_INPUT = "Please provide artist or song name"
+NO_MATCH = "No matching songs found"
+
+# --- fixed values: "no filter" words and paging limits ---------------------
+ALL_WORDS = ("all",)          # category filter: any case
+SOURCE_ALL = ("ALL", "all")   # source filter: these two spellings
+PAGE_LIMIT_RANGE = (1, 100)
+
+# --- fixed values: stored columns per prediction kind ----------------------
+KIND_COLUMNS = {
+    "single": ["id", "song", "duration_ms", "year", "energy", "loudness", "genre",
+               "predicted_popularity", "source", "created_at"],
+    "similar": ["id", "reference_song", "reference_artist", "similar_songs", "source", "created_at"],
+    "multiple": ["id", "batch_data", "source", "created_at"],
+}
+
+# --- fixed values: synthetic generator vocabularies and ranges -------------
+FULL_GENRES = ["Pop", "Rock", "Hip Hop", "Electronic", "R&B", "Country", "Jazz",
+               "Classical", "Folk", "Reggae"]
+SMALL_GENRES = ["pop", "rock", "jazz", "hip-hop", "classical"]
+FULL_ARTISTS = 20      # Artist_1 .. Artist_20
+FULL_SONGS = 100       # Song_1 .. Song_100
+
+
 def track_schema(all_strings: bool = False, corrupt_col: str | None = None) -> T.StructType:
     """The 18-column track schema; ``all_strings`` reads raw text for checks."""
     fields = [T.StructField(n, T.StringType() if all_strings else t, True)

@@ -8,12 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# --- fixed values: generator vocabularies and ranges -----------------------
-FULL_GENRES = ["Pop", "Rock", "Hip Hop", "Electronic", "R&B", "Country", "Jazz",
-               "Classical", "Folk", "Reggae"]
-SMALL_GENRES = ["pop", "rock", "jazz", "hip-hop", "classical"]
-FULL_ARTISTS = 20      # Artist_1 .. Artist_20
-FULL_SONGS = 100       # Song_1 .. Song_100
+from cadenza.schema import FULL_ARTISTS, FULL_GENRES, FULL_SONGS, SMALL_GENRES
 
 
 def _uniform(seed: int, lo: float, hi: float, digits: int | None = None) -> Column:
