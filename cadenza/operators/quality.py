@@ -284,3 +284,22 @@ def profile(df: DataFrame, cols: list[str], bins: int = 10) -> DataFrame:
             .filter(F.col("value").isNotNull())
             .groupBy("feature", b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("rows")))
     return stats, hist
+
+
+def training_stats(df: DataFrame, cols: list[str], bins: int = 10) -> DataFrame:
+    """The training-statistics table: one row per feature with mean,
+    population std and ``distribution`` = [(lo, hi, n)] per bin, in bin
+    order (bins without rows are omitted). Nesting is bounded by ``bins``."""
+    stats, hist = profile(df, cols, bins)
+    edges = stats.select("feature", "lo", "hi", "mean", "std")
+    width = (F.col("hi") - F.col("lo")) / bins
+    b = (hist.join(F.broadcast(edges), "feature")
+         .select("feature", "mean", "std", "bin",
+                 F.struct((F.col("lo") + F.col("bin") * width).alias("lo"),
+                          F.when(F.col("bin") == bins - 1, F.col("hi"))
+                          .otherwise(F.col("lo") + (F.col("bin") + 1) * width).alias("hi"),
+                          F.col("rows").alias("n")).alias("_b")))
+    return (b.groupBy("feature", "mean", "std")
+            .agg(F.array_sort(F.collect_list(F.struct("bin", "_b"))).alias("_bins"))
+            .select("feature", "mean", "std",
+                    F.transform("_bins", lambda e: e["_b"]).alias("distribution")))

@@ -91,3 +91,12 @@ def test_split_by_is_an_exact_complement(spark):
     valid, invalid = Q.split_by(Q.evaluate(df, suite))
     assert valid.count() + invalid.count() == 50
     assert valid.count() == 26 and invalid.filter(F.col("x") <= 2.5).count() == 0
+
+
+def test_training_stats_shape(spark):
+    df = spark.range(100).select(F.col("id").cast("double").alias("x"))
+    r = Q.training_stats(df, ["x"], bins=4).collect()[0]
+    assert r["feature"] == "x" and abs(r["mean"] - 49.5) < 1e-12
+    d = r["distribution"]
+    assert [b["n"] for b in d] == [25, 25, 25, 25]
+    assert d[0]["lo"] == 0.0 and d[-1]["hi"] == 99.0
