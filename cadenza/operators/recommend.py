@@ -90,3 +90,22 @@ def recommend(catalogue: DataFrame, names: DataFrame, n: int = 1, name_col: str
                        F.lit(None).cast("double").alias("similarity_score"),
                        F.lit(NOT_FOUND).alias("error")))
     return found.unionByName(missing)
+
+
+def similar_record(result: DataFrame, song: str | None, artist: str | None,
+                   source: str = "WEBAPP") -> DataFrame:
+    """The stored similar-songs record: one row with the request and the
+    list of {song, artist, similarity_score} (at most ``n`` entries, in
+    score order), or the outcome message when there was no answer."""
+    items = F.struct("song", "artist", "similarity_score")
+    ranked = result.filter(F.col("message").isNull()) if "message" in result.columns else result
+    rec = ranked.agg(F.sort_array(F.collect_list(F.struct(
+        (-F.col("similarity_score")).alias("_k"), items.alias("_v")))).alias("_l"))
+    out = rec.select(F.lit(song).cast("string").alias("reference_song"),
+                     F.lit(artist).cast("string").alias("reference_artist"),
+                     F.transform("_l", lambda e: e["_v"]).alias("similar_songs"),
+                     F.lit(source).alias("source"),
+                     F.current_timestamp().alias("created_at"))
+    if "message" in result.columns:
+        out = out.withColumn("message", result.agg(F.max("message")).scalar())
+    return out

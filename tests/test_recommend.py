@@ -81,3 +81,13 @@ def test_history_prunes_kind_partition(spark, tmpdir_fresh):
     with contextlib.redirect_stdout(buf):
         h.explain(mode="formatted")
     assert "PartitionFilters: [isnotnull(kind" in buf.getvalue()
+
+
+def test_similar_record(spark):
+    cat = _cat(spark)
+    rec = RC.similar_record(RC.similar_songs(cat, song="RING"), "RING", None).collect()[0]
+    assert rec["reference_song"] == "RING" and rec["message"] is None
+    scores = [x["similarity_score"] for x in rec["similar_songs"]]
+    assert 1 <= len(scores) <= 5 and scores == sorted(scores, reverse=True)
+    none = RC.similar_record(RC.similar_songs(cat, song="zzz"), "zzz", None).collect()[0]
+    assert none["similar_songs"] == [] and none["message"] == RC.NO_MATCH
