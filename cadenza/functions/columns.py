@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.schema import NA_TOKENS, NOT_FOUND, TEMPLATE_SINGLE  # noqa: F401
+from cadenza.schema import NA_TOKENS, TEMPLATE_SINGLE
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col

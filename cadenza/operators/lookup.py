@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.columns import NOT_FOUND
+from cadenza.schema import NOT_FOUND
 
 
 def name_exists(requests: DataFrame, catalogue: DataFrame, name_col: str,

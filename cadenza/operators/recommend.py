@@ -6,12 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.columns import NOT_FOUND
 from cadenza.functions.predicates import contains_ci
 from cadenza.operators import features as FE
 from cadenza.operators import similarity as SIM
 from cadenza.operators.lookup import first_by_name
-from cadenza.schema import NO_INPUT, NO_MATCH, RECOMMENDER_FEATURES, SIMILAR_FEATURES
+from cadenza.schema import NO_INPUT, NO_MATCH, NOT_FOUND, RECOMMENDER_FEATURES, SIMILAR_FEATURES
 
 
 
