@@ -13,7 +13,6 @@ from cadenza.operators.lookup import first_by_name
 from cadenza.schema import NO_INPUT, NO_MATCH, NOT_FOUND, RECOMMENDER_FEATURES, SIMILAR_FEATURES
 
 
-
 def with_outcome(result: DataFrame, message: str) -> DataFrame:
     """``result`` plus a ``message`` column; when ``result`` is empty a
     single row carrying only ``message`` is returned instead (an EXISTS
