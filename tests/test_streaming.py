@@ -153,3 +153,13 @@ def test_scoring_skips_files_with_another_layout(spark, tmpdir_fresh):
     ST.start_scoring(spark, good, table, ledger, os.path.join(tmpdir_fresh, "ck"), scorer).awaitTermination()
     assert sorted(r["song"] for r in spark.read.parquet(table).collect()) == ["Fine", "Loud"]
     assert sorted(r["filename"] for r in spark.read.parquet(ledger).collect()) == ["UPPER.CSV", "ok.csv"]
+
+
+def test_cli_ingest_once(spark, tmpdir_fresh):
+    from cadenza import cli
+    inbox, out = os.path.join(tmpdir_fresh, "in"), os.path.join(tmpdir_fresh, "out")
+    write_csv(inbox, "one.csv", [track_line(song="Alpha"), track_line(song="Beta", pop="150")])
+    assert cli.main(["ingest", "--inbox", inbox, "--out", out,
+                     "--checkpoint", os.path.join(tmpdir_fresh, "ck")]) == 0
+    st = spark.read.parquet(os.path.join(out, "stats")).collect()
+    assert [(r["file_name"], r["valid_rows"], r["invalid_rows"], r["outcome"]) for r in st] == [("one.csv", 1, 1, "ok")]
