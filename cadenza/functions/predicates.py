@@ -75,10 +75,15 @@ def between_days(col, start=None, end=None, mode: str = "next_midnight") -> Colu
     return cond
 
 
+def above_max(col, limit) -> Column:
+    """True for rows above ``limit`` (shown), false at or below (kept)."""
+    return _c(col) > limit
+
+
 def split_max(df: DataFrame, col: str, limit) -> tuple[DataFrame, DataFrame]:
     """(rows above ``limit``, rows at or below it)."""
-    c = F.col(col)
-    return df.filter(c > limit), df.filter(c <= limit)
+    above = above_max(col, limit)
+    return df.filter(above), df.filter(~above)
 
 
 def check_page(limit: int, offset: int) -> None:

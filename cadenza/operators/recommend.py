@@ -11,6 +11,7 @@ from cadenza.operators import features as FE
 from cadenza.operators import similarity as SIM
 from cadenza.operators.lookup import first_by_name
 from cadenza.schema import NO_INPUT, NO_MATCH, NOT_FOUND, RECOMMENDER_FEATURES, SIMILAR_FEATURES
+from cadenza.session import checkpoint_dir
 
 
 def with_outcome(result: DataFrame, message: str) -> DataFrame:
@@ -71,9 +72,18 @@ def recommend(catalogue: DataFrame, names: DataFrame, n: int = 1, name_col: str
     Unknown names get an error text. Work is O(requests x catalogue)."""
     feats = features or RECOMMENDER_FEATURES
     scaled = FE.minmax(catalogue, feats).withColumn("_vec", FE.assemble(*feats))
-    first = first_by_name(scaled.select(name_col, id_col, "_vec"), name_col, id_col)
     req = names.select(req_col).distinct()
-    hits = req.join(first, F.col(req_col) == F.col(name_col), "inner").select(req_col, id_col, "_vec")
+    # only the requested names are reduced to their first row (a semi join
+    # against the small request list, before the aggregate)
+    asked = scaled.select(name_col, id_col, "_vec").join(
+        req.withColumnRenamed(req_col, name_col), name_col, "left_semi")
+    first = first_by_name(asked, name_col, id_col)
+    # the matched requests (bounded by the request list) feed three
+    # branches; one reliable checkpoint keeps the catalogue from being
+    # scanned again for each of them
+    checkpoint_dir(catalogue.sparkSession)
+    hits = (req.join(first, F.col(req_col) == F.col(name_col), "inner")
+            .select(req_col, id_col, "_vec").checkpoint(eager=True))
     nb = SIM.top_k_neighbours(scaled, id_col, "_vec", n, queries=hits.select(id_col, "_vec"))
     attrs = catalogue.select(F.col(id_col).alias("rid"), *[F.col(c).alias(f"recommended_{c}")
                                                           for c in result_cols])

@@ -169,10 +169,11 @@ def source_filter(spark, sf):
 @plan("split_max", """
 SELECT o_orderkey, CASE WHEN year(o_orderdate) > 1999 THEN 'above' ELSE 'kept' END AS side FROM orders""")
 def split_max(spark, sf):
+    # both halves of the split in one pass: each row is labelled by the
+    # predicate split_max filters on
     o = table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
-    above, kept = P.split_max(o, "year", 1999)
-    return (above.select("o_orderkey", F.lit("above").alias("side"))
-            .unionByName(kept.select("o_orderkey", F.lit("kept").alias("side"))))
+    return o.select("o_orderkey", F.when(P.above_max("year", 1999), "above")
+                    .otherwise("kept").alias("side"))
 
 
 # --- lookups: requests are part names of large parts plus supplier names --
