@@ -50,7 +50,12 @@ def similar_songs(catalogue: DataFrame, song: str | None = None, artist: str | N
     if artist:
         m = m.filter(contains_ci("artist", artist, regex))
     feats = features or SIMILAR_FEATURES
-    z = FE.standardize(m, feats).withColumn("_vec", FE.assemble(*feats))
+    # the matches (a subset of the catalogue) feed several branches: one
+    # reliable checkpoint reads the catalogue once
+    checkpoint_dir(spark)
+    z = (FE.standardize(m, feats).withColumn("_vec", FE.assemble(*feats))
+         .select(id_col, "song", "artist", "_vec", *([category] if category else []))
+         .checkpoint(eager=True))
     ms = SIM.mean_similarity(z, id_col, "_vec", category_col=category)
     if candidates == "top_k":
         cand = (SIM.top_k_neighbours(z, id_col, "_vec", k, category_col=category)

@@ -9,6 +9,7 @@ from cadenza.functions.predicates import contains_ci
 from cadenza.operators import features as FE
 from cadenza.operators import similarity as SIM
 from cadenza.plans.registry import plan
+from cadenza.session import checkpoint_dir
 from cadenza.tables import table
 
 R = 6  # output rounding of scores
@@ -145,7 +146,10 @@ FROM cand JOIN ms ON cand.r = ms.r JOIN z ON z.p_partkey = cand.r
 ORDER BY round(ms.score, 9) DESC, z.p_partkey LIMIT 5""")
 def similar_full(spark, sf):
     matches = table(spark, sf, "part").filter(contains_ci("p_name", "ring"))
-    z = _part_vectors(matches).select("p_partkey", "p_name", "p_brand", "p_type", "vec")
+    # the matches feed several branches: one reliable checkpoint reads part once
+    checkpoint_dir(spark)
+    z = (_part_vectors(matches).select("p_partkey", "p_name", "p_brand", "p_type", "vec")
+         .checkpoint(eager=True))
     cand = (SIM.top_k_neighbours(z, "p_partkey", "vec", 5, category_col="p_type")
             .select(F.col("rid").alias("p_partkey")).distinct())
     ms = SIM.mean_similarity(z, "p_partkey", "vec", category_col="p_type").join(cand, "p_partkey", "left_semi")
