@@ -19,9 +19,12 @@ from cadenza.session import checkpoint_dir
 
 
 def ordinal(df: DataFrame, group_cols: list[str], order_cols: list[str],
-            name: str = "rn", num_partitions: int | None = None) -> DataFrame:
+            name: str = "rn", num_partitions: int | None = None,
+            keep_task_ids: bool = False) -> DataFrame:
     """Add ``name``: 1-based position of each row in its group by
-    ``order_cols``, which must be a total order inside the group."""
+    ``order_cols``, which must be a total order inside the group.
+    ``keep_task_ids`` also keeps ``task_id``, the task that numbered the
+    row (to inspect how a hot group was spread)."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     keys = list(group_cols) + list(order_cols)
@@ -45,5 +48,7 @@ def ordinal(df: DataFrame, group_cols: list[str], order_cols: list[str],
     spans = spans.withColumn("_offset", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
     out = numbered.join(spans.select("_pid", *group_cols, "_offset", "_first"),
                         ["_pid", *group_cols], "inner")
-    return (out.withColumn(name, F.col("_offset") + F.col("_local") - F.col("_first") + 1)
-            .drop("_pid", "_local", "_offset", "_first"))
+    out = out.withColumn(name, F.col("_offset") + F.col("_local") - F.col("_first") + 1)
+    if keep_task_ids:
+        out = out.withColumnRenamed("_pid", "task_id")
+    return out.drop("_pid", "_local", "_offset", "_first")

@@ -82,3 +82,17 @@ def test_duplicate_report(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "k string, n int")
     r = M.duplicate_report(df, ["k", "n"]).collect()[0]
     assert (r["n_rows"], r["n_unique"], r["n_removed"]) == (3, 2, 1)
+
+
+def test_hot_group_is_numbered_by_many_tasks(spark):
+    # one "file" holds about two thirds of the rows, derived from a given table
+    li = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select(
+        F.when(F.col("l_returnflag") != "N", F.lit("hot")).otherwise(F.col("l_returnflag")).alias("f"),
+        "l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    got = ordinal(li, ["f"], order, num_partitions=8, keep_task_ids=True)
+    tasks = got.filter(F.col("f") == "hot").select("task_id").distinct().count()
+    assert tasks >= 4  # the hot group is spread, not funnelled into one task
+    ref = li.withColumn("rn_ref", F.row_number().over(Window.partitionBy("f").orderBy(*order)))
+    bad = got.join(ref, ["f", *order]).filter(F.col("rn") != F.col("rn_ref")).count()
+    assert bad == 0
