@@ -96,3 +96,12 @@ def test_hot_group_is_numbered_by_many_tasks(spark):
     ref = li.withColumn("rn_ref", F.row_number().over(Window.partitionBy("f").orderBy(*order)))
     bad = got.join(ref, ["f", *order]).filter(F.col("rn") != F.col("rn_ref")).count()
     assert bad == 0
+
+
+def test_dedupe_and_upsert_with_a_hot_key(spark):
+    rows = [("hot" if i % 3 == 0 else f"k{i}", i, f"v{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, t int, v string").repartition(8)
+    first = {r["k"]: r["v"] for r in M.dedupe_first(df, ["k"], ["t"]).collect()}
+    latest = {r["k"]: r["v"] for r in M.latest_per_key(df, ["k"], ["t"]).collect()}
+    assert first["hot"] == "v0" and latest["hot"] == "v2997"
+    assert len(first) == len(latest) == 1 + sum(1 for i in range(3000) if i % 3)

@@ -106,3 +106,18 @@ def test_top_k_every_query_answered_many_blocks(spark):
     for r in got.orderBy("qid", "rank").collect():
         g.setdefault(r["qid"], []).append(r["rid"])
     assert g == _topk_ref(_brute(vecs), list(range(900)), 3)
+
+
+def test_top_k_with_a_third_of_rows_identical(spark):
+    rng = np.random.default_rng(11)
+    vecs = rng.normal(size=(150, 6)).tolist()
+    copy = vecs[0]
+    for i in range(0, 150, 3):  # a third of all rows are the same vector
+        vecs[i] = list(copy)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vecs)], "id long, v array<double>")
+    got = SIM.top_k_neighbours(df, "id", "v", 4, block_rows=32)
+    g = {}
+    for r in got.orderBy("qid", "rank").collect():
+        g.setdefault(r["qid"], []).append(r["rid"])
+    assert g == _topk_ref(_brute(vecs), list(range(150)), 4)
+    assert got.count() == 150 * 4  # bounded output: k rows per item, no pair explosion
