@@ -134,17 +134,6 @@ def register_upload(df: DataFrame) -> DataFrame:
             .withColumn("uploaded_at", F.current_timestamp()))
 
 
-def file_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The header line of every file, in one distributed read: the first
-    line of the split that starts at offset 0 (smallest row id there)."""
-    lines = (spark.read.text(paths)
-             .select(file_name().alias("file_name"),
-                     F.col("_metadata.file_block_start").alias("_start"), "value",
-                     F.monotonically_increasing_id().alias("_row")))
-    return (lines.filter(F.col("_start") == 0)
-            .groupBy("file_name").agg(F.min_by("value", "_row").alias("header")))
-
-
 def header_matches(header_col, expected: list[str]):
     """True when a header line names exactly ``expected`` in order (case
     and surrounding quotes/spaces ignored, legacy names mapped)."""

@@ -20,7 +20,7 @@ from cadenza.functions.columns import cast_or_drop, letters_only, normalize_na
 from cadenza.operators import merge as M
 from cadenza.operators import quality as Q
 from cadenza.schema import SCORING_KEY, TRACK_COLUMNS, track_schema, track_suite
-from cadenza.sources.files import CORRUPT, discover_files, file_headers, file_name, header_matches
+from cadenza.sources.files import CORRUPT, discover_files, file_name, header_matches
 from cadenza.sources.sinks import upsert_into
 
 
@@ -37,11 +37,33 @@ def _file_stream(spark: SparkSession, in_dir: str, max_files: int, glob: str = "
 
 
 def _read_batch_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One read of the given files, header lines included (they are found
+    and checked in :func:`_split_headers`, not re-read)."""
     schema = track_schema(all_strings=True, corrupt_col=CORRUPT)
-    return (spark.read.schema(schema).option("header", True).option("escape", '"')
+    return (spark.read.schema(schema).option("header", False).option("escape", '"')
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
             .csv(paths)
-            .withColumn("file_name", file_name()))
+            .withColumn("file_name", file_name())
+            .withColumn("_start", F.col("_metadata.file_block_start"))
+            .withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _split_headers(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(header check per file, data rows of files with the track layout).
+
+    A file's header is the first row of the split that starts at offset 0
+    (the smallest row id there); its text is the raw line when it did not
+    parse, else the parsed fields joined by commas. ``parsed`` must be
+    persisted (row ids are then fixed)."""
+    names = [n for n, _ in TRACK_COLUMNS]
+    line = F.coalesce(F.col(CORRUPT), F.concat_ws(",", *[F.coalesce(F.col(n), F.lit("")) for n in names]))
+    heads = (parsed.filter(F.col("_start") == 0).groupBy("file_name")
+             .agg(F.min("_row").alias("_hrow"), F.min_by(line, F.col("_row")).alias("header"))
+             .withColumn("ok", header_matches(F.col("header"), names)))
+    rows = (parsed.join(heads.select("file_name", "_hrow", "ok"), "file_name", "inner")
+            .filter((F.col("_row") != F.col("_hrow")) & F.col("ok"))
+            .drop("_hrow", "ok", "_start", "_row"))
+    return heads, rows
 
 
 def ingest_batch(spark: SparkSession, files: DataFrame, out_dir: str, batch_id: int,
@@ -55,19 +77,15 @@ def ingest_batch(spark: SparkSession, files: DataFrame, out_dir: str, batch_id:
     paths = [r["path"] for r in listed.select("path").collect()]  # bounded by max_files
     if not paths:
         return
-    # a file with another column layout is rejected, not read by position
-    heads = file_headers(spark, paths).withColumn(
-        "ok", header_matches(F.col("header"), [n for n, _ in TRACK_COLUMNS]))
-    bad_names = {r["file_name"] for r in heads.filter(~F.col("ok")).select("file_name").collect()}
-    rejected = listed.filter(F.col("file_name").isin(list(bad_names))).select("file_name")
-    paths = [p for p in paths if _name(p) not in bad_names]
-    rows = (_read_batch_files(spark, paths) if paths
-            else spark.createDataFrame([], track_schema(all_strings=True, corrupt_col=CORRUPT))
-            .withColumn("file_name", F.lit(None).cast("string")))
-    rows = rows.withColumns({f.name: normalize_na(F.col(f.name)) for f in track_schema().fields})
-    parsed = rows.persist()
+    # one read: header lines are checked in the same persisted frame; a
+    # file with another column layout is rejected, not read by position
+    parsed = _read_batch_files(spark, paths)
+    parsed = parsed.withColumns({f.name: normalize_na(F.col(f.name))
+                                 for f in track_schema().fields}).persist()
     try:
-        _ingest_parsed(parsed, listed, out_dir, batch_id, suite, rejected)
+        heads, rows = _split_headers(parsed)
+        rejected = heads.filter(~F.col("ok")).select("file_name")
+        _ingest_parsed(rows, listed, out_dir, batch_id, suite, rejected)
     except Exception as e:  # noqa: BLE001 - recorded as a file outcome
         if on_error != "record":
             raise
@@ -130,15 +148,19 @@ def score_paths(spark: SparkSession, paths: list[str], table_dir: str, ledger_di
     that do not cast or whose song breaks the letters-only rule are
     skipped, not fatal. The ledger gets one entry per file with at least
     one stored row (with its fingerprint when ``listing`` gives one)."""
-    # files whose header is not the track layout are skipped (a positional
-    # read would misplace their columns); they stay out of the ledger
-    heads = file_headers(spark, paths).withColumn(
-        "ok", header_matches(F.col("header"), [n for n, _ in TRACK_COLUMNS]))
-    good_names = {r["file_name"] for r in heads.filter("ok").select("file_name").collect()}
-    paths = [p for p in paths if _name(p) in good_names]
-    if not paths:
-        return
-    raw = _read_batch_files(spark, paths).drop(CORRUPT)
+    # one read; files whose header is not the track layout are skipped (a
+    # positional read would misplace their columns) and stay out of the ledger
+    parsed = _read_batch_files(spark, paths).persist()
+    try:
+        _score_parsed(spark, parsed, table_dir, ledger_dir, batch_id, scorer, order, buckets, listing)
+    finally:
+        parsed.unpersist()
+
+
+def _score_parsed(spark, parsed, table_dir, ledger_dir, batch_id, scorer, order, buckets, listing):
+    _heads, rows = _split_headers(parsed)
+    raw = (rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+           .withColumns({c: normalize_na(F.col(c)) for c in ("song", "genre")}))
     types = {"duration_ms": "int", "year": "int", "energy": "double", "loudness": "double"}
     kept, _ = cast_or_drop(raw.filter(F.col("song").isNotNull() & F.col("genre").isNotNull()), types)
     kept = kept.filter(letters_only("song", unicode=False))
