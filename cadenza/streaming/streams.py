@@ -125,6 +125,12 @@ def _ingest_parsed(parsed: DataFrame, listed: DataFrame, out_dir: str, batch_id:
          .parquet(f"{base}/details/batch_id={batch_id}"))
         routed = Q.route(ev, suite, "file_name")
         Q.write_routed(routed.drop(Q.FAILED), f"{base}/routed/batch_id={batch_id}")
+        # the ingested-data table: accepted rows, typed, with their ingestion time
+        typed = [F.col(n).try_cast(t.simpleString()).alias(n) if t.typeName() != "string" else F.col(n)
+                 for n, t in TRACK_COLUMNS]
+        (routed.filter(F.col("route") == "good")
+         .select(*typed, "file_name", F.current_timestamp().alias("ingestion_timestamp"))
+         .write.mode("overwrite").parquet(f"{base}/ingested/batch_id={batch_id}"))
     finally:
         ev.unpersist()
 

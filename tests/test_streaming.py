@@ -33,6 +33,9 @@ def test_ingest_stream_two_runs_and_routes(spark, tmpdir_fresh):
     got = sorted((r["route"], r["dest_name"], r["song"]) for r in routed.collect())
     assert got == [("bad", "invalid_mixed.csv", "Delta"), ("good", "clean data.csv", "Alpha"),
                    ("good", "clean data.csv", "Beta"), ("good", "valid_mixed.csv", "Gamma")]
+    ingested = spark.read.parquet(os.path.join(out, "ingested"))
+    assert sorted(r["song"] for r in ingested.collect()) == ["Alpha", "Beta", "Gamma"]
+    assert dict(ingested.dtypes)["year"] == "int" and ingested.filter("ingestion_timestamp is null").count() == 0
     alerts = spark.read.parquet(os.path.join(out, "alerts")).collect()
     assert {a["file_name"] for a in alerts} == {"mixed.csv", "empty.csv", "junk.csv", "other.csv"}
 
