@@ -122,3 +122,16 @@ def similar_record(result: DataFrame, song: str | None, artist: str | None,
     if "message" in result.columns:
         out = out.withColumn("message", result.agg(F.max("message")).scalar())
     return out
+
+
+def recommend_record(result: DataFrame, req_col: str = "request",
+                     result_cols: tuple[str, ...] = ("song", "artist", "genre")) -> DataFrame:
+    """The stored recommendation record of one request batch: the list of
+    requested names and a map name -> best result (or its error). Nesting
+    is bounded by the request list (one entry per distinct name)."""
+    best = result.filter(F.col("rank").isNull() | (F.col("rank") == 1))
+    value = F.struct(*[F.col(f"recommended_{c}").alias(f"recommended_{c}") for c in result_cols],
+                     "similarity_score", "error")
+    return (best.agg(F.sort_array(F.collect_list(F.col(req_col))).alias("input_songs"),
+                     F.map_from_entries(F.collect_list(F.struct(F.col(req_col), value))).alias("output"))
+            .withColumn("created_at", F.current_timestamp()))

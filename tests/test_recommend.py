@@ -91,3 +91,12 @@ def test_similar_record(spark):
     assert 1 <= len(scores) <= 5 and scores == sorted(scores, reverse=True)
     none = RC.similar_record(RC.similar_songs(cat, song="zzz"), "zzz", None).collect()[0]
     assert none["similar_songs"] == [] and none["message"] == RC.NO_MATCH
+
+
+def test_recommend_record(spark):
+    cat = _cat(spark)
+    names = spark.createDataFrame([("Ring Song 3",), ("Missing",)], "request string")
+    rec = RC.recommend_record(RC.recommend(cat, names, n=2)).collect()[0]
+    assert rec["input_songs"] == ["Missing", "Ring Song 3"]
+    assert rec["output"]["Missing"]["error"] == "Song not found"
+    assert rec["output"]["Ring Song 3"]["recommended_song"] not in (None, "Ring Song 3")
