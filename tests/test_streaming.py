@@ -166,3 +166,25 @@ def test_cli_ingest_once(spark, tmpdir_fresh):
                      "--checkpoint", os.path.join(tmpdir_fresh, "ck")]) == 0
     st = spark.read.parquet(os.path.join(out, "stats")).collect()
     assert [(r["file_name"], r["valid_rows"], r["invalid_rows"], r["outcome"]) for r in st] == [("one.csv", 1, 1, "ok")]
+
+
+def test_cli_rescore_with_saved_model(spark, tmpdir_fresh, capsys):
+    import json as _json
+
+    from cadenza import cli
+    train = spark.createDataFrame(
+        [(200000 + i, 1990 + i % 30, 0.5, -5.0, "pop" if i % 2 else "rock", float(i % 100)) for i in range(100)],
+        "duration_ms int, year int, energy double, loudness double, genre string, popularity double")
+    model = SC.train(train, ["duration_ms", "year", "energy", "loudness", "genre"], "popularity",
+                     categorical=["genre"])
+    mpath = os.path.join(tmpdir_fresh, "model")
+    model.save(mpath)
+    good = os.path.join(tmpdir_fresh, "good")
+    write_csv(good, "a.csv", [track_line(song="One"), track_line(song="Two", genre="jazz")])
+    args = ["rescore", "--good", good, "--table", os.path.join(tmpdir_fresh, "t"),
+            "--ledger", os.path.join(tmpdir_fresh, "l"), "--run-id", "0", "--model", mpath]
+    assert cli.main(args) == 0
+    assert _json.loads(capsys.readouterr().out.strip().splitlines()[-1])["files_scored"] == 1
+    got = spark.read.parquet(os.path.join(tmpdir_fresh, "t")).collect()
+    assert sorted(r["song"] for r in got) == ["One", "Two"]  # an unseen genre is kept, not fatal
+    assert all(r["predicted_popularity"] is not None for r in got)
