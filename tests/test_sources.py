@@ -144,3 +144,12 @@ def test_file_headers_and_match(spark, tmpdir_fresh):
     assert {r["file_name"]: r["ok"] for r in heads.collect()} == {"a.csv": True, "b.csv": False, "c.csv": True}
     assert sorted(r["song"] for r in rows.collect()) == ["A1", "A2", "C1"]  # header lines dropped
     parsed.unpersist()
+
+
+def test_extra_unnamed_column_keeps_the_18(spark, tmpdir_fresh):
+    from tests.helpers import HEADER
+    write_csv(tmpdir_fresh, "semi.csv", [track_line(song="Extra") + ",junk"], header=HEADER + ",")
+    df = FS.scan_tracks(spark, tmpdir_fresh)
+    rows = df.collect()
+    assert len(df.columns) == 19 and df.columns[-1] == "file_name"   # 18 track columns + file name
+    assert rows[0]["song"] == "Extra" and rows[0]["genre"] == "pop"
