@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.schema import NOT_FOUND
+from cadenza.schema import EMPTY_CATEGORY_TOKENS, NOT_FOUND
 
 
 def name_exists(requests: DataFrame, catalogue: DataFrame, name_col: str,
@@ -62,7 +62,8 @@ def category_tokens(catalogue: DataFrame, col: str, sep: str = r",\s*") -> DataF
     """Distinct lower-case tokens of a list-valued text column ("pop, rock")."""
     toks = F.transform(F.split(F.lower(F.col(col)), sep), lambda t: F.trim(t))
     return (catalogue.select(F.explode(toks).alias("token"))
-            .filter(F.length("token") > 0).distinct())
+            .filter((F.length("token") > 0) & ~F.col("token").isin(EMPTY_CATEGORY_TOKENS))
+            .distinct())
 
 
 def valid_category(requests: DataFrame, catalogue: DataFrame, col: str,

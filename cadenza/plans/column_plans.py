@@ -216,7 +216,8 @@ WITH t AS (SELECT DISTINCT trim(u.token) AS token
            FROM part, unnest(regexp_split_to_array(lower(p_name), ',\s*')) AS u(token)),
 r AS (SELECT DISTINCT u.w AS request FROM part, unnest(string_split(p_name, ' ')) AS u(w)
       UNION SELECT DISTINCT c_mktsegment FROM customer)
-SELECT request, EXISTS (SELECT 1 FROM t WHERE t.token = lower(trim(r.request)) AND length(t.token) > 0) AS valid FROM r""")
+SELECT request, EXISTS (SELECT 1 FROM t WHERE t.token = lower(trim(r.request)) AND length(t.token) > 0
+                        AND t.token <> 'set()') AS valid FROM r""")
 def valid_category(spark, sf):
     # every word of every name is a request, plus market segments (unknown)
     req = (table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("request"))

@@ -67,6 +67,9 @@ NOT_FOUND = "Song not found"
 NO_INPUT = "Please provide artist or song name"
 NO_MATCH = "No matching songs found"
 
+# --- fixed values: category text that stands for an empty list -------------
+EMPTY_CATEGORY_TOKENS = ["set()"]
+
 # --- fixed values: "no filter" words and paging limits ---------------------
 ALL_WORDS = ("all",)          # category filter: any case
 SOURCE_ALL = ("ALL", "all")   # source filter: these two spellings

@@ -100,3 +100,12 @@ def test_recommend_record(spark):
     assert rec["input_songs"] == ["Missing", "Ring Song 3"]
     assert rec["output"]["Missing"]["error"] == "Song not found"
     assert rec["output"]["Ring Song 3"]["recommended_song"] not in (None, "Ring Song 3")
+
+
+def test_category_tokens_skip_empty_set(spark):
+    from cadenza.operators.lookup import category_tokens, valid_category
+    cat = spark.createDataFrame([("hip hop, pop, R&B",), ("set()",), ("rock",)], "genre string")
+    assert sorted(r["token"] for r in category_tokens(cat, "genre").collect()) == ["hip hop", "pop", "r&b", "rock"]
+    req = spark.createDataFrame([("Pop",), ("set()",), ("jazz",)], "request string")
+    got = {r["request"]: r["valid"] for r in valid_category(req, cat, "genre").collect()}
+    assert got == {"Pop": True, "set()": False, "jazz": False}
