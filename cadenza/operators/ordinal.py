@@ -22,7 +22,8 @@ def ordinal(df: DataFrame, group_cols: list[str], order_cols: list[str],
             name: str = "rn", num_partitions: int | None = None,
             keep_task_ids: bool = False) -> DataFrame:
     """Add ``name``: 1-based position of each row in its group by
-    ``order_cols``, which must be a total order inside the group.
+    ``order_cols``, which must be a total order inside the group. Group
+    keys must not be null (fill them first, e.g. with ``coalesce``).
     ``keep_task_ids`` also keeps ``task_id``, the task that numbered the
     row (to inspect how a hot group was spread)."""
     spark = df.sparkSession
