@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. AQE re-plans joins at runtime: a shuffled
 # side that turns out small becomes a broadcast (its size is measured, not
 # guessed), and a skewed partition (one file or key holding a third of the
-# rows) is split across tasks.
+# rows) is split across tasks. The number of shuffle partitions is left to
+# the cluster.
 BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -26,38 +28,75 @@ BASE_CONF = {
 }
 
 
-def get_session(master: str | None = None, shuffle_partitions: int = 8,
+def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "cadenza", extra: dict | None = None) -> SparkSession:
-    """Return (or create) a session with the engine's base settings."""
+    """Return (or create) a session with the engine's base settings; the
+    package is shipped to the workers. ``shuffle_partitions`` is set only
+    when given (tests)."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once per application), so
+    that kernels import wherever the workers run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="cadenza-pkg-"), "cadenza_pkg.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
+def _is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the operator to a shared file system. Only
-    when it is unset (local tests) a scratch folder is created and
-    registered, so lineage cuts still work.
+    On a cluster it must be set to a folder that the driver and all
+    executors share; an unset folder is an error there. Only on a local
+    master (tests) an unset folder is replaced by a scratch folder. The
+    folder is registered once per application.
     """
+    sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not _is_local(sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and "
+                             "all executors share")
         d = tempfile.mkdtemp(prefix="cadenza-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        sc.setCheckpointDir(d)
+    elif sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint location for written tables."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, name) if "://" not in base else f"{base.rstrip('/')}/{name}"
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df``: its rows are written to the shared
+    checkpoint folder and read from there."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
