@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cadenza.llm import byte_bpe
+from cadenza.llm import byte_bpe, substring_dedup
 from cadenza.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +31,9 @@ def query(name: str, sql: str | None = None):
 def op4(spark, sf_dir):
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"),
                                public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+@query("op9_substring_dedup")
+def op9(spark, sf_dir):
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -81,6 +81,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def xxh64_of_long(x: np.ndarray, seed: int = 42) -> np.ndarray:
+    """XXH64 of 64-bit integers, as ``xxhash64`` of a bigint column."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (
+        0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63,
+        0x27D4EB2F165667C5))
+
+    def rotl(v, r):
+        return (v << np.uint64(r)) | (v >> np.uint64(64 - r))
+
+    h = np.uint64((seed + int(p5) + 8) % 2**64) ^ (rotl(x.view(np.uint64) * p2, 31) * p1)
+    h = rotl(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
 class SpanHash:
     """Polynomial (Rabin-Karp) hashes modulo 2^64 of byte spans.
 
