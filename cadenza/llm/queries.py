@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import byte_bpe, substring_dedup
+from cadenza.llm import byte_bpe, quality_rules, substring_dedup
 from cadenza.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,13 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op3_quality_rules")
+def op3(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "distance")
+
+
 @query("op4_byte_bpe")
 def op4(spark, sf_dir):
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"),
