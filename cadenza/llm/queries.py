@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import byte_bpe, quality_rules, substring_dedup
+from cadenza.llm import byte_bpe, mixing, quality_rules, substring_dedup
 from cadenza.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,53 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_mixing", r"""
+with docs as (
+    select doc_id, source, md5('mix:' || coalesce(doc_id::varchar, '')) as shuffle_key,
+        coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size
+    from documents),
+per as (select source, sum(size)::bigint as source_size from docs group by source),
+ranked as (
+    select *, row_number() over (order by source is null, encode(source)) - 1 as rnk,
+        source_size * 2.0::double as cap, 1.5::double * sum(source_size) over () as budget
+    from per),
+weighed as (
+    select *, case rnk % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end::double as weight from ranked),
+levels as (
+    select *, cap / weight as level,
+        (budget - coalesce(sum(cap) over (order by cap / weight, rnk
+            rows between unbounded preceding and 1 preceding), 0))
+        / sum(weight) over (order by cap / weight, rnk rows between current row and unbounded following) as rest
+    from weighed),
+filled as (select *, min(rest) filter (where rest < level) over () as any_rest,
+    arg_min(rest, row(level, rnk)) filter (where rest < level) over () as final from levels),
+per_source as (
+    select source, source_size, rnk, budget,
+        case when any_rest is null then cap else least(cap, final * weight) end as target
+    from filled),
+timed as (
+    select d.doc_id, d.size, d.shuffle_key, p.rnk, p.source_size, p.target, p.budget,
+        sum(d.size) over (partition by p.rnk order by d.shuffle_key, d.size
+            rows between unbounded preceding and current row) as cum
+    from docs d join per_source p on d.source is not distinct from p.source),
+entries as (
+    select *, (cum + e * source_size) / nullif(target, 0) as finish from timed, (values (0), (1)) as p(e)
+    where size > 0),
+run as (
+    select doc_id, rnk, size, shuffle_key,
+        sum(size) over (order by finish, shuffle_key, rnk rows between unbounded preceding and current row)
+        - size / 2.0 <= budget as inside
+    from entries),
+took as (select doc_id, rnk, size, shuffle_key, sum(case when inside then size else 0 end) as taken from run group by all)
+select t.doc_id, t.size, t.source_size::bigint as source_size, t.target, coalesce(k.taken, 0)::bigint as taken
+from timed t left join took k
+    on t.doc_id is not distinct from k.doc_id and t.rnk = k.rnk and t.size = k.size
+""")
+def op1(spark, sf_dir):
+    return mixing.plan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op3_quality_rules")
 def op3(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
