@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import byte_bpe, mixing, quality_rules, substring_dedup
+from cadenza.llm import byte_bpe, mixing, quality_rules, secrets, substring_dedup
 from cadenza.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,54 @@ def op1(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def _secrets_sql() -> str:
+    def quoted(regex):
+        return "'" + regex.replace("'", "''") + "'"
+
+    patterns = [secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.ACCOUNT, secrets.OPAQUE, secrets.ENDPOINT]
+    matches = " union all ".join(
+        f"select rid, {i} as kind, string_split_regex(text, {quoted(p)}) as gaps, "
+        f"regexp_extract_all(text, {quoted(p)}) as ms from docs" for i, p in enumerate(patterns))
+    names = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
+    counts = ", ".join(f"coalesce(sum((kind = {i})::int), 0)::bigint as n_{k}" for i, k in enumerate(secrets.KINDS))
+
+    def near(kinds):
+        return (f"exists (select 1 from parts o where o.rid = w.rid and o.kind in {kinds} and o.kind <> w.kind "
+                f"and greatest(o.s, w.s) - least(o.e, w.e) <= {secrets.SCOPE})")
+
+    return f"""
+with docs as materialized (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+found as (select rid, kind, unnest(gaps[1:len(ms)]) as gap, unnest(ms) as m, unnest(range(1, len(ms) + 1)) as pos
+    from ({matches}) where len(ms) > 0),
+placed as (select rid, kind, m, sum(length(gap) + length(m)) over (partition by rid, kind order by pos) as e from found),
+parts as materialized (select rid, kind, e - length(m) as s, e from placed where case kind
+    when 0 then length(regexp_extract(m, {quoted(secrets.ASSIGN)}, 2)) >= 12
+    when 1 then length(m) >= 18
+    when 2 then length(m) >= 16
+    when 3 then length(regexp_extract(m, {quoted(secrets.ACCOUNT)}, 4)) >= 3
+    when 4 then length(m) >= 20 and regexp_matches(m, '[a-z]') and regexp_matches(m, '[A-Z]')
+        and regexp_matches(m, '[0-9]')
+    else length(m) >= 10 end),
+weak as materialized (select * from parts w where kind >= 3 and not exists (select 1 from parts o
+    where o.rid = w.rid and o.kind < 3 and greatest(o.s, w.s) < least(o.e, w.e))),
+spans as (select * from parts where kind < 3
+    union all select * from weak w where kind = 3 and {near("(0, 2, 4)")}
+    union all select * from weak w where kind = 4 and {near("(1, 3)")}
+    union all select * from weak w where kind = 5 and {near("(0, 2, 4)")} and {near("(1, 3)")}),
+named as (select *, {names}[kind + 1] || ':' || s::bigint::varchar || ':' || e::bigint::varchar as span from spans),
+per as (select rid, {counts},
+    coalesce(string_agg(span, ',' order by s, kind) filter (where kind < 3), '') as base,
+    coalesce(string_agg(span, ',' order by s, kind), '') as spans from named group by rid)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0)::bigint as n_{k}" for k in secrets.KINDS)},
+    sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join per using (rid)"""
+
+
+@query("op2_secrets", _secrets_sql())
+def op2(spark, sf_dir):
+    return secrets.digest(secrets.report(table(spark, sf_dir, "documents")))
+
+
 @query("op3_quality_rules")
 def op3(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(

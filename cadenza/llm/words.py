@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once. A longer text is handled alone, whole.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
