@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import byte_bpe, mixing, quality_rules, secrets, substring_dedup
+from cadenza.llm import byte_bpe, mixing, quality_rules, secrets, simhash, substring_dedup
 from cadenza.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,9 @@ def op4(spark, sf_dir):
 def op9(spark, sf_dir):
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_simhash")
+def op10(spark, sf_dir):
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
