@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import byte_bpe, mixing, quality_rules, secrets, simhash, substring_dedup
+from cadenza.llm import byte_bpe, mixing, quality_rules, secrets, simhash, substring_dedup, toxicity
 from cadenza.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,6 +135,12 @@ def op4(spark, sf_dir):
                                public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+
+
 @query("op9_substring_dedup")
 def op9(spark, sf_dir):
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=13)
