@@ -6,8 +6,8 @@ clearly more frequent in documents labelled toxic. Labels say toxic or
 not; the grades to learn are 0 for the others and 1 to 3 for toxic ones, by
 thirds of the words that carry such a feature. One weight vector is shared
 by the ordered thresholds: P(grade <= k) = sigmoid(threshold_k - w . x).
-A text's severity is its expected grade; it is toxic where grade 0 is less
-likely than not.
+A text's severity is its expected grade; it is toxic where the chance of a
+grade above 0 reaches the cut with the best F1 on the sample.
 
 The features are counted on Spark over a sample of at most ``SAMPLE_ROWS``
 labelled documents of each class; the driver sees the best
@@ -39,7 +39,7 @@ MAX_FEATURES = 4_096
 #: A feature needs this many toxic documents and this many standard errors.
 LEAST_DOCS, LEAST_Z = 5, 4.0
 GRADES = 4
-RIDGE = 0.1
+RIDGE = 1.0
 STEPS, RATE = 1500, 0.05
 
 _hash = SpanHash(7)
@@ -96,10 +96,12 @@ def _document_counts(batches):
 
 @dataclass
 class Model:
-    """Chosen features (sorted), their weights, and the thresholds."""
+    """Chosen features (sorted), their weights, the thresholds, and the
+    chance of a grade above 0 from which a text is toxic."""
     features: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    cut: float = 0.5
 
     def values(self, data, offsets):
         """(row, chosen feature, value) and the carrying words per row."""
@@ -111,7 +113,7 @@ class Model:
         pairs = np.unique(np.stack([row[hit], word[hit]]), axis=1) if len(hit) else np.zeros((2, 0), int)
         carriers = np.bincount(pairs[0], minlength=n)
         r, c, count = _distinct(row[hit], at[hit].astype(np.uint64))
-        return r, c.astype(np.int64), np.log1p(count), carriers
+        return r, c.astype(np.int64), 1.0 + np.log(count), carriers
 
     def exceed(self, eta: np.ndarray) -> np.ndarray:
         """P(grade > k) for every threshold k."""
@@ -198,7 +200,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str =
     val = np.concatenate([*pdf["value"], np.zeros(0)])
     weight = pdf["weight"].to_numpy()
     w, t = _fit(row, col, val, len(chosen), grade, weight / weight.mean())
-    return Model(chosen, w, t)
+    model = Model(chosen, w, t)
+    p = model.exceed(np.bincount(row, weights=val * w[col], minlength=len(y)))[:, 0]
+    model.cut = _best_cut(p, y, weight)
+    return model
+
+
+def _best_cut(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The cut on ``p`` with the best F1, half-way to the next lower value."""
+    order = np.argsort(-p, kind="stable")
+    p, y, weight = p[order], y[order], weight[order]
+    hits, taken = np.cumsum(weight * y), np.cumsum(weight)
+    last = np.flatnonzero(np.r_[p[1:] < p[:-1], True])
+    f1 = 2 * hits[last] / (taken[last] + hits[-1])
+    at = last[int(np.argmax(f1))]
+    return float((p[at] + p[at + 1]) / 2 if at + 1 < len(p) else p[at])
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -216,7 +232,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(len(keep))]
                     + [pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(p.argmax(1).astype(np.int32)),
-                       pa.array(above[:, 0] >= 0.5)], [*keep, "severity", "p_toxic", "grade", "toxic"])
+                       pa.array(above[:, 0] >= model.cut)], [*keep, "severity", "p_toxic", "grade", "toxic"])
 
     return docs.select(*keep, text_col).mapInArrow(
         run, f"{kinds}, severity double, p_toxic double, grade int, toxic boolean")
@@ -231,6 +247,6 @@ def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for part, data, offsets in chunks(batch, text=text_col):
                 r, c, x, _ = model.values(data, offsets)
                 eta = np.bincount(r, weights=x * model.weights[c], minlength=part.num_rows)
-                yield part.filter(pa.array(model.exceed(eta)[:, 0] < 0.5))
+                yield part.filter(pa.array(model.exceed(eta)[:, 0] < model.cut))
 
     return docs.mapInArrow(run, docs.schema)
