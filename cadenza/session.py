@@ -95,8 +95,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, gather: bool = False) -> DataFrame:
     """Cut the lineage of ``df``: its rows are written to the shared
-    checkpoint folder and read from there."""
+    checkpoint folder and read from there. With ``gather`` at most twice as
+    many tasks write as the cluster has cores, so that tables of few bytes
+    a partition do not become many small files."""
     checkpoint_dir(df.sparkSession)
+    if gather:
+        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     return df.checkpoint(eager=True)
