@@ -25,17 +25,17 @@ def components(links: DataFrame) -> DataFrame:
     """``node, root`` of every linked node; the root is the smallest node
     reachable. ``links`` has bigint columns ``a, b`` in either order."""
     e = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    e = checkpoint(e.distinct())
+    e = checkpoint(e.distinct(), gather=True)
     state = _state(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")))
+        low = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")), gather=True)
         large = both.join(low, "u").filter("v > u") \
             .select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        large = checkpoint(large)
-        low = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = checkpoint(large, gather=True)
+        low = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")), gather=True)
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpoint(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        e = checkpoint(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), gather=True)
         new = _state(e)
         if new == state:
             break

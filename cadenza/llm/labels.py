@@ -23,11 +23,11 @@ def sample(labels: DataFrame, label: str, rows: int, learn=None, id_col: str = "
     if learn is not None:
         found = found.filter(learn)
     found = found.groupBy(id_col).agg(F.max(label).cast("int").alias("y"))
-    found = checkpoint(found)
+    found = checkpoint(found, gather=True)
     sizes = {r["y"]: r["n"] for r in found.groupBy("y").agg(F.count("*").alias("n")).collect()}
     out = None
     for y, n in sorted(sizes.items()):
         part = found.filter(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(rows) \
             .withColumn("weight", F.lit(n / min(n, rows)))
         out = part if out is None else out.unionByName(part)
-    return checkpoint(out if out is not None else found.withColumn("weight", F.lit(1.0)))
+    return checkpoint(out if out is not None else found.withColumn("weight", F.lit(1.0)), gather=True)

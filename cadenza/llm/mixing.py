@@ -90,7 +90,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: int = 2,
     source = F.concat(F.lit("s"), F.col("source"))
     per = targets(rows, weights, share, repeats)
     per = checkpoint(per.select(F.coalesce(source, F.lit("")).alias("_s"), "rank", "n_docs",
-                                "source_size", "target"))
+                                "source_size", "target"), gather=True)
     budget = per.agg(F.sum("target")).first()[0]
 
     # ranges of the shuffle key: as many as the root of the source's documents,
@@ -102,7 +102,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: int = 2,
     totals = timed.groupBy("rank", "range").agg(F.sum("size").alias("range_size"))
     ahead = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = checkpoint(totals.select("rank", "range",
-                                      F.coalesce(F.sum("range_size").over(ahead), F.lit(0)).alias("ahead")))
+                                      F.coalesce(F.sum("range_size").over(ahead), F.lit(0)).alias("ahead")), gather=True)
     timed = _meet(timed, starts, ["rank", "range"], [])
     within = Window.partitionBy("rank", "range").orderBy("shuffle_key", "size") \
         .rowsBetween(Window.unboundedPreceding, 0)
@@ -111,7 +111,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: int = 2,
     finish = [(F.col("cum") + e * F.col("source_size")) / F.nullif(F.col("target"), F.lit(0.0))
               for e in range(repeats)]
     timed = checkpoint(timed.select(*keep, "size", "source_size", "target", "shuffle_key", "rank",
-                                    *(f.alias(f"finish{e}") for e, f in enumerate(finish))))
+                                    *(f.alias(f"finish{e}") for e, f in enumerate(finish))), gather=True)
     cut = _cut(timed, repeats, budget) if budget else None
     taken = F.lit(0)
     for e in range(repeats if cut else 0):

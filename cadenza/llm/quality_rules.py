@@ -148,7 +148,7 @@ def groups(stats: DataFrame) -> DataFrame:
         "g0", F.when(F.col("n0") >= LEAST_ROWS, F.col("g0"))
         .when(F.col("n1") >= LEAST_ROWS, F.concat(F.lit("small "), F.col("g1")))
         .otherwise(F.lit("rest")).alias("grp"))
-    sizes = checkpoint(sizes)
+    sizes = checkpoint(sizes, gather=True)
     few = sizes.count() <= BROADCAST_GROUPS
     return rows.join(F.broadcast(sizes) if few else sizes, "g0", "left").drop("g0", "g1")
 
@@ -158,7 +158,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     rows = rows.select("grp", *X)
     middle = rows.groupBy("grp").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}")
                                        for i, x in enumerate(X)))
-    middle = checkpoint(middle)
+    middle = checkpoint(middle, gather=True)
     few = middle.count() <= BROADCAST_GROUPS
 
     def meet(a, b, on):
@@ -167,7 +167,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     off = meet(rows, middle, "grp").select("grp", *X, *(F.abs(F.col(x) - F.col(f"m{i}")).alias(f"a{i}")
                                                        for i, x in enumerate(X)))
     spread = checkpoint(off.groupBy("grp").agg(*(
-        (1.4826 * F.percentile_approx(f"a{i}", 0.5, 1000) + FLOORS[i]).alias(f"d{i}") for i in range(DIM))))
+        (1.4826 * F.percentile_approx(f"a{i}", 0.5, 1000) + FLOORS[i]).alias(f"d{i}") for i in range(DIM))), gather=True)
     z = meet(off, spread, "grp").withColumns({f"z{i}": F.col(f"a{i}") / F.col(f"d{i}") for i in range(DIM)})
     starts = [sum((F.col(f"z{i}") ** 2 for i in range(1, DIM)), F.col("z0") ** 2),
               F.greatest(*(F.col(f"z{i}") for i in range(DIM)))]
@@ -175,9 +175,9 @@ def estimates(rows: DataFrame) -> DataFrame:
     found = None
     for _ in range(STEPS):
         cut = checkpoint(near.groupBy("grp", "start").agg(
-            F.percentile_approx("dist", SUPPORT, 2000).alias("cut")))
+            F.percentile_approx("dist", SUPPORT, 2000).alias("cut")), gather=True)
         half = meet(near, cut, ["grp", "start"]).filter(F.col("dist") <= F.col("cut"))
-        found = checkpoint(_estimates(_moments(half)))
+        found = checkpoint(_estimates(_moments(half)), gather=True)
         near = meet(rows, found, "grp").select("grp", "start", *X, _distance().alias("dist"))
     best = found.groupBy("grp").agg(F.min_by(F.struct("mu", "inv", "logdet"),
                                              F.struct("logdet", "start")).alias("e"),
@@ -194,9 +194,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     rows = groups(stats).withColumns(dict(zip(X, vector())))
     fit = rows.filter(~F.col("base_failed"))
     sized = fit.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_ROWS)
-    big = checkpoint(sized.select("grp"))
+    big = checkpoint(sized.select("grp"), gather=True)
     few = big.count() <= BROADCAST_GROUPS
-    found = checkpoint(estimates(fit.join(F.broadcast(big) if few else big, "grp", "left_semi")))
+    found = checkpoint(estimates(fit.join(F.broadcast(big) if few else big, "grp", "left_semi")), gather=True)
     out = rows.join(F.broadcast(found) if few else found, "grp", "left")
     limit = chi2_quantile(1 - TAIL, DIM)
     out = out.withColumn("distance", F.when(~F.col("base_failed"), _distance()))

@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import byte_bpe, mixing, quality_rules, secrets, simhash, substring_dedup, toxicity
+from cadenza.llm import (byte_bpe, mixing, quality_rules, rule_ensemble, secrets, simhash,
+                         substring_dedup, toxicity)
 from cadenza.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,6 +136,12 @@ def op4(spark, sf_dir):
                                public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+@query("op5_rule_ensemble")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return rule_ensemble.score(docs, rule_ensemble.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op7_toxicity")
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

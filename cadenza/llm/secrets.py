@@ -113,7 +113,7 @@ def spans(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     end = F.sum(F.col("m.gap").cast("bigint") + F.col("m.len")).over(upto)
     parts = rows.select("doc", "text_key", "kind", "m.ok", end.alias("end"),
                         (end - F.col("m.len")).alias("start")).filter("ok").drop("ok")
-    parts = checkpoint(parts)
+    parts = checkpoint(parts, gather=True)
     strong = parts.filter(F.col("kind") < 3)
     return strong.unionByName(_linked(parts))
 
@@ -172,7 +172,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     scanned = checkpoint(scan(docs, id_col, text_col))
     per = spans(scanned, id_col).groupBy("doc", "text_key").agg(
         F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("found"))
-    per = checkpoint(per)
+    per = checkpoint(per, gather=True)
     doc = F.coalesce(F.concat(F.lit("d"), F.col(id_col).cast("string")), F.lit(""))
     rows = scanned.select(id_col, doc.alias("doc"), "text_key")
     small = F.broadcast(per) if per.count() <= BROADCAST_ROWS else per
@@ -206,7 +206,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = rows.withColumn("run", F.sum(fresh).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     cuts = rows.groupBy(*key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")) \
         .groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    cuts = checkpoint(cuts.withColumnsRenamed({"doc": "__doc", "text_key": "__text_key", "cuts": "__cuts"}))
+    cuts = checkpoint(cuts.withColumnsRenamed({"doc": "__doc", "text_key": "__text_key", "cuts": "__cuts"}), gather=True)
     small = F.broadcast(cuts) if cuts.count() <= BROADCAST_ROWS else cuts
     text = F.col(text_col)
     doc = F.coalesce(F.concat(F.lit("d"), F.col(id_col).cast("string")), F.lit(""))

@@ -168,7 +168,7 @@ def links(fps: DataFrame) -> DataFrame:
         .select("fp", "m.k", F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"))
     counted = keyed.groupBy("k", "key").agg(F.count("*").alias("n"))
     hot = checkpoint(counted.filter(F.col("n") > BLOCK)
-                     .select("k", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+                     .select("k", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), gather=True)
     if hot.isEmpty():
         tiled = keyed.withColumn("tile", F.xxhash64("key", "k"))
     else:
@@ -187,13 +187,13 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", kee
     id of the row's component."""
     keep = keep or [id_col]
     rows = checkpoint(fingerprints(docs, keep, width, text_col))
-    distinct = checkpoint(rows.groupBy("fp").agg(F.min(id_col).alias("low")))
+    distinct = checkpoint(rows.groupBy("fp").agg(F.min(id_col).alias("low")), gather=True)
     roots = components(links(distinct.select("fp")))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left") \
         .select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = checkpoint(named)
-    lowest = checkpoint(named.groupBy("root").agg(F.min("low").alias("component_id")))
-    of = checkpoint(named.join(lowest, "root").select("fp", "component_id"))
+    named = checkpoint(named, gather=True)
+    lowest = checkpoint(named.groupBy("root").agg(F.min("low").alias("component_id")), gather=True)
+    of = checkpoint(named.join(lowest, "root").select("fp", "component_id"), gather=True)
     return rows.join(of, "fp").select(*keep, "fp", "component_id")
 
 
@@ -208,7 +208,7 @@ def keep_one(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col:
     first = rows.groupBy(group.alias("g")).agg(F.min(F.struct(
         F.col(id_col).isNull().alias("last"), F.col(id_col).alias("i"), F.col("__key").alias("k"))).alias("w"))
     first = checkpoint(first.select(F.coalesce(F.concat(F.lit("d"), F.col("w.i").cast("string")), F.lit(""))
-                                    .alias("__doc"), F.col("w.k").alias("__key")).distinct())
+                                    .alias("__doc"), F.col("w.k").alias("__key")).distinct(), gather=True)
     doc = F.coalesce(F.concat(F.lit("d"), F.col(id_col).cast("string")), F.lit(""))
     columns = docs.columns
     keyed = docs.withColumn("__key", key).withColumn("__doc", doc)
