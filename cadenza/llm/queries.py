@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import (byte_bpe, mixing, quality_rules, rule_ensemble, secrets, simhash,
+from cadenza.llm import (byte_bpe, learned_partitions, mixing, quality_rules, rule_ensemble, secrets, simhash,
                          substring_dedup, toxicity)
 from cadenza.tables import table
 
@@ -142,6 +142,12 @@ def op5(spark, sf_dir):
     return rule_ensemble.score(docs, rule_ensemble.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op6_learned_partitions")
+def op6(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return learned_partitions.search(vectors, learned_partitions.fit(vectors), k=5, every=50)
+
+
 @query("op7_toxicity")
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
