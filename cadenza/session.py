@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,3 +105,26 @@ def checkpoint(df: DataFrame, gather: bool = False) -> DataFrame:
     if gather:
         df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     return df.checkpoint(eager=True)
+
+
+_scratch: dict[str, list[str]] = {}
+
+
+def scratch_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and
+    read it back: columns and rows not needed later are not read again.
+    ``clear_scratch`` deletes the tables of an application."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cadenza-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables this application wrote, once no frame that
+    reads them is needed any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _scratch.pop(spark.sparkContext.applicationId, []):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
