@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import (byte_bpe, learned_partitions, mixing, quality_rules, rule_ensemble, secrets, simhash,
-                         substring_dedup, toxicity)
+                         substring_dedup, suffix_dedup, toxicity)
 from cadenza.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,6 +154,13 @@ def op7(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
 
 
+@query("op8_suffix_dedup")
+def op8(spark, sf_dir):
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op9_substring_dedup")
 def op9(spark, sf_dir):
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=13)
