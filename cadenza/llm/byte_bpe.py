@@ -16,7 +16,6 @@ of the input are dropped except the id.
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -149,26 +148,20 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, decoded binary")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
-               text_col: str = "text") -> DataFrame:
-    """Encode every text, decode its ids and return digests of both:
-    ``id_col, n_tokens, ids_sha256, decoded_sha256``. One pass, no shuffle."""
+def transcode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
+              text_col: str = "text") -> DataFrame:
+    """``id_col``, ``ids`` and what they decode to, ``decoded``, of every
+    text, in one pass."""
     proto = model_proto(read_ranks(vocabulary))
 
     def run(batches):
         codec = _codec(proto, pattern)
-        names = [str(i) for i in range(codec.size)]
         for keys, texts in _texts(batches):
-            n, a, b = [], [], []
-            for t in texts:
-                ids = codec.encode(t)
-                n.append(len(ids))
-                a.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                b.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+            ids = [codec.encode(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
-                [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                [keys, pa.array(ids, pa.list_(pa.int32())),
+                 pa.array([codec.decode(x) for x in ids], pa.binary())], [id_col, "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(
-        run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+        run, f"`{id_col}` {kind}, ids array<int>, decoded binary")

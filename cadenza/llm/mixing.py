@@ -161,11 +161,12 @@ def _upto(finish: Column, cut) -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The mixed rows of ``docs``, with all their columns; a document taken
     twice is there twice. Rows equal in all columns are interchangeable."""
-    columns = docs.columns
-    keyed = docs.withColumn("_row", F.xxhash64(*(F.struct(F.col(f"`{c}`")) for c in columns)))
-    chosen = plan(keyed, id_col=id_col, keep=[id_col, "source", "_row"], **how)
-    passes = chosen.filter(F.col("taken") > 0).groupBy("_row") \
-        .agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_passes"))
-    rows = keyed.dropDuplicates(["_row"]).join(passes, "_row")
-    return rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), "_passes"))).select(
-        *(F.col(f"`{c}`") for c in columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    values = [x for c in columns for x in (c, c.isNull())]
+    own_id = F.coalesce(F.concat(F.lit("d"), F.col(id_col).cast("string")), F.lit(""))
+    keyed = docs.withColumns({"__id": own_id, "__row": F.xxhash64(*values)})
+    chosen = plan(keyed, id_col=id_col, keep=[id_col, "source", "__id", "__row"], **how)
+    passes = chosen.filter(F.col("taken") > 0).groupBy("__id", "__row") \
+        .agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("__passes"))
+    rows = keyed.dropDuplicates(["__id", "__row"]).join(passes, ["__id", "__row"])
+    return rows.withColumn("__pass", F.explode(F.sequence(F.lit(1), "__passes"))).select(*columns)

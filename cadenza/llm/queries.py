@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cadenza.llm import (byte_bpe, learned_partitions, mixing, quality_rules, rule_ensemble, secrets, simhash,
                          substring_dedup, suffix_dedup, toxicity)
 from cadenza.tables import table
@@ -75,6 +76,11 @@ def op1(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def _secrets_sql() -> str:
     def quoted(regex):
         return "'" + regex.replace("'", "''") + "'"
@@ -132,8 +138,11 @@ def op3(spark, sf_dir):
 
 @query("op4_byte_bpe")
 def op4(spark, sf_dir):
-    return byte_bpe.round_trip(table(spark, sf_dir, "documents"),
-                               public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    out = byte_bpe.transcode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY),
+                             public_tokenizers.PATTERN)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                      F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op5_rule_ensemble")
