@@ -215,9 +215,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     starts = F.concat(F.transform("__cuts", lambda c: c["start"]), F.array(F.length(text).cast("bigint")))
     pieces = F.zip_with(edges, starts, lambda a, b: F.substring(text, a.cast("int") + 1, (b - a).cast("int")))
     new = F.when(F.col("__cuts").isNull(), text).otherwise(F.array_join(pieces, MASK))
-    joined = docs.join(small, on, "left")
-    columns = {text_col: new}
+    # a column of its own first: within one select the new text would be
+    # taken for the old one
+    joined = docs.join(small, on, "left").withColumn("__new", new)
+    columns = {text_col: F.col("__new")}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(F.col("__cuts").isNull(), F.col("n_chars")).otherwise(
-            F.length(new).cast(docs.schema["n_chars"].dataType))
-    return joined.withColumns(columns).select(*(F.col(f"`{c}`") for c in docs.columns))
+            F.length("__new").cast(docs.schema["n_chars"].dataType))
+    return joined.select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns))
