@@ -140,13 +140,14 @@ def suffix_array(text: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
     while True:
         head = np.maximum.accumulate(np.where(new, slots, 0))
         rank[order[slots]] = head
-        # go on with groups of two or more that have symbols left
+        # go on with groups of two or more; a group of suffixes that have
+        # ended is of one length and stays as it is
         single = new & np.r_[new[1:], True]
-        slots = slots[~single & (left[order[slots]] > h)]
+        slots = slots[~single & (left[order[slots]] >= h)]
         if h >= depth or len(slots) < 2:
             return order
         at = order[slots]
-        pair = (rank[at] << 32) | rank[at + h]
+        pair = (rank[at] << 32) | np.where(left[at] > h, rank[np.minimum(at + h, n - 1)] + 1, 0)
         again = np.argsort(pair, kind="stable")
         order[slots], pair = at[again], pair[again]
         new = np.r_[True, pair[1:] != pair[:-1]]
