@@ -3,7 +3,7 @@
     python -m cadenza.cli ingest  --inbox DIR --out DIR --checkpoint DIR [--every "1 minute"]
     python -m cadenza.cli score   --good DIR --table DIR --ledger DIR --checkpoint DIR
                                   (--model PATH | --coefficients FILE.json) [--every "2 minutes"]
-    python -m cadenza.cli rescore --good DIR --table DIR --ledger DIR --run-id N
+    python -m cadenza.cli rescore --good DIR --table DIR --ledger DIR
                                   (--model PATH | --coefficients FILE.json)
 
 Without ``--every`` a stream processes what is there now and stops
@@ -54,8 +54,6 @@ def main(argv=None) -> int:
             s.add_argument("--checkpoint", required=True)
             s.add_argument("--max-files", type=int, default=10)
             s.add_argument("--every")
-        else:
-            s.add_argument("--run-id", type=int, required=True)
     args = p.parse_args(argv)
 
     from cadenza.session import get_session
@@ -67,7 +65,7 @@ def main(argv=None) -> int:
         ST.start_scoring(spark, args.good, args.table, args.ledger, args.checkpoint, _scorer(args),
                          args.max_files, args.every).awaitTermination()
     else:
-        n = ST.score_new_files(spark, args.good, args.table, args.ledger, _scorer(args), args.run_id)
+        n = ST.score_new_files(spark, args.good, args.table, args.ledger, _scorer(args))
         print(json.dumps({"files_scored": n, "skipped": n == 0}))
     return 0
 

@@ -75,6 +75,13 @@ def between_days(col, start=None, end=None, mode: str = "next_midnight") -> Colu
     return cond
 
 
+def day_bounds(col, start=None, end=None, mode: str = "next_midnight") -> Column:
+    """The days that :func:`between_days` can reach: a filter for a day
+    partition column."""
+    last = None if end is None else _day(end) + dt.timedelta(days=1 if mode == "next_midnight" else 0)
+    return between_days(col, start, last, "date")
+
+
 def above_max(col, limit) -> Column:
     """True for rows above ``limit`` (shown), false at or below (kept)."""
     return _c(col) > limit

@@ -26,13 +26,13 @@ def history(df: DataFrame, ts_col: str, start=None, end=None, mode: str = "next_
         if kind not in KIND_COLUMNS:
             raise ValueError(f"unknown prediction type {kind!r}")
         columns = columns or KIND_COLUMNS[kind]
-        if "kind" in df.columns:  # a history table partitioned by kind: prune to it
-            df = df.filter(F.col("kind") == kind)
     cond = P.between_days(ts_col, start, end, mode)
     newest = [F.col(ts_col).desc()] + [F.col(c).desc() for c in (tiebreak or [])]
 
     def filt(d):
         d = d.filter(cond)
+        if "day" in d.columns:  # the partition column: whole days are not read
+            d = d.filter(P.day_bounds("day", start, end, mode))
         return P.source_is(d, source_col, source)
 
     if latest_n is not None and filter_after_limit:

@@ -1,10 +1,10 @@
 """Keyed merge operators: dedupe, upsert, batched upsert, file ledger.
 
 Winner selection is ``min_by``/``max_by`` of a row struct over a total
-order struct inside ``groupBy(key)``. That is a hash aggregate with a
-partial (map-side) step: each input task keeps one candidate per key, so
-a key repeated across a third of the input is reduced before the shuffle
-and never gathered in one task.
+order struct inside ``groupBy(key)``. Spark runs it as a sort aggregate
+with a partial (map-side) step: each input task keeps one candidate per
+key, so a key repeated across a third of the input is reduced before the
+shuffle and never gathered in one task.
 """
 
 from __future__ import annotations
@@ -46,9 +46,18 @@ def latest_per_key(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return _pick(df, key, order, latest=True)
 
 
-def upsert_latest(target: DataFrame, updates: DataFrame, key: list[str], order: list) -> DataFrame:
-    """Upsert as "latest row per key wins" over the union of both sides."""
-    return _pick(target.unionByName(updates, allowMissingColumns=True), key, order, latest=True)
+def upsert_latest(target: DataFrame, updates: DataFrame, key: list[str], order: list,
+                  identity: list[str] = ()) -> DataFrame:
+    """Upsert as "latest row per key wins" over the union of both sides;
+    ``identity`` columns stay those of the key's first row."""
+    rows = target.unionByName(updates, allowMissingColumns=True)
+    if not identity:
+        return _pick(rows, key, order, latest=True)
+    payload = [c for c in rows.columns if c not in key and c not in identity]
+    by = _order_struct(order)
+    return (rows.groupBy(*key)
+            .agg(F.max_by(F.struct(*payload), by).alias("_w"), F.min_by(F.struct(*identity), by).alias("_i"))
+            .select(*key, "_i.*", "_w.*"))
 
 
 def upsert_merge(target: DataFrame, updates: DataFrame, key: list[str],
@@ -56,15 +65,17 @@ def upsert_merge(target: DataFrame, updates: DataFrame, key: list[str],
     """Full outer merge of two keyed tables (one row per key each): a
     matched row keeps its identity columns and takes the update's payload
     and time stamp; unmatched rows pass through."""
-    t = target.select(*key, *[F.col(c).alias(f"_t_{c}") for c in identity + payload + [stamp]])
-    u = updates.select(*key, *[F.col(c).alias(f"_u_{c}") for c in identity + payload + [stamp]])
+    t = target.select(*key, F.lit(True).alias("_t"),
+                      *[F.col(c).alias(f"_t_{c}") for c in identity + payload + [stamp]])
+    u = updates.select(*key, F.lit(True).alias("_u"),
+                       *[F.col(c).alias(f"_u_{c}") for c in identity + payload + [stamp]])
     j = t.join(u, key, "full_outer")
-    matched_u = F.col(f"_u_{stamp}").isNotNull()
+    matched_u = F.col("_u").isNotNull()
     cols = [*key]
     cols += [F.coalesce(F.col(f"_t_{c}"), F.col(f"_u_{c}")).alias(c) for c in identity]
     cols += [F.when(matched_u, F.col(f"_u_{c}")).otherwise(F.col(f"_t_{c}")).alias(c)
              for c in payload + [stamp]]
-    cols += [F.when(F.col(f"_t_{stamp}").isNull(), "insert")
+    cols += [F.when(F.col("_t").isNull(), "insert")
              .when(matched_u, "update").otherwise("keep").alias("action")]
     return j.select(*cols)
 
@@ -79,15 +90,25 @@ def upsert_batched(rows: DataFrame, key: list[str], file_col: str, order: list[s
     Equivalent closed form: the winner of a key is the row with the
     greatest (file position, batch number) and, inside that batch, the
     smallest row position."""
-    numbered = ordinal(rows, [file_col], order, name="_rn")
-    numbered = numbered.withColumn("_batch", F.floor((F.col("_rn") - 1) / batch_size))
-    forder = F.col(file_order or file_col)
-    rank = F.struct(forder.alias("f"), F.col("_batch").alias("b"), (-F.col("_rn")).alias("r"))
-    payload = [c for c in numbered.columns if c not in key and c != "_batch"]
+    numbered = store_batches(rows, file_col, order, batch_size)
+    return last_batch_first_row(numbered, key, file_col, file_order).drop("store_batch")
+
+
+def store_batches(rows: DataFrame, file_col: str, order: list[str], batch_size: int = 100) -> DataFrame:
+    """Adds ``row_in_file`` (from 1) and ``store_batch`` (from 0)."""
+    numbered = ordinal(rows, [file_col], order, name="row_in_file")
+    return numbered.withColumn("store_batch", F.floor((F.col("row_in_file") - 1) / batch_size))
+
+
+def last_batch_first_row(numbered: DataFrame, key: list[str], file_col: str,
+                         file_order: str | None = None) -> DataFrame:
+    """Of every key the first row of its last batch, in file order."""
+    rank = F.struct(F.col(file_order or file_col).alias("f"), F.col("store_batch").alias("b"),
+                    (-F.col("row_in_file")).alias("r"))
+    payload = [c for c in numbered.columns if c not in key]
     return (numbered.groupBy(*key)
             .agg(F.max_by(F.struct(*payload), rank).alias("_w"))
-            .select(*key, "_w.*")
-            .withColumnRenamed("_rn", "row_in_file"))
+            .select(*key, "_w.*"))
 
 
 # --- file ledger -------------------------------------------------------------

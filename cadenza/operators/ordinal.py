@@ -22,8 +22,8 @@ def ordinal(df: DataFrame, group_cols: list[str], order_cols: list[str],
             name: str = "rn", num_partitions: int | None = None,
             keep_task_ids: bool = False) -> DataFrame:
     """Add ``name``: 1-based position of each row in its group by
-    ``order_cols``, which must be a total order inside the group. Group
-    keys must not be null (fill them first, e.g. with ``coalesce``).
+    ``order_cols``, which must be a total order inside the group. A null group key is a
+    group of its own.
     ``keep_task_ids`` also keeps ``task_id``, the task that numbered the
     row (to inspect how a hot group was spread)."""
     spark = df.sparkSession
@@ -47,9 +47,12 @@ def ordinal(df: DataFrame, group_cols: list[str], order_cols: list[str],
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(
         Window.unboundedPreceding, -1)
     spans = spans.withColumn("_offset", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
-    out = numbered.join(spans.select("_pid", *group_cols, "_offset", "_first"),
-                        ["_pid", *group_cols], "inner")
+    # null-safe: a null group key is a group like any other
+    spans = spans.select(F.col("_pid").alias("_p"), *(F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)),
+                         "_offset", "_first")
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group_cols)]
+    out = numbered.join(spans, [F.col("_pid") == F.col("_p"), *same], "inner")
     out = out.withColumn(name, F.col("_offset") + F.col("_local") - F.col("_first") + 1)
     if keep_task_ids:
         out = out.withColumnRenamed("_pid", "task_id")
-    return out.drop("_pid", "_local", "_offset", "_first")
+    return out.drop("_pid", "_local", "_offset", "_first", "_p", *(f"_g{i}" for i in range(len(group_cols))))

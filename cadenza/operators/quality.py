@@ -236,7 +236,9 @@ def route(evaluated: DataFrame, suite: list[Expectation], file_col: str,
     counts = (evaluated.groupBy(file_col)
               .agg(F.count(F.lit(1)).alias("_total"),
                    F.count_if(F.col("_ok")).alias("_valid")))
-    j = evaluated.join(counts, file_col, "inner")
+    # null-safe: rows without a file name are routed as one unnamed file
+    counts = counts.withColumnRenamed(file_col, "_file")
+    j = evaluated.join(counts, F.col(file_col).eqNullSafe(F.col("_file")), "inner")
     ok = F.col("_ok")
     name = F.col(file_col).cast("string")
     dest = (F.when(F.col("_valid") == F.col("_total"), F.lit("good"))
@@ -246,7 +248,7 @@ def route(evaluated: DataFrame, suite: list[Expectation], file_col: str,
                  .when(ok, F.concat(F.lit("valid_"), name))
                  .otherwise(F.concat(F.lit("invalid_"), name)))
     return (j.withColumn("route", dest).withColumn("dest_name", dest_name)
-            .drop("_total", "_valid", "_ok"))
+            .drop("_total", "_valid", "_ok", "_file"))
 
 
 def write_routed(routed: DataFrame, out_dir: str, fmt: str = "csv",

@@ -222,11 +222,12 @@ def mean_similarity(df: DataFrame, id_col: str, vec_col: str,
                       lambda acc, x: acc + x)
     out = base.withColumn("_num", num)
     if category_col:
-        per_cat = base.groupBy(category_col).agg(F.sum("_inv").alias("_cs"))
-        out = out.join(per_cat, category_col, "left").withColumn(
+        # null-safe: items without a category share one, as in the top-k
+        per_cat = base.groupBy(F.col(category_col).alias("_cat")).agg(F.sum("_inv").alias("_cs"))
+        out = out.join(per_cat, F.col(category_col).eqNullSafe(F.col("_cat")), "left").withColumn(
             "_num", F.col("_num") + F.col("_inv") * F.col("_cs"))
     return (out.withColumn("mean_similarity", F.col("_num") / n)
-            .drop("_v", "_n", "_inv", "_u", "_num", "_cs", "_fit"))
+            .drop("_v", "_n", "_inv", "_u", "_num", "_cs", "_cat", "_fit"))
 
 
 def top_n(df: DataFrame, score_col: str, id_col: str, n: int) -> DataFrame:

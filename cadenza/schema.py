@@ -44,6 +44,8 @@ SIMILAR_FEATURES = ["duration_ms", "year", "energy", "loudness"]
 # popularity regressor inputs
 SCORING_FEATURES = ["duration_ms", "year", "energy", "loudness", "genre"]
 SCORING_KEY = ["song", "duration_ms", "year"]
+# columns a file needs to be scored
+SCORING_INPUT = ["song", "duration_ms", "year", "energy", "loudness", "genre"]
 
 # --- fixed values: prediction kinds and sources ----------------------------
 PREDICTION_KINDS = ["single", "similar", "multiple"]

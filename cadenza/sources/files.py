@@ -6,6 +6,7 @@ so only file metadata is read, in parallel, on the executors.
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
 
 from pyspark import StorageLevel
@@ -18,9 +19,11 @@ from cadenza.schema import LEGACY_ALIASES, TRACK_COLUMNS, track_schema
 CORRUPT = "_corrupt_record"
 
 
-def _csv(spark: SparkSession):
+def _csv(spark: SparkSession, multi_line: bool = False):
+    """``multi_line`` keeps quoted line breaks inside a value; such a file
+    is read by one task."""
     return (spark.read.option("header", True).option("escape", '"')
-            .option("multiLine", False).option("mode", "PERMISSIVE"))
+            .option("multiLine", multi_line).option("mode", "PERMISSIVE"))
 
 
 def file_name():
@@ -36,11 +39,13 @@ def require_columns(columns: list[str], required: list[str]) -> list[str]:
     return [c for c in required if c not in have]
 
 
-def scan_raw(spark: SparkSession, path: str, required: list[str] | None = None) -> DataFrame:
-    """Read CSV files as text columns named by their header (no type
-    inference), map legacy names, normalise missing tokens and add the
-    source file name. Raises when a required column is absent."""
-    df = _csv(spark).option("inferSchema", False).csv(path)
+def scan_raw(spark: SparkSession, path: str, required: list[str] | None = None,
+             multi_line: bool = False) -> DataFrame:
+    """Read CSV files of one layout as text columns named by their header
+    (no type inference), map legacy names, normalise missing tokens and add
+    the source file name. Raises when a required column is absent.
+    ``read_layouts`` reads files that differ in their columns."""
+    df = _csv(spark, multi_line).option("inferSchema", False).option("enforceSchema", False).csv(path)
     ren = {k: v for k, v in LEGACY_ALIASES.items() if k in df.columns and v not in df.columns}
     if ren:
         df = df.withColumnsRenamed(ren)
@@ -51,29 +56,33 @@ def scan_raw(spark: SparkSession, path: str, required: list[str] | None = None)
     return df.withColumn("file_name", file_name())
 
 
-def scan_tracks(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
+def scan_tracks(spark: SparkSession, path: str, raw: bool = False, multi_line: bool = False) -> DataFrame:
     """Read track files with the fixed 18-column schema (never inferred).
 
     ``raw=True`` keeps every column as text for the quality suite; typed
     reads cast with ``try_cast`` after missing-token normalisation, so a
     bad value becomes null instead of failing the job."""
-    df = scan_raw(spark, path, required=[n for n, _ in TRACK_COLUMNS])
+    df = scan_raw(spark, path, required=[n for n, _ in TRACK_COLUMNS], multi_line=multi_line)
     cols = [n for n, _ in TRACK_COLUMNS]
     if raw:
         return df.select(*cols, "file_name")
-    typed = []
-    for n, t in TRACK_COLUMNS:
-        if t.typeName() == "string":
-            typed.append(F.col(n))
-        elif t.typeName() == "boolean":
-            typed.append(F.lower(F.col(n)).try_cast("boolean").alias(n))
-        elif t.typeName() == "integer":
-            typed.append(F.col(n).try_cast("double").try_cast("int").alias(n))
-        else:
-            typed.append(F.col(n).try_cast(t.simpleString()).alias(n))
+    typed = [typed_text(n, t).alias(n) for n, t in TRACK_COLUMNS]
     return df.select(*typed, "file_name")
 
 
+def typed_text(name: str, kind):
+    """A text column as its type, null where it does not cast; integers may
+    be written as ``2001.0``."""
+    c = F.col(name)
+    if kind.typeName() == "string":
+        return c
+    if kind.typeName() == "boolean":
+        return F.lower(c).try_cast("boolean")
+    if kind.typeName() == "integer":
+        return c.try_cast("double").try_cast("int")
+    return c.try_cast(kind.simpleString())
+
+
 def scan_corrupt(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Malformed-line tolerant typed read: (parsed rows, corrupt lines).
 
@@ -134,14 +143,57 @@ def register_upload(df: DataFrame) -> DataFrame:
             .withColumn("uploaded_at", F.current_timestamp()))
 
 
-def header_matches(header_col, expected: list[str]):
-    """True when a header line names exactly ``expected`` in order (case
-    and surrounding quotes/spaces ignored, legacy names mapped)."""
-    names = F.transform(F.split(F.lower(header_col), ","),
-                        lambda x: F.regexp_replace(F.trim(x), '^"|"$', ""))
-    def rename(old: str, new: str):
-        return lambda x: F.when(x == old, F.lit(new)).otherwise(x)
-
-    for old, new in LEGACY_ALIASES.items():
-        names = F.transform(names, rename(old, new))
-    return names == F.array(*[F.lit(c) for c in expected])
+def header_names(spark: SparkSession, path: str) -> list[str] | None:
+    """Column names of a CSV file's first line (lower case, legacy names
+    mapped, unnamed columns numbered); None for an empty file. One short
+    read by the driver."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        lines = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        line = lines.readLine()
+    finally:
+        stream.close()
+    if line is None or not line.strip():
+        return None
+    names = [n.strip().lower() for n in next(csv.reader([line.lstrip("\ufeff")]))]
+    names = [LEGACY_ALIASES.get(n, n) or f"_c{i}" for i, n in enumerate(names)]
+    return [n if n not in names[:i] else f"{n}_{i}" for i, n in enumerate(names)]
+
+
+def read_layouts(spark: SparkSession, paths: list[str], required: list[str],
+                 multi_line: bool = False) -> tuple[DataFrame | None, dict[str, str]]:
+    """Rows of CSV files whose columns may differ in order and number.
+
+    Files are grouped by their header; every group is read by name and cut
+    to the ``required`` columns, as text. Returns (rows, outcomes): rows have
+    the required columns, the corrupt line if the line did not parse,
+    ``file_name`` and the row's place (``_start``, ``_row``: in order within
+    a file); outcomes has ``empty_file`` or ``validation_error`` (a required
+    column is missing) by path for files that were not read. ``paths`` is
+    the bounded list of one batch. With ``multi_line`` quoted line breaks
+    are part of a value; such a file cannot be split.
+    """
+    layouts: dict[tuple, list[str]] = {}
+    outcomes = {}
+    for path in paths:
+        names = header_names(spark, path)
+        if names is None:
+            outcomes[path] = "empty_file"
+        elif require_columns(names, required):
+            outcomes[path] = "validation_error"
+        else:
+            layouts.setdefault(tuple(names), []).append(path)
+    out = None
+    for names, group in layouts.items():
+        schema = ", ".join(f"`{n}` string" for n in [*names, CORRUPT])
+        rows = (spark.read.schema(schema).option("header", True).option("escape", '"')
+                .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+                .option("multiLine", multi_line).option("enforceSchema", True)
+                .option("columnPruning", False)  # a line of another length is corrupt, whatever is read of it
+                .csv(group)
+                .select(*required, CORRUPT, file_name().alias("file_name"),
+                        F.col("_metadata.file_block_start").alias("_start"),
+                        F.monotonically_increasing_id().alias("_row")))
+        out = rows if out is None else out.unionByName(rows)
+    return out, outcomes

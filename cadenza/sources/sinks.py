@@ -1,9 +1,5 @@
-"""Sinks: history append, CSV export, counted copy, keyed snapshots.
-
-Every write is idempotent for a given target (overwrite of its own
-folder) or an append of rows tagged with the run id, so a retried task or
-micro-batch does not duplicate data.
-"""
+"""Sinks: history append, CSV export, counted copy. The keyed table is in
+``keyed_table``."""
 
 from __future__ import annotations
 
@@ -11,16 +7,22 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def append_history(df: DataFrame, path: str, kind: str, fmt: str = "parquet") -> None:
-    """Append result rows to a history table partitioned by kind and day,
-    so history reads prune to the partitions they ask for."""
-    out = df.withColumn("kind", F.lit(kind))
-    if "created_at" in out.columns:
-        out = out.withColumn("day", F.to_date("created_at"))
-        parts = ["kind", "day"]
-    else:
-        parts = ["kind"]
-    out.write.mode("append").partitionBy(*parts).format(fmt).save(path)
+def history_path(path: str, kind: str) -> str:
+    """The folder of one kind of results; kinds differ in their columns."""
+    return f"{path.rstrip('/')}/{kind}"
+
+
+def append_history(df: DataFrame, path: str, kind: str, ts_col: str = "created_at",
+                   fmt: str = "parquet") -> None:
+    """Append result rows to the history of their kind, partitioned by the
+    day of ``ts_col``, so history reads prune to the days they ask for."""
+    out = df.withColumn("day", F.to_date(ts_col))
+    out.write.mode("append").partitionBy("day").format(fmt).save(history_path(path, kind))
+
+
+def read_history(spark: SparkSession, path: str, kind: str, fmt: str = "parquet") -> DataFrame:
+    """All stored results of one kind, with their ``day``."""
+    return spark.read.format(fmt).load(history_path(path, kind))
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -35,7 +37,7 @@ def copy_with_count(df: DataFrame, path: str, fmt: str = "csv") -> int:
     observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
     w = observed.write.mode("overwrite")
     if fmt == "csv":
-        w = w.option("header", True)
+        w = w.option("header", True).option("escape", '"')
     w.format(fmt).save(path)
     return int(obs.get["rows"])
 
@@ -43,75 +45,3 @@ def copy_with_count(df: DataFrame, path: str, fmt: str = "csv") -> int:
 def scan_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Full scan of a stored table."""
     return spark.read.format(fmt).load(path)
-
-
-# --- keyed snapshots (upsert target without a table format) ----------------
-def write_snapshot(df: DataFrame, table_dir: str, version: int, buckets: int | None = None,
-                   key: list[str] | None = None) -> str:
-    """Write version ``version`` of a table under ``table_dir/v=<version>``.
-
-    Writing a new folder (never the one being read) makes a retried write
-    idempotent; readers pick the newest complete version. With ``key`` the
-    rows are clustered by key hash so a later merge reads co-located
-    files."""
-    path = f"{table_dir.rstrip('/')}/v={version}"
-    out = df.repartition(buckets, *key) if (buckets and key) else df
-    out.write.mode("overwrite").parquet(path)
-    return path
-
-
-def read_latest(spark: SparkSession, table_dir: str,
-                below: int | None = None) -> tuple[DataFrame | None, int]:
-    """(newest snapshot, its version); (None, -1) when there is none.
-    ``below`` ignores versions >= it (a replayed batch re-reads the state
-    it started from).
-
-    The version list comes from a file listing (metadata only, no data is
-    scanned)."""
-    try:
-        v = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
-             .load(table_dir).select(F.regexp_extract("path", r"/v=(\d+)/", 1).cast("int").alias("v")))
-        if below is not None:
-            v = v.filter(F.col("v") < below)
-        versions = v.agg(F.max("v")).first()[0]
-    except Exception:  # noqa: BLE001 - missing folder means no table yet
-        return None, -1
-    if versions is None:
-        return None, -1
-    return spark.read.parquet(f"{table_dir.rstrip('/')}/v={versions}"), int(versions)
-
-
-# --- keyed table partitioned by key bucket (incremental upsert) ------------
-def key_bucket(key: list[str], buckets: int):
-    """Stable bucket of a key: pmod(xxhash64(key...), buckets)."""
-    return F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(buckets)).cast("int")
-
-
-def upsert_into(spark: SparkSession, updates: DataFrame, table_dir: str, key: list[str],
-                order: list, buckets: int = 64) -> None:
-    """Merge ``updates`` into a keyed Parquet table stored as
-    ``table_dir/bucket=<b>``; the last row by ``order`` wins per key.
-
-    Only the buckets the updates touch are read (a semi join on the
-    partition column, pruned at run time) and rewritten (dynamic partition
-    overwrite); untouched buckets are never read or copied. The merged
-    buckets are checkpointed to the shared checkpoint folder first, so
-    the write does not read its own target. Re-applying the same updates
-    gives the same table (idempotent)."""
-    from cadenza.operators.merge import latest_per_key
-    from cadenza.session import checkpoint_dir
-    checkpoint_dir(spark)
-    upd = updates.withColumn("bucket", key_bucket(key, buckets))
-    try:
-        current = spark.read.parquet(table_dir)
-    except Exception:  # noqa: BLE001 - no table yet
-        current = None
-    if current is not None:
-        touched = upd.select("bucket").distinct()
-        old = current.join(touched, "bucket", "left_semi")
-        merged = latest_per_key(old.unionByName(upd, allowMissingColumns=True), key, order)
-    else:
-        merged = latest_per_key(upd, key, order)
-    merged = merged.checkpoint(eager=True)
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").parquet(table_dir))

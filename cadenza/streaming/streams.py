@@ -3,12 +3,14 @@ scheduled scoring with a keyed upsert.
 
 Both use the ``binaryFile`` stream source only to learn which files
 arrived (at most ``max_files`` per micro-batch, so the list is bounded),
-then read those files as CSV inside ``foreachBatch``. That keeps files
-without rows visible (an ``empty_file`` outcome) and lets one read feed
-all writes. Every write goes to a folder named by the batch id, so a
-micro-batch replayed after a failure overwrites its own output instead
-of duplicating it; the keyed prediction table is merged bucket by bucket
-(latest wins), which is idempotent as well.
+then read those files as CSV inside ``foreachBatch``, by the names in their
+headers. That keeps files without rows visible (an ``empty_file`` outcome)
+and lets one read feed all writes. Every write goes to a folder named by
+the batch id, so a micro-batch replayed after a failure overwrites its own
+output instead of duplicating it; the keyed prediction table takes every
+batch of a source once. A fault fails the batch: the stream stops and
+takes it up again from its checkpoint. Only a suite that does not fit the
+files is an outcome (``critical_error``), found before anything is written.
 """
 
 from __future__ import annotations
@@ -19,77 +21,50 @@ from pyspark.sql import functions as F
 from cadenza.functions.columns import cast_or_drop, letters_only, normalize_na
 from cadenza.operators import merge as M
 from cadenza.operators import quality as Q
-from cadenza.schema import SCORING_KEY, TRACK_COLUMNS, track_schema, track_suite
-from cadenza.sources.files import CORRUPT, discover_files, file_name, header_matches
-from cadenza.sources.sinks import upsert_into
+from cadenza.schema import SCORING_INPUT, SCORING_KEY, TRACK_COLUMNS, track_suite
+from cadenza.session import checkpoint
+from cadenza.sources import keyed_table
+from cadenza.sources.files import CORRUPT, discover_files, fingerprint, read_layouts, typed_text
 
-
-def _name(path: str) -> str:
-    """File name of a listed path (listing paths are not URL-encoded)."""
-    return path.rstrip("/").split("/")[-1]
+#: Rows of a file that the scoring job stores at once: the first row of a
+#: key wins among them, a later batch overwrites an earlier one.
+STORE_ROWS = 100
 
 
 def _file_stream(spark: SparkSession, in_dir: str, max_files: int, glob: str = "*.csv") -> DataFrame:
     return (spark.readStream.format("binaryFile")
             .schema("path string, modificationTime timestamp, length long, content binary")
             .option("pathGlobFilter", glob)
-            .option("maxFilesPerTrigger", max_files).load(in_dir).select("path", "length"))
-
-
-def _read_batch_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One read of the given files, header lines included (they are found
-    and checked in :func:`_split_headers`, not re-read)."""
-    schema = track_schema(all_strings=True, corrupt_col=CORRUPT)
-    return (spark.read.schema(schema).option("header", False).option("escape", '"')
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-            .csv(paths)
-            .withColumn("file_name", file_name())
-            .withColumn("_start", F.col("_metadata.file_block_start"))
-            .withColumn("_row", F.monotonically_increasing_id()))
-
-
-def _split_headers(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(header check per file, data rows of files with the track layout).
-
-    A file's header is the first row of the split that starts at offset 0
-    (the smallest row id there); its text is the raw line when it did not
-    parse, else the parsed fields joined by commas. ``parsed`` must be
-    persisted (row ids are then fixed)."""
-    names = [n for n, _ in TRACK_COLUMNS]
-    line = F.coalesce(F.col(CORRUPT), F.concat_ws(",", *[F.coalesce(F.col(n), F.lit("")) for n in names]))
-    heads = (parsed.filter(F.col("_start") == 0).groupBy("file_name")
-             .agg(F.min("_row").alias("_hrow"), F.min_by(line, F.col("_row")).alias("header"))
-             .withColumn("ok", header_matches(F.col("header"), names)))
-    rows = (parsed.join(heads.select("file_name", "_hrow", "ok"), "file_name", "inner")
-            .filter((F.col("_row") != F.col("_hrow")) & F.col("ok"))
-            .drop("_hrow", "ok", "_start", "_row"))
-    return heads, rows
+            .option("maxFilesPerTrigger", max_files).load(in_dir)
+            .select("path", "modificationTime", "length"))
 
 
 def ingest_batch(spark: SparkSession, files: DataFrame, out_dir: str, batch_id: int,
-                 suite=None, on_error: str = "record") -> None:
+                 suite=None, on_error: str = "record", multi_line: bool = False) -> None:
     """Validate one micro-batch of files and fan out: statistics, alerts,
-    details and routed rows. When validation itself fails, every file of
-    the batch gets a ``critical_error`` outcome row and an alert
-    (``on_error="raise"`` fails the batch instead)."""
+    details and routed rows. When the suite names columns the files do not
+    have, every file of the batch gets a ``critical_error`` outcome row and
+    an alert (``on_error="raise"`` fails the batch instead)."""
     suite = suite or track_suite()
     listed = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "path")
     paths = [r["path"] for r in listed.select("path").collect()]  # bounded by max_files
     if not paths:
         return
-    # one read: header lines are checked in the same persisted frame; a
-    # file with another column layout is rejected, not read by position
-    parsed = _read_batch_files(spark, paths)
-    parsed = parsed.withColumns({f.name: normalize_na(F.col(f.name))
-                                 for f in track_schema().fields}).persist()
-    try:
-        heads, rows = _split_headers(parsed)
-        rejected = heads.filter(~F.col("ok")).select("file_name")
-        _ingest_parsed(rows, listed, out_dir, batch_id, suite, rejected)
-    except Exception as e:  # noqa: BLE001 - recorded as a file outcome
+    names = [n for n, _ in TRACK_COLUMNS]
+    unknown = sorted({e.column for e in suite} - set(names))
+    if unknown:
         if on_error != "record":
-            raise
-        _record_failure(listed, out_dir, batch_id, f"{type(e).__name__}: {e}"[:1000])
+            raise ValueError(f"the suite names unknown columns: {unknown}")
+        return _record_failure(listed, out_dir, batch_id, f"the suite names unknown columns: {unknown}")
+    rows, outcomes = read_layouts(spark, paths, names, multi_line)
+    if rows is None:
+        rows = spark.createDataFrame([], ", ".join(f"`{n}` string" for n in [*names, CORRUPT, "file_name"]))
+    parsed = rows.withColumns({n: normalize_na(F.col(n)) for n in names}) \
+        .select(*names, CORRUPT, "file_name").persist()
+    bad = [(p.rstrip("/").split("/")[-1],) for p, o in outcomes.items() if o == "validation_error"]
+    try:
+        _ingest_parsed(parsed, listed, out_dir, batch_id, suite,
+                       spark.createDataFrame(bad, "file_name string"))
     finally:
         parsed.unpersist()
 
@@ -126,8 +101,7 @@ def _ingest_parsed(parsed: DataFrame, listed: DataFrame, out_dir: str, batch_id:
         routed = Q.route(ev, suite, "file_name")
         Q.write_routed(routed.drop(Q.FAILED), f"{base}/routed/batch_id={batch_id}")
         # the ingested-data table: accepted rows, typed, with their ingestion time
-        typed = [F.col(n).try_cast(t.simpleString()).alias(n) if t.typeName() != "string" else F.col(n)
-                 for n, t in TRACK_COLUMNS]
+        typed = [typed_text(n, t).alias(n) for n, t in TRACK_COLUMNS]
         (routed.filter(F.col("route") == "good")
          .select(*typed, "file_name", F.current_timestamp().alias("ingestion_timestamp"))
          .write.mode("overwrite").parquet(f"{base}/ingested/batch_id={batch_id}"))
@@ -146,73 +120,89 @@ def start_ingest(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
     return w.start()
 
 
-def score_paths(spark: SparkSession, paths: list[str], table_dir: str, ledger_dir: str,
-                batch_id: int, scorer, order: list[str] | None = None, buckets: int = 64,
-                listing: DataFrame | None = None) -> None:
-    """Score the rows of the given good files and upsert them on
-    (song, duration_ms, year); later rows overwrite earlier ones. Rows
-    that do not cast or whose song breaks the letters-only rule are
-    skipped, not fatal. The ledger gets one entry per file with at least
-    one stored row (with its fingerprint when ``listing`` gives one)."""
-    # one read; files whose header is not the track layout are skipped (a
-    # positional read would misplace their columns) and stay out of the ledger
-    parsed = _read_batch_files(spark, paths).persist()
-    try:
-        _score_parsed(spark, parsed, table_dir, ledger_dir, batch_id, scorer, order, buckets, listing)
-    finally:
-        parsed.unpersist()
-
-
-def _score_parsed(spark, parsed, table_dir, ledger_dir, batch_id, scorer, order, buckets, listing):
-    _heads, rows = _split_headers(parsed)
+def score_paths(spark: SparkSession, listing: DataFrame, table_dir: str, ledger_dir: str,
+                scorer, source: str | None = None, batch: int | None = None, buckets: int = 64,
+                multi_line: bool = False) -> int:
+    """Score the rows of the listed good files (``path``, ``filename``,
+    ``fingerprint``) and upsert them on (song, duration_ms, year).
+
+    A file needs the six scoring columns, in any order; others are left
+    out. Rows that do not cast or whose song breaks the letters-only rule
+    are skipped, not fatal. Files count in name order and rows in file
+    order, stored ``STORE_ROWS`` at a time: the first row of a key wins
+    within them, a later batch or file overwrites, and a key that was
+    stored before keeps its ``created_at``. The ledger gets one entry with
+    the fingerprint for each file with at least one stored row, in a
+    folder of the table's new version, which is returned.
+    """
+    paths = [r["path"] for r in listing.select("path").collect()]  # bounded by max_files
+    rows, _ = read_layouts(spark, paths, SCORING_INPUT, multi_line)
+    if rows is None:
+        rows = spark.createDataFrame([], ", ".join(f"`{n}` string" for n in [*SCORING_INPUT, CORRUPT, "file_name"])
+                                     + ", _start long, _row long")
     raw = (rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-           .withColumns({c: normalize_na(F.col(c)) for c in ("song", "genre")}))
+           .withColumns({c: normalize_na(F.col(c)) for c in SCORING_INPUT}))
+    raw = raw.withColumns({c: F.col(c).try_cast("double").try_cast("int").cast("string")
+                           for c in ("duration_ms", "year")})
     types = {"duration_ms": "int", "year": "int", "energy": "double", "loudness": "double"}
     kept, _ = cast_or_drop(raw.filter(F.col("song").isNotNull() & F.col("genre").isNotNull()), types)
     kept = kept.filter(letters_only("song", unicode=False))
-    scored = (scorer(kept).select(*SCORING_KEY, "energy", "loudness", "genre", "predicted_popularity",
-                                  "file_name")
-              .withColumn("processed_at", F.current_timestamp())
-              .withColumn("batch_id", F.lit(batch_id)))
-    # newer batch wins, then the later file, then a fixed payload order;
-    # only the key buckets this batch touches are read and rewritten
-    order = order or ["batch_id", "file_name", "energy", "loudness", "genre"]
-    upsert_into(spark, scored, table_dir, SCORING_KEY, order, buckets=buckets)
-    ledger = M.ledger_entries(scored.withColumn("_stored", F.lit(True)), "file_name", "_stored")
-    if listing is not None:
-        ledger = ledger.join(listing.select("filename", "fingerprint"), "filename", "left")
-    else:  # one ledger schema for streams and scheduled runs
-        ledger = ledger.withColumn("fingerprint", F.lit(None).cast("string"))
-    ledger.write.mode("overwrite").parquet(f"{ledger_dir.rstrip('/')}/batch_id={batch_id}")
+    scored = scorer(kept).select(*SCORING_KEY, "energy", "loudness", "genre", "predicted_popularity",
+                                 "file_name", "_start", "_row")
+    placed = checkpoint(M.store_batches(scored, "file_name", ["_start", "_row"], STORE_ROWS))
+    stored = placed.groupBy("file_name", "store_batch", *SCORING_KEY).agg(F.lit(True).alias("_stored"))
+    ledger = M.ledger_entries(stored, "file_name", "_stored")
+    now = F.current_timestamp()
+    winners = M.last_batch_first_row(placed, SCORING_KEY, "file_name") \
+        .drop("_start", "_row", "row_in_file", "store_batch") \
+        .withColumns({"created_at": now, "processed_at": now})
+    version = keyed_table.upsert(spark, winners, table_dir, SCORING_KEY, identity=["created_at"],
+                                 buckets=buckets, source=source, batch=batch)
+    ledger = ledger.join(listing.select("filename", "fingerprint"), "filename", "left")
+    ledger.write.mode("overwrite").parquet(f"{ledger_dir.rstrip('/')}/version={version}")
+    return version
 
 
 def score_batch(spark: SparkSession, files: DataFrame, table_dir: str, ledger_dir: str,
-                batch_id: int, scorer, order: list[str] | None = None, buckets: int = 64) -> None:
-    """``foreachBatch`` body of the scoring stream."""
-    paths = [r["path"] for r in files.select("path").collect()]  # bounded by max_files
-    if paths:
-        score_paths(spark, paths, table_dir, ledger_dir, batch_id, scorer, order, buckets)
+                batch_id: int, scorer, source: str = "stream", buckets: int = 64) -> None:
+    """``foreachBatch`` body of the scoring stream; ``source`` names the
+    stream, so a replayed batch is taken once."""
+    listing = files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"),
+                           fingerprint(F.col("length"), F.col("modificationTime")).alias("fingerprint"))
+    if not files.isEmpty():
+        score_paths(spark, listing, table_dir, ledger_dir, scorer, source, batch_id, buckets)
+
+
+def read_ledger(spark: SparkSession, ledger_dir: str) -> DataFrame | None:
+    """All ledger entries with the table ``version`` they belong to; None
+    when there is no ledger yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(ledger_dir)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.parquet(ledger_dir)
 
 
 def score_new_files(spark: SparkSession, good_dir: str, table_dir: str, ledger_dir: str,
-                    scorer, run_id: int, buckets: int = 64) -> int:
+                    scorer, buckets: int = 64, max_files: int = 1000) -> int:
     """Scheduled batch job: score files that are new or changed since the
     ledger (same name, another size/mtime fingerprint is processed again,
-    which a streaming file source would ignore). Returns the number of
-    files scored; 0 means nothing to do (skip)."""
+    which a streaming file source would ignore), at most ``max_files`` at a
+    time in name order. Returns the number of files scored; 0 means
+    nothing to do (skip)."""
     listing = discover_files(spark, good_dir, case_sensitive=False)
-    try:
-        ledger = spark.read.parquet(ledger_dir).select(
-            "filename", "fingerprint", "processed_at", "batch_id")
-        todo = M.new_files(listing, ledger, order=["batch_id", "processed_at"])
-    except Exception:  # noqa: BLE001 - no ledger yet: every file is new
-        todo = listing
-    rows = todo.select("path", "filename", "fingerprint").collect()  # file names only
-    if not rows:
-        return 0
-    score_paths(spark, [r["path"] for r in rows], table_dir, ledger_dir, run_id, scorer,
-                buckets=buckets, listing=todo)
-    return len(rows)
+    ledger = read_ledger(spark, ledger_dir)
+    if ledger is not None:
+        listing = M.new_files(listing, ledger.select("filename", "fingerprint", "processed_at", "version"),
+                              order=["version", "processed_at"])
+    todo = checkpoint(listing.select("path", "filename", "fingerprint"), gather=True)
+    done, last = 0, ""
+    while True:
+        part = todo.filter(F.col("filename") > last).orderBy("filename").limit(max_files)
+        names = [r["filename"] for r in part.select("filename").collect()]
+        if not names:
+            return done
+        score_paths(spark, part, table_dir, ledger_dir, scorer, buckets=buckets)
+        done, last = done + len(names), names[-1]
 
 
 def start_scoring(spark: SparkSession, good_dir: str, table_dir: str, ledger_dir: str,
@@ -220,7 +210,8 @@ def start_scoring(spark: SparkSession, good_dir: str, table_dir: str, ledger_dir
     """Second stream on the good folder (e.g. every 2 minutes)."""
     # the scoring side accepts .csv in any case (ingestion is case-sensitive)
     w = (_file_stream(spark, good_dir, max_files, glob="*.[cC][sS][vV]").writeStream
-         .foreachBatch(lambda df, bid: score_batch(spark, df, table_dir, ledger_dir, bid, scorer))
+         .foreachBatch(lambda df, bid: score_batch(spark, df, table_dir, ledger_dir, bid, scorer,
+                                                   source=f"stream {checkpoint}"))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(processingTime=every) if every else w.trigger(availableNow=True)
     return w.start()

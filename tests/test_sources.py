@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.sources import files as FS
+from cadenza.sources import keyed_table as KT
 from cadenza.sources import sinks as SK
 from cadenza.sources import synth as SY
 from tests.helpers import track_line, write_csv
@@ -61,21 +62,31 @@ def test_copy_with_count_and_export(spark, tmpdir_fresh):
     assert spark.read.option("header", True).csv(os.path.join(tmpdir_fresh, "exp")).count() == 25
 
 
-def test_snapshots_and_history_append(spark, tmpdir_fresh):
-    t = os.path.join(tmpdir_fresh, "tbl")
-    assert SK.read_latest(spark, t) == (None, -1)
-    SK.write_snapshot(spark.range(3), t, 0)
-    SK.write_snapshot(spark.range(5), t, 1)
-    df, v = SK.read_latest(spark, t)
-    assert v == 1 and df.count() == 5
-    df0, v0 = SK.read_latest(spark, t, below=1)
-    assert v0 == 0 and df0.count() == 3
+def test_history_by_kind_keeps_columns_and_prunes_days(spark, tmpdir_fresh):
+    from cadenza.operators.history import history
     h = os.path.join(tmpdir_fresh, "hist")
-    rows = spark.range(4).withColumn("created_at", F.current_timestamp())
-    SK.append_history(rows, h, "single")
-    SK.append_history(rows, h, "similar")
-    got = spark.read.parquet(h)
-    assert got.filter(F.col("kind") == "single").count() == 4 and got.count() == 8
+    days = spark.range(6).withColumn("created_at", F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 86400))
+    single = days.select("id", F.lit("s").alias("song"), F.lit(1.5).alias("predicted_popularity"), "created_at")
+    similar = days.select("id", F.lit("r").alias("reference_song"), "created_at")
+    SK.append_history(single, h, "single")
+    SK.append_history(similar, h, "similar")
+    SK.append_history(similar, h, "similar")
+    got = SK.read_history(spark, h, "single")
+    assert got.count() == 6 and {"song", "predicted_popularity"} <= set(got.columns)
+    assert SK.read_history(spark, h, "similar").count() == 12
+    two = history(got, "created_at", dt.date(2024, 1, 2), dt.date(2024, 1, 3))
+    assert sorted(r["id"] for r in two.collect()) == [1, 2, 3]  # the next midnight is included
+    plan = two._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_copied_csv_reads_back(spark, tmpdir_fresh):
+    rows = [('He said "hi", ok', 1), ("plain", 2), ('"', 3), (None, 4)]
+    df = spark.createDataFrame(rows, "t string, n int")
+    path = os.path.join(tmpdir_fresh, "copy")
+    assert SK.copy_with_count(df, path) == 4
+    back = spark.read.option("header", True).option("escape", '"').schema("t string, n int").csv(path)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
 
 
 def test_synth_and_split(spark):
@@ -97,28 +108,76 @@ def test_register_upload(spark, tmpdir_fresh):
     assert [r["filename"] for r in got] == ["up.csv"] and got[0]["uploaded_at"] is not None
 
 
-def test_upsert_into_touches_only_needed_buckets(spark, tmpdir_fresh):
+def _kv(spark, rows):
+    return spark.createDataFrame(rows, "k long, made string, v string")
+
+
+def _stored(spark, t):
+    return sorted((tuple(r) for r in KT.read_table(spark, t).collect()), key=str)
+
+
+def test_upsert_touches_only_needed_buckets_and_keeps_identity(spark, tmpdir_fresh):
+    t = os.path.join(tmpdir_fresh, "keyed")
+    assert KT.read_table(spark, t) is None
+    assert KT.upsert(spark, _kv(spark, [(k, "m0", "a") for k in range(200)]), t, ["k"], ["made"], buckets=16) == 0
+    upd = _kv(spark, [(5, "m1", "b"), (500, "m1", "c"), (None, "m1", "n")])
+    assert KT.upsert(spark, upd, t, ["k"], ["made"], buckets=99) == 1  # the stored bucket count holds
+    assert KT.upsert(spark, _kv(spark, [(None, "m2", "o")]), t, ["k"], ["made"]) == 2
+    want = [(k, "m0", "b" if k == 5 else "a") for k in range(200)] + [(500, "m1", "c"), (None, "m1", "o")]
+    assert _stored(spark, t) == sorted(want, key=str)
+    manifest = KT.read_manifest(spark, t)
+    assert manifest["buckets"] == 16 and len({b for b, v in manifest["folders"].items() if v > 0}) <= 3
+    with pytest.raises(ValueError, match="keyed by"):
+        KT.upsert(spark, upd, t, ["v"])
+
+
+def test_a_batch_of_a_source_is_taken_once(spark, tmpdir_fresh):
     t = os.path.join(tmpdir_fresh, "keyed")
-    base = spark.range(200).select(F.col("id").alias("k"), F.lit(0).alias("ver"), F.lit("a").alias("v"))
-    SK.upsert_into(spark, base, t, ["k"], ["ver"], buckets=16)
-    before = {r["k"]: r["v"] for r in spark.read.parquet(t).collect()}
-
-    def listing():
-        return {b: sorted(f for f in os.listdir(os.path.join(t, f"bucket={b}")) if f.endswith(".parquet"))
-                for b in range(16) if os.path.isdir(os.path.join(t, f"bucket={b}"))}
-
-    files_before = listing()
-    upd = spark.createDataFrame([(5, 1, "b"), (500, 1, "c")], "k long, ver int, v string")
-    SK.upsert_into(spark, upd, t, ["k"], ["ver"], buckets=16)
-    SK.upsert_into(spark, upd, t, ["k"], ["ver"], buckets=16)  # replay: no change
-    after = {r["k"]: r["v"] for r in spark.read.parquet(t).collect()}
-    assert len(after) == 201 and after[5] == "b" and after[500] == "c"
-    assert all(after[k] == before[k] for k in before if k != 5)
-    touched = {r["bucket"] for r in spark.read.parquet(t).filter(F.col("k").isin(5, 500)).collect()}
-    files_after = listing()
-    for b, names in files_before.items():
-        if b not in touched:
-            assert files_after[b] == names, b   # untouched buckets were not rewritten
+    assert KT.upsert(spark, _kv(spark, [(1, "m", "a")]), t, ["k"], source="s", batch=4) == 0
+    assert KT.upsert(spark, _kv(spark, [(1, "m", "b")]), t, ["k"], source="s", batch=4) == 0
+    assert KT.upsert(spark, _kv(spark, [(1, "m", "c")]), t, ["k"], source="other", batch=0) == 1
+    assert _stored(spark, t) == [(1, "m", "c")]
+
+
+def test_crash_between_write_and_commit_changes_nothing(spark, tmpdir_fresh, monkeypatch):
+    t = os.path.join(tmpdir_fresh, "keyed")
+    KT.upsert(spark, _kv(spark, [(k, "m", "a") for k in range(20)]), t, ["k"], buckets=4)
+    before = _stored(spark, t)
+    with monkeypatch.context() as m:
+        m.setattr(KT, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            KT.upsert(spark, _kv(spark, [(3, "m", "z")]), t, ["k"])
+    assert _stored(spark, t) == before
+    KT.upsert(spark, _kv(spark, [(3, "m", "z")]), t, ["k"])  # the retry
+    assert dict((k, v) for k, _, v in _stored(spark, t))[3] == "z" and len(_stored(spark, t)) == 20
+
+
+def test_unreadable_table_is_an_error_and_stays(spark, tmpdir_fresh):
+    t = os.path.join(tmpdir_fresh, "keyed")
+    KT.upsert(spark, _kv(spark, [(k, "m", "a") for k in range(20)]), t, ["k"], buckets=2)
+    part = os.path.join(t, "v=0", "bucket=0")
+    names = [n for n in os.listdir(part) if n.endswith(".parquet")]
+    kept = {n: open(os.path.join(part, n), "rb").read() for n in names}
+    for n in names:
+        with open(os.path.join(part, n), "wb") as f:
+            f.write(b"not parquet")
+        crc = os.path.join(part, f".{n}.crc")
+        if os.path.exists(crc):
+            os.remove(crc)
+    with pytest.raises(Exception):
+        KT.upsert(spark, _kv(spark, [(k, "m", "z") for k in range(20)]), t, ["k"])
+    for n, raw in kept.items():
+        with open(os.path.join(part, n), "wb") as f:
+            f.write(raw)
+    assert [v for _, _, v in _stored(spark, t)] == ["a"] * 20
+
+
+def test_two_writers_of_one_version(spark, tmpdir_fresh):
+    t = os.path.join(tmpdir_fresh, "keyed")
+    KT.upsert(spark, _kv(spark, [(1, "m", "a")]), t, ["k"])
+    stale = KT.read_manifest(spark, t)
+    with pytest.raises(RuntimeError, match="another writer"):
+        KT._commit(spark, t, stale)
 
 
 def test_exact_split_samples(spark):
@@ -131,19 +190,37 @@ def test_exact_split_samples(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
 
 
-def test_file_headers_and_match(spark, tmpdir_fresh):
-    from cadenza.streaming.streams import _read_batch_files, _split_headers
+def test_layouts_are_read_by_name(spark, tmpdir_fresh):
+    from tests.helpers import HEADER
+    names = HEADER.split(",")
+    need = ["song", "year", "key"]
     write_csv(tmpdir_fresh, "a.csv", [track_line(song="A1"), track_line(song="A2")])
     write_csv(tmpdir_fresh, "b.csv", ["x"], header="song,genre")
-    legacy = ("artist,song,duration_ms,explicit,year,popularity,danceability,energy,feature1,loudness,"
-              "feature2,speechiness,acousticness,instrumentalness,liveness,valence,tempo,genre")
-    write_csv(tmpdir_fresh, "c.csv", [track_line(song="C1")], header=legacy)
-    paths = [os.path.join(tmpdir_fresh, f) for f in ("a.csv", "b.csv", "c.csv")]
-    parsed = _read_batch_files(spark, paths).persist()
-    heads, rows = _split_headers(parsed)
-    assert {r["file_name"]: r["ok"] for r in heads.collect()} == {"a.csv": True, "b.csv": False, "c.csv": True}
-    assert sorted(r["song"] for r in rows.collect()) == ["A1", "A2", "C1"]  # header lines dropped
-    parsed.unpersist()
+    write_csv(tmpdir_fresh, "c.csv", [track_line(song="C1")],
+              header=HEADER.replace("key", "feature1").replace("mode", "feature2"))
+    write_csv(tmpdir_fresh, "r.csv", [",".join(reversed(track_line(song="R1").split(",")))],
+              header=",".join(reversed(names)))
+    write_csv(tmpdir_fresh, "bad.csv", [track_line(song="B1"), track_line() + ",more"])
+    open(os.path.join(tmpdir_fresh, "none.csv"), "w").close()
+    paths = [os.path.join(tmpdir_fresh, f"{f}.csv") for f in ("a", "b", "c", "r", "bad", "none")]
+    rows, outcomes = FS.read_layouts(spark, paths, need)
+    assert {os.path.basename(p): o for p, o in outcomes.items()} == {"b.csv": "validation_error", "none.csv": "empty_file"}
+    rows = rows.persist()
+    good = rows.filter(F.col(FS.CORRUPT).isNull())
+    assert sorted((r.song, r.year, r["key"]) for r in good.collect()) == [
+        (s, "2001", "5") for s in ("A1", "A2", "B1", "C1", "R1")]
+    assert rows.filter(F.col(FS.CORRUPT).isNotNull()).count() == 1
+    in_order = good.filter("file_name = 'a.csv'").orderBy("_start", "_row").collect()
+    assert [r.song for r in in_order] == ["A1", "A2"]
+    rows.unpersist()
+
+
+def test_quoted_line_break(spark, tmpdir_fresh):
+    write_csv(tmpdir_fresh, "m.csv", [track_line(artist='"two\nlines"', song="M1"), track_line(song="M2")])
+    df = FS.scan_tracks(spark, tmpdir_fresh, multi_line=True)
+    assert sorted((r.artist, r.song) for r in df.collect()) == [("Artist A", "M2"), ("two\nlines", "M1")]
+    rows, _ = FS.read_layouts(spark, [os.path.join(tmpdir_fresh, "m.csv")], ["song"], multi_line=True)
+    assert sorted(r.song for r in rows.collect()) == ["M1", "M2"]
 
 
 def test_extra_unnamed_column_keeps_the_18(spark, tmpdir_fresh):
