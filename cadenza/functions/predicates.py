@@ -30,11 +30,11 @@ def contains_ci(col, text: str, regex: bool = False) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def category(df: DataFrame, col: str, value: str | None) -> DataFrame:
+def category(df: DataFrame, col: str, value: str | None, regex: bool = False) -> DataFrame:
     """Category filter with an "all" bypass in any case."""
     if value is None or value.lower() in ALL_WORDS:
         return df
-    return df.filter(contains_ci(col, value))
+    return df.filter(contains_ci(col, value, regex))
 
 
 def source_is(df: DataFrame, col: str, value: str | None) -> DataFrame:

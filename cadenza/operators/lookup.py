@@ -18,8 +18,7 @@ from cadenza.schema import EMPTY_CATEGORY_TOKENS, NOT_FOUND
 def name_exists(requests: DataFrame, catalogue: DataFrame, name_col: str,
                 req_col: str = "request") -> DataFrame:
     """Requests whose name occurs in the catalogue (left semi join)."""
-    cat = catalogue.select(F.col(name_col).alias(req_col)).distinct()
-    return requests.join(cat, req_col, "left_semi")
+    return requests.join(catalogue.select(F.col(name_col).alias(req_col)), req_col, "left_semi")
 
 
 def first_by_name(catalogue: DataFrame, name_col: str, order_col: str) -> DataFrame:
@@ -33,9 +32,16 @@ def first_by_name(catalogue: DataFrame, name_col: str, order_col: str) -> DataFr
 def lookup_first(requests: DataFrame, catalogue: DataFrame, name_col: str,
                  order_col: str, req_col: str = "request") -> DataFrame:
     """Inner lookup: each distinct request with its first catalogue row."""
-    first = first_by_name(catalogue, name_col, order_col)
-    return (requests.select(req_col).distinct()
-            .join(first, F.col(req_col) == F.col(name_col), "inner"))
+    asked = requests.select(req_col).distinct()
+    first = first_by_name(_asked_rows(catalogue, name_col, asked, req_col), name_col, order_col)
+    return asked.join(first, F.col(req_col) == F.col(name_col), "inner")
+
+
+def _asked_rows(catalogue: DataFrame, name_col: str, asked: DataFrame, req_col: str) -> DataFrame:
+    """Catalogue rows of requested names, before anything is aggregated: a
+    request list that proves small at run time is broadcast, and the rest of
+    the catalogue is never shuffled."""
+    return catalogue.join(asked, F.col(name_col) == F.col(req_col), "left_semi")
 
 
 def lookup_or_error(requests: DataFrame, catalogue: DataFrame, name_col: str,
@@ -45,10 +51,10 @@ def lookup_or_error(requests: DataFrame, catalogue: DataFrame, name_col: str,
     when the name is unknown (left outer join). ``display_fill`` (e.g.
     "N/A") renders every result column as text with missing values
     filled, for display tables."""
-    first = first_by_name(catalogue.select(name_col, order_col, *result_cols),
-                          name_col, order_col)
-    j = (requests.select(req_col).distinct()
-         .join(first, F.col(req_col) == F.col(name_col), "left"))
+    asked = requests.select(req_col).distinct()
+    rows = catalogue.select(name_col, order_col, *result_cols)
+    first = first_by_name(_asked_rows(rows, name_col, asked, req_col), name_col, order_col)
+    j = asked.join(first, F.col(req_col) == F.col(name_col), "left")
     found = F.col(name_col).isNotNull()
     shown = [F.col(c) for c in [order_col] + result_cols]
     if display_fill is not None:

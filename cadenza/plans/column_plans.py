@@ -143,6 +143,13 @@ def contains_ci(spark, sf):
     return p.filter(P.contains_ci("p_name", "RiNg")).select("p_partkey", "p_name")
 
 
+@plan("contains_ci_regex", """
+SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), '^[a-m].*(ring|ed)')""")
+def contains_ci_regex(spark, sf):
+    p = table(spark, sf, "part")
+    return p.filter(P.contains_ci("p_name", "^[A-M].*(RING|ed)", regex=True)).select("p_partkey", "p_name")
+
+
 @plan("range_filter", """
 SELECT p_partkey, p_size, p_retailprice FROM part
 WHERE p_size BETWEEN 10 AND 30 AND p_retailprice BETWEEN 950 AND 1500""")
@@ -178,12 +185,14 @@ def split_max(spark, sf):
 
 # --- lookups: requests are part names of large parts plus supplier names --
 def _requests(spark, sf):
-    big = table(spark, sf, "part").filter(F.col("p_size") > 25).select(F.col("p_name").alias("request"))
-    sup = table(spark, sf, "supplier").select(F.col("s_name").alias("request"))
-    return big.unionByName(sup)
+    ordered = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
+    known = table(spark, sf, "part").join(ordered, "p_partkey", "left_semi").select(F.col("p_name").alias("request"))
+    return known.unionByName(table(spark, sf, "supplier").select(F.col("s_name").alias("request")))
 
 
-_REQ_SQL = "(SELECT p_name AS request FROM part WHERE p_size > 25 UNION ALL SELECT s_name FROM supplier)"
+# requests: the names of all parts that were ordered, and unknown names
+_REQ_SQL = ("(SELECT p_name AS request FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) "
+            "UNION ALL SELECT s_name FROM supplier)")
 
 
 @plan("name_exists", f"""

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import merge as M
 from cadenza.plans.registry import plan
+from cadenza.session import scratch_path
+from cadenza.sources import keyed_table
+from cadenza.sources.files import fingerprint
 from cadenza.tables import table
 
 KEY = ["l_orderkey", "l_linenumber"]
@@ -95,12 +98,42 @@ def upsert_batched(spark, sf):
                             batch_size=100)
 
 
-# --- file ledger: customers' orders stand for files and their versions -----
-def _fingerprint(price, ts):
-    return F.concat_ws("_", F.round(F.col(price) * 100).cast("long").cast("string"),
-                       F.unix_micros(F.col(ts).cast("timestamp")).cast("string"))
+@plan("upsert_batched_nulls", f"""
+WITH f AS (SELECT *, nullif(l_returnflag, 'N') AS file FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY {', '.join(_FILE_ORDER)}) AS rn FROM f),
+b AS (SELECT *, floor((rn - 1) / 100) AS batch FROM n),
+w AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+                                   ORDER BY file DESC NULLS LAST, batch DESC, rn ASC) AS pick FROM b)
+SELECT l_orderkey, l_linenumber, file, rn AS row_in_file, l_partkey, l_suppkey,
+       l_quantity, l_extendedprice, l_shipdate
+FROM w WHERE pick = 1""")
+def upsert_batched_nulls(spark, sf):
+    li = table(spark, sf, "lineitem").select(*COLS, F.nullif(F.col("l_returnflag"), F.lit("N")).alias("file"))
+    return M.upsert_batched(li, KEY, "file", _FILE_ORDER, batch_size=100)
+
+
+@plan("upsert_sink", f"""
+WITH b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_shipdate < TIMESTAMP '1998-01-01'
+                                        ORDER BY {_ORDER_SQL}) AS rn FROM lineitem),
+t AS (SELECT * FROM b WHERE rn = 1 AND l_shipdate < TIMESTAMP '1998-01-01'),
+u AS (SELECT * FROM b WHERE rn = 1 AND l_shipdate >= TIMESTAMP '1998-01-01')
+SELECT coalesce(t.l_orderkey, u.l_orderkey) AS l_orderkey, coalesce(t.l_linenumber, u.l_linenumber) AS l_linenumber,
+       coalesce(t.l_shipdate, u.l_shipdate) AS created_on, coalesce(u.l_quantity, t.l_quantity) AS l_quantity,
+       coalesce(u.l_extendedprice, t.l_extendedprice) AS l_extendedprice,
+       coalesce(u.l_shipdate, t.l_shipdate) AS updated_on
+FROM t FULL OUTER JOIN u ON t.l_orderkey = u.l_orderkey AND t.l_linenumber = u.l_linenumber""")
+def upsert_sink(spark, sf):
+    """Two commits to a keyed table, read back."""
+    path = scratch_path(spark)
+    for part in (F.col("l_shipdate") < F.lit(CUT), F.col("l_shipdate") >= F.lit(CUT)):
+        rows = M.dedupe_first(_li(spark, sf).filter(part), KEY, ORDER)
+        keyed_table.upsert(spark, rows.select(*KEY, F.col("l_shipdate").alias("created_on"), "l_quantity",
+                                              "l_extendedprice", F.col("l_shipdate").alias("updated_on")),
+                           path, KEY, identity=["created_on"], buckets=8)
+    return keyed_table.read_table(spark, path)
 
 
+# --- file ledger: customers' orders stand for files and their versions -----
 _FP_SQL = "CAST(round(o_totalprice * 100) AS BIGINT) || '_' || epoch_us(o_orderdate)"
 
 
@@ -116,7 +149,7 @@ WHERE NOT EXISTS (SELECT 1 FROM led WHERE led.filename = cur.filename AND led.fi
 def new_files(spark, sf):
     o = table(spark, sf, "orders").select(
         F.concat(F.lit("file_"), F.col("o_custkey").cast("string")).alias("filename"),
-        _fingerprint("o_totalprice", "o_orderdate").alias("fingerprint"),
+        fingerprint(F.round(F.col("o_totalprice") * 100).cast("long"), F.col("o_orderdate")).alias("fingerprint"),
         F.col("o_orderdate").alias("processed_at"), "o_orderkey")
     # the listing shows each file's newest version
     current = M.latest_ledger(o, "filename", ["processed_at", "o_orderkey"]).select("filename", "fingerprint")

@@ -171,6 +171,21 @@ def dq_route(spark, sf):
             .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", FILE, "route", "dest_name"))
 
 
+@plan("dq_route_nulls", f"""
+WITH e AS (SELECT *, nullif(l_returnflag, 'N') AS file, (p0 AND p1 AND p2 AND p3 AND p4) AS ok
+           FROM (SELECT *, {_PASS_SQL} FROM lineitem)),
+c AS (SELECT file, count(*) AS t, count(*) FILTER (WHERE ok) AS v FROM e GROUP BY file)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, e.file,
+       CASE WHEN v = t THEN 'good' WHEN v = 0 THEN 'bad' WHEN ok THEN 'good' ELSE 'bad' END AS route,
+       CASE WHEN v = t OR v = 0 THEN e.file WHEN ok THEN 'valid_' || e.file
+            ELSE 'invalid_' || e.file END AS dest_name
+FROM e JOIN c ON e.file IS NOT DISTINCT FROM c.file""")
+def dq_route_nulls(spark, sf):
+    rows = lineitem_rows(spark, sf).withColumn("file", F.nullif(F.col(FILE), F.lit("N")))
+    return (q.route(rows, LINEITEM_SUITE, "file")
+            .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "file", "route", "dest_name"))
+
+
 # --- raw-text rules on part: type and format ------------------------------
 PART_TEXT_SUITE = [
     E("of_type", "brand_text", ("int",)),

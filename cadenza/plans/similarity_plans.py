@@ -118,16 +118,16 @@ def similar_by_mean(spark, sf):
 
 
 # --- part: standard-scaled size and price plus one-hot type --------------
-def _part_pairs_sql(where: str) -> str:
+def _part_pairs_sql(where: str, part: str = "part") -> str:
     return f"""
-m AS (SELECT * FROM part {where}),
+m AS (SELECT * FROM {part} {where}),
 st AS (SELECT avg(p_size) AS ms, stddev_pop(p_size) AS ss, avg(p_retailprice) AS mp,
               stddev_pop(p_retailprice) AS sp FROM m),
 z AS (SELECT p_partkey, p_name, p_brand, p_type,
              (p_size - ms) / CASE WHEN ss = 0 THEN 1 ELSE ss END AS z1,
              (p_retailprice - mp) / CASE WHEN sp = 0 THEN 1 ELSE sp END AS z2 FROM m, st),
 pr AS (SELECT a.p_partkey AS q, b.p_partkey AS r,
-              (a.z1 * b.z1 + a.z2 * b.z2 + CASE WHEN a.p_type = b.p_type THEN 1 ELSE 0 END)
+              (a.z1 * b.z1 + a.z2 * b.z2 + CASE WHEN a.p_type IS NOT DISTINCT FROM b.p_type THEN 1 ELSE 0 END)
               / (sqrt(a.z1 * a.z1 + a.z2 * a.z2 + 1) * sqrt(b.z1 * b.z1 + b.z2 * b.z2 + 1)) AS c
        FROM z a, z b)"""
 
@@ -165,6 +165,18 @@ def one_hot_dot(spark, sf):
     return ms.select("p_partkey", F.round("mean_similarity", R).alias("score"))
 
 
+_NULL_TYPES_SQL = "(SELECT * REPLACE (CASE WHEN p_size < 10 THEN NULL ELSE p_type END AS p_type) FROM part)"
+
+
+@plan("one_hot_dot_nulls", "WITH " + _part_pairs_sql("", _NULL_TYPES_SQL) + f"""
+SELECT q AS p_partkey, round(avg(c), {R}) AS score FROM pr GROUP BY q""")
+def one_hot_dot_nulls(spark, sf):
+    """Items without a category share one."""
+    part = table(spark, sf, "part").withColumn("p_type", F.when(F.col("p_size") >= 10, F.col("p_type")))
+    ms = SIM.mean_similarity(_part_vectors(part), "p_partkey", "vec", category_col="p_type")
+    return ms.select("p_partkey", F.round("mean_similarity", R).alias("score"))
+
+
 @plan("minmax_scale", f"""
 SELECT p_partkey,
   round((p_size - min(p_size) OVER ()) / CASE WHEN max(p_size) OVER () = min(p_size) OVER () THEN 1
@@ -194,7 +206,8 @@ WITH st AS (SELECT min(p_size) AS s0, max(p_size) AS s1, min(p_retailprice) AS r
 sc AS (SELECT p_partkey, p_name, p_brand, p_type,
               (p_size - s0) / CASE WHEN s1 = s0 THEN 1 ELSE s1 - s0 END AS x,
               (p_retailprice - r0) / CASE WHEN r1 = r0 THEN 1 ELSE r1 - r0 END AS y FROM part, st),
-req AS (SELECT DISTINCT request FROM (SELECT p_name AS request FROM part WHERE p_size > 25
+req AS (SELECT DISTINCT request FROM (SELECT p_name AS request FROM part
+                                      WHERE p_partkey IN (SELECT l_partkey FROM lineitem)
                                       UNION ALL SELECT s_name FROM supplier)),
 first AS (SELECT p_name, min(p_partkey) AS qid FROM part GROUP BY p_name),
 q AS (SELECT req.request, first.qid, sc.x, sc.y FROM req JOIN first ON req.request = first.p_name
@@ -213,7 +226,8 @@ FROM req WHERE request NOT IN (SELECT p_name FROM part)""")
 def recommend_names(spark, sf):
     from cadenza.operators.recommend import recommend
     part = table(spark, sf, "part")
-    names = (part.filter(F.col("p_size") > 25).select(F.col("p_name").alias("request"))
+    ordered = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
+    names = (part.join(ordered, "p_partkey", "left_semi").select(F.col("p_name").alias("request"))
              .unionByName(table(spark, sf, "supplier").select(F.col("s_name").alias("request"))))
     r = recommend(part, names, n=2, name_col="p_name", id_col="p_partkey",
                   features=["p_size", "p_retailprice"], result_cols=("p_name", "p_brand", "p_type"))

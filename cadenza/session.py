@@ -114,11 +114,16 @@ def scratch_table(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and
     read it back: columns and rows not needed later are not read again.
     ``clear_scratch`` deletes the tables of an application."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/cadenza-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name in the shared checkpoint folder."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cadenza-{uuid.uuid4().hex}"
     _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def clear_scratch(spark: SparkSession) -> None:

@@ -68,28 +68,30 @@ def synth_tracks(spark: SparkSession, n: int, seed: int = 0, files: int = 10,
                  F.lit(".csv")).alias("file_name"))
 
 
-def split_samples(df: DataFrame, n: int, seed: int = 0, exact: bool = False,
-                  id_cols: list[str] | None = None) -> DataFrame:
+def split_samples(df: DataFrame, n: int, id_cols: list[str], seed: int = 0,
+                  exact: bool = False) -> DataFrame:
     """``n`` independent random samples of about 1/n of the rows each
     (they may overlap), tagged with ``part`` = 1..n.
 
-    One scan: every row draws ``n`` independent Bernoulli(1/n) trials in
-    a single projection and is emitted once per trial it wins.
+    A row's draw for a sample is a hash of the sample, the seed and its
+    ``id_cols``, so the samples do not depend on how the rows are laid out.
+    One scan: every row is emitted once per sample that draws it.
+
+    ``exact=True`` keeps exactly ceil(N/n) rows per sample, those ranked
+    first by their draw (ties by ``id_cols``, which must identify a row).
+    Ranks come from the distributed row positions, never from a one-task
+    sort."""
+    def draw(i):
+        text = F.concat_ws(":", F.lit(str(seed + i)), *(F.col(c).cast("string") for c in id_cols))
+        return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
-    ``exact=True`` keeps exactly ceil(N/n) rows per sample: every row gets
-    one random key per sample, and the rows ranked first by that key (ties
-    broken by ``id_cols``, which must identify a row) are kept. Ranks come
-    from the distributed row positions, never from a one-task sort."""
     if not exact:
-        frac = 1.0 / n
-        wins = F.array_compact(F.array(*[F.when(F.rand(seed + i) < frac, F.lit(i + 1))
-                                         for i in range(n)]))
+        limit = math.ceil(2**32 / n)
+        wins = F.array_compact(F.array(*[F.when(draw(i) < limit, F.lit(i + 1)) for i in range(n)]))
         return df.withColumn("part", F.explode(wins))
     from cadenza.operators.ordinal import ordinal
-    if not id_cols:
-        raise ValueError("exact samples need id_cols that identify a row")
     keep = math.ceil(df.count() / n)
-    keys = F.array(*[F.struct(F.lit(i + 1).alias("part"), F.rand(seed + i).alias("r")) for i in range(n)])
+    keys = F.array(*[F.struct(F.lit(i + 1).alias("part"), draw(i).alias("r")) for i in range(n)])
     drawn = df.withColumn("_d", F.explode(keys)).select("*", "_d.part", "_d.r").drop("_d")
     ranked = ordinal(drawn, ["part"], ["r", *id_cols], name="_rank")
     return ranked.filter(F.col("_rank") <= keep).drop("r", "_rank")

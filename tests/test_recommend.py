@@ -65,14 +65,14 @@ def test_history_prunes_kind_partition(spark, tmpdir_fresh):
     import datetime as dt
     import os
 
-    from cadenza.sources.sinks import append_history
+    from cadenza.sources.sinks import append_history, read_history
     rows = spark.createDataFrame(
         [(1, "a", 1.0, "WEBAPP", dt.datetime(2024, 1, 5, 10)), (2, "b", 2.0, "SCHEDULED", dt.datetime(2024, 1, 6, 10))],
         "id long, song string, predicted_popularity double, source string, created_at timestamp")
     path = os.path.join(tmpdir_fresh, "hist")
     append_history(rows, path, "single")
     append_history(rows.withColumn("id", F.col("id") + 10), path, "multiple")
-    h = H.history(spark.read.parquet(path), "created_at", "2024-01-05", "2024-01-05", "next_midnight",
+    h = H.history(read_history(spark, path, "single"), "created_at", "2024-01-05", "2024-01-05", "next_midnight",
                   source="ALL", kind="single", columns=["id", "song", "source"])
     assert sorted(r["id"] for r in h.collect()) == [1]
     import contextlib
@@ -80,7 +80,7 @@ def test_history_prunes_kind_partition(spark, tmpdir_fresh):
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
         h.explain(mode="formatted")
-    assert "PartitionFilters: [isnotnull(kind" in buf.getvalue()
+    assert "PartitionFilters: [isnotnull(day" in buf.getvalue()
 
 
 def test_similar_record(spark):

@@ -121,3 +121,14 @@ def test_top_k_with_a_third_of_rows_identical(spark):
         g.setdefault(r["qid"], []).append(r["rid"])
     assert g == _topk_ref(_brute(vecs), list(range(150)), 4)
     assert got.count() == 150 * 4  # bounded output: k rows per item, no pair explosion
+
+
+def test_mean_and_top_k_agree_on_items_without_a_category(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.standard_normal(3)], c) for i, c in enumerate(["a", None, "b", None, "a", None])]
+    df = spark.createDataFrame(rows, "id long, v array<double>, c string")
+    pairs = {(r.qid, r.rid): r.score for r in SIM.top_k_neighbours(df, "id", "v", 5, category_col="c").collect()}
+    for r in SIM.mean_similarity(df, "id", "v", category_col="c").collect():
+        others = [s for (q, _), s in pairs.items() if q == r.id]
+        assert abs(r.mean_similarity - (1 + sum(others)) / 6) < 1e-9

@@ -96,7 +96,7 @@ def test_synth_and_split(spark):
     assert r[0] >= 1990 and r[1] <= 2024 and r[2] == 10
     small = SY.synth_tracks(spark, 100, seed=2, profile="small")
     assert small.select("song").distinct().count() == 100
-    parts = SY.split_samples(spark.range(2000), 4, seed=3)
+    parts = SY.split_samples(spark.range(2000), 4, ["id"], seed=3)
     counts = {r["part"]: r["count"] for r in parts.groupBy("part").count().collect()}
     assert set(counts) == {1, 2, 3, 4} and all(350 < c < 650 for c in counts.values())
 
@@ -182,11 +182,11 @@ def test_two_writers_of_one_version(spark, tmpdir_fresh):
 
 def test_exact_split_samples(spark):
     df = spark.range(103).withColumnRenamed("id", "k")
-    got = SY.split_samples(df, 4, seed=5, exact=True, id_cols=["k"])
+    got = SY.split_samples(df, 4, ["k"], seed=5, exact=True)
     sizes = {r["part"]: r["count"] for r in got.groupBy("part").count().collect()}
     assert sizes == {1: 26, 2: 26, 3: 26, 4: 26}
     assert got.groupBy("part", "k").count().filter(F.col("count") > 1).count() == 0
-    again = SY.split_samples(df, 4, seed=5, exact=True, id_cols=["k"])
+    again = SY.split_samples(df.repartition(5), 4, ["k"], seed=5, exact=True)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
 
 
