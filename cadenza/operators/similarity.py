@@ -1,13 +1,14 @@
 """Cosine similarity, exact top-k neighbours and mean similarity.
 
-Exact all-items top-k is a blocked self join. Items are hashed into
-blocks of bounded size; each (query block, reference block) pair meets in
-one cogrouped task that multiplies the two blocks with numpy and keeps
+Exact all-items top-k is a pruned join: copies are one class, classes lie
+in cells around pivots, and a class meets only the cells that can still
+hold one of its best ``k`` (:func:`_all_against_all`). Blocks of bounded
+size meet in one cogrouped task that multiplies them with numpy and keeps
 only the best ``k`` per query row. No pair row is ever emitted: a task
 returns at most ``k`` rows per query row, and the per-query merge of the
 block winners is a ``row_number() <= k`` filter that Spark runs as a
-partial WindowGroupLimit before its shuffle. Work is quadratic by nature
-(exact answer); memory per task is bounded by ``block_rows``.
+partial WindowGroupLimit before its shuffle. Vectors without any nearness
+of cells (uniform noise) still meet all cells: the answer is exact.
 
 A categorical feature (one-hot, never materialised) adds ``[c_q = c_r]``
 to the dot product and 1 to each squared norm.
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators.features import array_dim, with_fit
+from cadenza.session import checkpoint
 
 RANK_DIGITS = 9  # scores are ranked after rounding, ties broken by id
 
@@ -50,12 +52,6 @@ def cosine(a, b) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(dot(a, b) / den)
 
 
-def _blocks(n: int, block_rows: int, parallelism: int) -> int:
-    """Blocks per side: enough to bound a block by ``block_rows`` rows and
-    to give every core a block pair to work on."""
-    return max(1, math.ceil(n / block_rows), math.ceil(math.sqrt(2 * parallelism)))
-
-
 _OUT_COLS = ["qid", "rid", "score", "rank_key"]
 
 
@@ -94,10 +90,14 @@ def _best(S, qid, rid, k, exclude_self):
     kk = min(k, S.shape[1])
     if kk == 0 or S.shape[0] == 0:
         return _empty()
-    # stable sort on -key keeps ascending rid among equal keys
-    idx = np.argsort(-key, axis=1, kind="stable")[:, :kk]
-    rows = np.repeat(np.arange(len(qid)), kk)
-    cols = idx.ravel()
+    # a partition finds each row's k-th key; only keys that reach it are
+    # sorted, equal keys by ascending rid
+    last = np.partition(key, key.shape[1] - kk, axis=1)[:, key.shape[1] - kk]
+    rows, cols = np.nonzero(key >= last[:, None])
+    order = np.lexsort((cols, -key[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    rows, cols = rows[place < kk], cols[place < kk]
     keep = np.isfinite(key[rows, cols])
     rows, cols = rows[keep], cols[keep]
     return pd.DataFrame({"qid": qid[rows], "rid": rid[cols],
@@ -115,83 +115,187 @@ def _topk_block(k: int, exclude_self: bool, with_cat: bool):
     return run
 
 
-def _topk_pair(k: int, with_cat: bool):
-    """All-against-all: blocks i <= j meet once; the product is used in
-    both directions (S for block i's rows, S transposed for block j's)."""
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return _empty()
-        aid, A, ac = _unpack(a, "qid", "qv", "qc" if with_cat else None)
-        bid, B, bc = _unpack(b, "rid", "rv", "rc" if with_cat else None)
-        S = _cosines(A, B, ac, bc)
-        if int(a["pi"].iloc[0]) == int(a["pj"].iloc[0]):
-            return _best(S, aid, bid, k, True)
-        return pd.concat([_best(S, aid, bid, k, False), _best(S.T, bid, aid, k, False)],
-                         ignore_index=True)
-    return run
+def _ranked(rows: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("qid").orderBy(F.col("rank_key").desc(), F.col("rid"))
+    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+_BEST = "qid long, rid long, score double, rank_key double"
 
 
 def top_k_neighbours(items: DataFrame, id_col: str, vec_col: str, k: int,
                      queries: DataFrame | None = None, category_col: str | None = None,
-                     exclude_self: bool = True, block_rows: int = 2048) -> DataFrame:
+                     exclude_self: bool = True, block_rows: int = 2048, cell_rows: int = 8192) -> DataFrame:
     """Exact top-``k`` most similar reference items for every query item.
 
     Returns (qid, rank, rid, score); ties on the rounded score go to the
     smaller id. ``queries`` defaults to ``items`` (all against all)."""
-    spark = items.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    cat = [F.col(category_col).cast("string")] if category_col else []
-    ref = items.select(F.col(id_col).cast("long").alias("rid"),
-                       F.col(vec_col).cast("array<double>").alias("rv"),
-                       *[c.alias("rc") for c in cat])
-    qsrc = queries if queries is not None else items
-    qry = qsrc.select(F.col(id_col).cast("long").alias("qid"),
-                      F.col(vec_col).cast("array<double>").alias("qv"),
-                      *[c.alias("qc") for c in cat])
-    w = Window.partitionBy("qid").orderBy(F.col("rank_key").desc(), F.col("rid"))
+    cat = F.col(category_col).cast("string") if category_col else F.lit(None).cast("string")
+
+    def pick(df, i, v, c):
+        return df.select(F.col(id_col).cast("long").alias(i), F.col(vec_col).cast("array<double>").alias(v), cat.alias(c))
+
+    with_cat = category_col is not None
     if queries is None and exclude_self:
-        n = ref.count()
-        # enough block pairs (nb (nb + 1) / 2) to keep every core busy
-        nb = max(1, math.ceil(n / block_rows), math.ceil(math.sqrt(4 * par)))
-        items_b = items.select(F.col(id_col).cast("long").alias("id"),
-                               F.col(vec_col).cast("array<double>").alias("v"),
-                               *[c.alias("c") for c in cat])
-        items_b = items_b.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int"))
-        # a row of block b is the left side of pairs (b, j >= b) and the
-        # right side of pairs (i <= b, b): about nb + 1 copies, not 2 nb
-        left = items_b.select(F.col("id").alias("qid"), F.col("v").alias("qv"),
-                              *([F.col("c").alias("qc")] if cat else []),
-                              F.col("blk").alias("pi"),
-                              F.explode(F.sequence(F.col("blk"), F.lit(nb - 1))).alias("pj"))
-        right = items_b.select(F.col("id").alias("rid"), F.col("v").alias("rv"),
-                               *([F.col("c").alias("rc")] if cat else []),
-                               F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("pi"),
-                               F.col("blk").alias("pj"))
-        part = (left.groupBy("pi", "pj").cogroup(right.groupBy("pi", "pj"))
-                .applyInPandas(_topk_pair(k, bool(category_col)),
-                               "qid long, rid long, score double, rank_key double"))
-        return (part.withColumn("rank", F.row_number().over(w))
-                .filter(F.col("rank") <= k)
-                .select("qid", F.col("rank").cast("long").alias("rank"), "rid", "score"))
-    if queries is None:
-        rb = qb = _blocks(ref.count(), block_rows, par)
+        part = _all_against_all(pick(items, "id", "v", "c"), k, with_cat, block_rows, cell_rows)
     else:
-        # a bounded request side stays in few blocks (the catalogue is then
-        # replicated few times); the catalogue side supplies the parallelism
-        qb = max(1, math.ceil(qry.count() / block_rows))
-        rb = max(math.ceil(ref.count() / block_rows), math.ceil(2 * par / qb))
+        part = _against(pick(items, "rid", "rv", "rc"), pick(queries if queries is not None else items, "qid", "qv", "qc"),
+                        k, with_cat, exclude_self, block_rows)
+    return _ranked(part, k).select("qid", F.col("rank").cast("long").alias("rank"), "rid", "score")
+
+
+#: A request list of up to this many numbers is sent to the catalogue's
+#: tasks; a longer one meets the catalogue block by block.
+SENT_NUMBERS = 1_000_000
+
+
+def _against(ref: DataFrame, qry: DataFrame, k: int, with_cat: bool, exclude_self: bool, block_rows: int) -> DataFrame:
+    """Best references of every query row."""
+    block = _topk_block(k, exclude_self, with_cat)
+    size = qry.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("d")).first()
+    if size["n"] * (size["d"] or 1) <= SENT_NUMBERS:
+        asked = qry.toPandas()
+
+        def run(batches):
+            for r in batches:
+                for i in range(0, len(r), block_rows):
+                    yield block(asked, r.iloc[i:i + block_rows])
+
+        return ref.mapInPandas(run, _BEST)
+    rb = max(1, math.ceil(ref.count() / block_rows))
+    qb = max(1, math.ceil(size["n"] / block_rows))
     # block ids must have one type on both sides: the cogroup hashes the
     # key values, and an int and a bigint of equal value hash differently
     ref = (ref.withColumn("rblk", F.pmod(F.xxhash64("rid"), F.lit(rb)).cast("int"))
            .withColumn("qblk", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
     qry = (qry.withColumn("qblk", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int"))
            .withColumn("rblk", F.explode(F.sequence(F.lit(0), F.lit(rb - 1)))))
-    part = (qry.groupBy("qblk", "rblk").cogroup(ref.groupBy("qblk", "rblk"))
-            .applyInPandas(_topk_block(k, exclude_self, bool(category_col)),
-                           "qid long, rid long, score double, rank_key double"))
-    return (part.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k)
-            .select("qid", F.col("rank").cast("long").alias("rank"), "rid", "score"))
+    return qry.groupBy("qblk", "rblk").cogroup(ref.groupBy("qblk", "rblk")).applyInPandas(block, _BEST)
+
+
+def _all_against_all(base: DataFrame, k: int, with_cat: bool, block_rows: int, cell_rows: int) -> DataFrame:
+    """Best other items of every item.
+
+    Equal vectors (of one category) are one class, so copies are compared
+    once; a class stands for its ``k + 1`` smallest ids. The classes lie in
+    cells around pivots, at most ``MAX_CELLS``. A class first meets its own
+    cell, which gives a bound for its k-th score; it is then sent only to
+    cells that can beat the bound, by the triangle inequality for angles:
+    nothing in a cell is nearer than the pivot's angle less the cell's
+    radius. Cells are cut into blocks, so a task has at most ``block_rows``
+    classes a side.
+    """
+    # scaled vectors are computed once
+    base = checkpoint(base.filter(F.col("id").isNotNull() & F.col("v").isNotNull()))
+    classes = checkpoint(base.groupBy("v", "c").agg(F.min("id").alias("cid")), gather=True)
+    same = [F.col("v") == F.col("_v"), F.col("c").eqNullSafe(F.col("_c"))]
+    member = checkpoint(base.join(classes.select("cid", F.col("v").alias("_v"), F.col("c").alias("_c")), same)
+                        .select("id", "cid"))
+    n = classes.count()
+    best = _class_neighbours(classes, n, k + 1, with_cat, block_rows, cell_rows)
+    first = Window.partitionBy("cid").orderBy("id")
+    shown = (member.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k + 1)
+             .select(F.col("cid").alias("rid"), F.col("id").alias("other")))
+    # of a class, its best k + 1 ids: enough for any member but itself
+    wide = _ranked(best.join(shown, "rid").select("qid", F.col("other").alias("rid"), "score", "rank_key"), k + 1)
+    wide = wide.select(F.col("qid").alias("cid"), "rid", "score", "rank_key")
+    return (member.join(wide, "cid").filter(F.col("id") != F.col("rid"))
+            .select(F.col("id").alias("qid"), "rid", "score", "rank_key"))
+
+
+MAX_CELLS = 4096
+#: Scores are compared after rounding to ``RANK_DIGITS``.
+SLACK = 4 * 10.0 ** -RANK_DIGITS
+
+
+def _class_neighbours(classes: DataFrame, n: int, k: int, with_cat: bool, block_rows: int, cell_rows: int) -> DataFrame:
+    """Best ``k`` classes of every class, its own included."""
+    cells = min(MAX_CELLS, max(1, math.ceil(n / cell_rows)))
+    par = classes.sparkSession.sparkContext.defaultParallelism
+    # blocks small enough to keep every core busy when there is one cell
+    rows = max(1, min(block_rows, math.ceil(n / math.ceil(math.sqrt(2 * par)))))
+    pivots = classes.orderBy(F.xxhash64("cid"), "cid").limit(cells).toPandas() if cells > 1 else None
+
+    def place(batches):
+        for b in batches:
+            m = _matrix(b["v"])
+            cell, angle = np.zeros(len(b), int), np.zeros(len(b))
+            if pivots is not None and len(b):
+                s = _angles(m, b["c"].to_numpy(), with_cat)
+                cell = s.argmin(1)
+                angle = s[np.arange(len(b)), cell]
+            yield b.assign(cell=cell.astype("int32"), angle=angle)
+
+    def _angles(m, cats, use):
+        s = _cosines(m, _matrix(pivots["v"]), cats if use else None, pivots["c"].to_numpy() if use else None)
+        return np.arccos(np.clip(s, -1, 1))
+
+    if cells == 1:
+        blocks, radius = np.array([math.ceil(n / rows)]), None
+        placed = classes.select("v", "c", "cid", F.lit(0).alias("cell"), F.lit(int(blocks[0])).alias("nb"))
+    else:
+        kind = "v array<double>, c string, cid long, cell int, angle double"
+        placed = classes.select("v", "c", "cid").mapInPandas(place, kind)
+        shape = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r")).collect()
+        blocks, radius = np.zeros(cells, int), np.full(cells, -np.inf)
+        for r in shape:  # one row a cell
+            blocks[r["cell"]], radius[r["cell"]] = math.ceil(r["n"] / rows), r["r"]
+        sizes = classes.sparkSession.createDataFrame([(i, int(b)) for i, b in enumerate(blocks)], "cell int, nb int")
+        placed = placed.join(F.broadcast(sizes), "cell")  # at most MAX_CELLS rows
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
+    ref = placed.select(F.col("cid").alias("rid"), F.col("v").alias("rv"), F.col("c").alias("rc"),
+                        F.col("cell").alias("r_cell"), F.col("own").alias("r_rblk"),
+                        F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("r_qblk"))
+    qry = placed.select(F.col("cid").alias("qid"), F.col("v").alias("qv"), F.col("c").alias("qc"), "cell",
+                        F.col("own").alias("qblk"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("rblk"))
+    block = _topk_block(k, False, with_cat)
+    task = ["cell", "qblk", "rblk"]
+    own = qry.groupBy(*task).cogroup(ref.groupBy(*(f"r_{c}" for c in task))).applyInPandas(block, _BEST)
+    own = _ranked(own, k).drop("rank")
+    if cells == 1:
+        return own
+    own = checkpoint(own)
+    bound = own.groupBy("qid").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("found"))
+    asked = placed.select(F.col("cid").alias("qid"), "v", "c", "cell").join(bound, "qid")
+
+    def send(batches):
+        for b in batches:
+            if len(b):
+                m = _matrix(b["v"])
+                cats = b["c"].to_numpy()
+                zero = ~m.any(1) if not with_cat else np.zeros(len(b), bool)
+                low = _angles(m, cats, with_cat) - radius[None, :]
+                top = np.cos(np.clip(low, 0, np.pi))
+                # a zero vector has cosine 0 with all; a cell's zero vectors lie within its radius
+                top[zero] = np.maximum(top[zero], 0.0)
+                least = np.where(b["found"] < k, -np.inf, b["least"])[:, None]
+                go = (top >= least - SLACK) & (blocks > 0)[None, :]
+                go[np.arange(len(b)), b["cell"].to_numpy()] = False
+                i, cell = np.nonzero(go)
+                out = b.iloc[i][["qid", "v", "c"]].rename(columns={"v": "qv", "c": "qc"})
+                yield out.assign(cell=cell.astype("int32"), nb=blocks[cell].astype("int32"))
+
+    sent = asked.mapInPandas(send, "qid long, qv array<double>, qc string, cell int, nb int")
+    sent = sent.withColumn("qblk", F.pmod(F.xxhash64("qid"), F.lit(max(1, math.ceil(n / rows)))).cast("int")) \
+        .withColumn("rblk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    away = _others(sent, placed, block)
+    return _ranked(own.unionByName(away), k).drop("rank")
+
+
+def _others(sent: DataFrame, placed: DataFrame, block) -> DataFrame:
+    """Sent classes against the blocks of their cells. A block goes to the
+    query blocks that have a row for it."""
+    task = ["cell", "qblk", "rblk"]
+    wanted = sent.select(*(F.col(c).alias(f"w_{c}") for c in task)).distinct()
+    ref = placed.select(F.col("cid").alias("rid"), F.col("v").alias("rv"), F.col("c").alias("rc"), "cell",
+                        F.col("own").alias("rblk"))
+    ref = ref.join(wanted, (F.col("cell") == F.col("w_cell")) & (F.col("rblk") == F.col("w_rblk"))) \
+        .select("rid", "rv", "rc", *(f"w_{c}" for c in task))
+    return sent.groupBy(*task).cogroup(ref.groupBy(*(f"w_{c}" for c in task))).applyInPandas(block, _BEST)
+
+
+def _matrix(vectors) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64) if len(vectors) else np.zeros((0, 1))
 
 
 def nearest(items: DataFrame, id_col: str, vec_col: str, **kw) -> DataFrame:

@@ -5,11 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cadenza.functions.predicates import contains_ci
 from cadenza.operators import features as FE
 from cadenza.operators import similarity as SIM
 from cadenza.plans.registry import plan
-from cadenza.session import checkpoint_dir
 from cadenza.tables import table
 
 R = 6  # output rounding of scores
@@ -145,16 +143,12 @@ SELECT z.p_partkey, z.p_name, z.p_brand, round(ms.score, {R}) AS score
 FROM cand JOIN ms ON cand.r = ms.r JOIN z ON z.p_partkey = cand.r
 ORDER BY round(ms.score, 9) DESC, z.p_partkey LIMIT 5""")
 def similar_full(spark, sf):
-    matches = table(spark, sf, "part").filter(contains_ci("p_name", "ring"))
-    # the matches feed several branches: one reliable checkpoint reads part once
-    checkpoint_dir(spark)
-    z = (_part_vectors(matches).select("p_partkey", "p_name", "p_brand", "p_type", "vec")
-         .checkpoint(eager=True))
-    cand = (SIM.top_k_neighbours(z, "p_partkey", "vec", 5, category_col="p_type")
-            .select(F.col("rid").alias("p_partkey")).distinct())
-    ms = SIM.mean_similarity(z, "p_partkey", "vec", category_col="p_type").join(cand, "p_partkey", "left_semi")
-    return (SIM.top_n(ms, "mean_similarity", "p_partkey", 5)
-            .select("p_partkey", "p_name", "p_brand", F.round("mean_similarity", R).alias("score")))
+    from cadenza.operators.recommend import similar_songs
+    songs = table(spark, sf, "part").withColumnsRenamed({"p_name": "song", "p_brand": "artist", "p_type": "genre"})
+    best = similar_songs(songs, song="ring", id_col="p_partkey", features=["p_size", "p_retailprice"])
+    return best.filter(F.col("message").isNull()).select(
+        "p_partkey", F.col("song").alias("p_name"), F.col("artist").alias("p_brand"),
+        F.round("similarity_score", R).alias("score"))
 
 
 @plan("one_hot_dot", "WITH " + _part_pairs_sql("") + f"""

@@ -132,3 +132,51 @@ def test_mean_and_top_k_agree_on_items_without_a_category(spark):
     for r in SIM.mean_similarity(df, "id", "v", category_col="c").collect():
         others = [s for (q, _), s in pairs.items() if q == r.id]
         assert abs(r.mean_similarity - (1 + sum(others)) / 6) < 1e-9
+
+
+def _found(df):
+    g = {}
+    for r in df.orderBy("qid", "rank").collect():
+        g.setdefault(r["qid"], []).append(r["rid"])
+    return g
+
+
+def test_pruned_top_k_over_cells(spark):
+    """Clusters, copies, zero vectors and a category over many cells."""
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(12, 6)) * 4
+    vecs = (centres[rng.integers(0, 12, 500)] + rng.normal(size=(500, 6)) * 0.3).round(2)
+    vecs[::9] = vecs[0]
+    vecs[5] = vecs[77] = 0.0
+    ids = rng.permutation(5000)[:500].tolist()
+    order = np.argsort(ids)
+    cats = [f"c{i % 3}" if i % 7 else None for i in range(500)]
+    df = spark.createDataFrame([(int(i), v.tolist(), c) for i, v, c in zip(ids, vecs, cats)], "id long, v array<double>, c string")
+    for cat in (None, "c"):
+        got = _found(SIM.top_k_neighbours(df, "id", "v", 4, category_col=cat, block_rows=16, cell_rows=40))
+        want = _topk_ref(_brute(vecs[order], np.array(cats, dtype=object)[order] if cat else None),
+                         [ids[i] for i in order], 4)
+        assert got == want
+
+
+def test_clustered_vectors_are_sent_to_few_cells(spark, monkeypatch):
+    """Rows sent a vector do not grow with the vectors."""
+    seen = []
+    others = SIM._others
+    monkeypatch.setattr(SIM, "_others", lambda sent, *a: seen.append(sent.count()) or others(sent, *a))
+    for n in (400, 1600):
+        rng = np.random.default_rng(n)
+        centres = rng.normal(size=(n // 20, 8))
+        vecs = centres[rng.integers(0, n // 20, n)] + rng.normal(size=(n, 8)) * 0.02
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, v array<double>")
+        assert SIM.top_k_neighbours(df, "id", "v", 3, block_rows=64, cell_rows=20).count() == 3 * n
+    assert seen[0] / 400 < 4 and seen[1] / 1600 < 1.5 * max(1, seen[0] / 400)
+
+
+def test_long_request_list_by_blocks_equals_the_sent_list(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))], "id long, v array<double>")
+    ask = df.filter("id % 3 = 0")
+    want = _found(SIM.top_k_neighbours(df, "id", "v", 3, queries=ask))
+    monkeypatch.setattr(SIM, "SENT_NUMBERS", 10)
+    assert _found(SIM.top_k_neighbours(df, "id", "v", 3, queries=ask, block_rows=32)) == want
