@@ -170,7 +170,21 @@ def op8(spark, sf_dir):
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op9_substring_dedup")
+@query("op9_substring_dedup", r"""
+with docs as (select row_number() over () as rid, doc_id, coalesce(doc_id, 9223372036854775807) as key,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+words as (select rid, key, unnest(ws) as w, unnest(range(len(ws))) as pos from docs),
+windows as (select *, list(w) over (partition by rid order by pos rows between current row and 12 following) as win
+    from words),
+first as (select *, len(win) = 13 and min(key) over (partition by win) < key as seen from windows),
+marked as (select *, max(seen::int) over (partition by rid order by pos rows between 12 preceding and current row) as gone
+    from first),
+per as (select rid, sum(gone) as n_removed, string_agg(w, ' ' order by pos) filter (where gone = 0) as kept
+    from marked group by rid)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
+    sha256(coalesce(kept, '')) as kept_sha256
+from docs left join per using (rid)
+""")
 def op9(spark, sf_dir):
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
