@@ -33,12 +33,6 @@ def _try_cast(c: Column, dtype: str) -> Column:
     return c.try_cast(dtype)
 
 
-def to_int_truncating(col) -> Column:
-    """Text -> double -> int, truncating like ``int(float)``; null when the
-    text is not a number or out of range."""
-    return _try_cast(_try_cast(normalize_na(col), "double"), "int")
-
-
 def cast_or_drop(df: DataFrame, types: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """Strict row cast. Returns (kept, dropped): a row is dropped when any
     listed column is missing or does not cast."""

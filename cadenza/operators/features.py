@@ -57,9 +57,11 @@ def standardize(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
 
 
 def array_dim(df: DataFrame, col: str) -> int:
-    """Vector length, read from one row."""
-    row = df.select(F.size(col).alias("n")).filter(F.col("n") >= 0).limit(1).collect()
-    return int(row[0]["n"]) if row else 0
+    """Vector length of all rows; vectors of different lengths are an error."""
+    row = df.filter(F.col(col).isNotNull()).agg(F.min(F.size(col)).alias("lo"), F.max(F.size(col)).alias("hi")).first()
+    if row["lo"] != row["hi"]:
+        raise ValueError(f"{col} has vectors of {row['lo']} to {row['hi']} numbers")
+    return int(row["lo"] or 0)
 
 
 def minmax_array(df: DataFrame, col: str, dim: int | None = None, out: str | None = None) -> DataFrame:

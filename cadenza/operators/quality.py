@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.schema import (ERROR_CLASSES, FILE_OUTCOMES, KIND_CLASS,  # noqa: F401
+from cadenza.schema import (ALERT_TITLE, ERROR_CLASSES, FILE_OUTCOMES, KIND_CLASS,  # noqa: F401
                             SEVERITY_COLOURS, SEVERITY_HIGH_ABOVE, SEVERITY_MEDIUM_ABOVE)
 
 FAILED = "failed"
@@ -183,8 +183,7 @@ def alerts(stats: DataFrame, by: str | list[str]) -> DataFrame:
             .select(*by, "total_rows", "invalid_rows",
                     percent_text(F.col("invalid_rows"), F.col("total_rows")).alias("error_ratio_text"),
                     "severity", "colour",
-                    F.concat(F.lit("DATA QUALITY ALERT - "), F.col("severity"),
-                             F.lit(" CRITICALITY")).alias("title")))
+                    F.format_string(ALERT_TITLE, F.col("severity")).alias("title")))
 
 
 def file_outcomes(files: DataFrame, stats: DataFrame, file_col: str,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.operators import quality as q
 from cadenza.operators.quality import Expectation as E
 from cadenza.plans.registry import plan
+from cadenza.schema import ALERT_TITLE
 from cadenza.tables import table
 
 FILE = "l_returnflag"
@@ -102,7 +103,7 @@ SELECT l_returnflag, total_rows, invalid_rows,
        CAST(CAST(floor(bp / 100) AS BIGINT) AS VARCHAR) || '.' || lpad(CAST(CAST(bp % 100 AS BIGINT) AS VARCHAR), 2, '0') || '%' AS error_ratio_text,
        {_SEVERITY_SQL} AS severity,
        CASE WHEN error_ratio > 0.7 THEN 'FF0000' WHEN error_ratio > 0.3 THEN 'FFA500' ELSE '0076D7' END AS colour,
-       'DATA QUALITY ALERT - ' || ({_SEVERITY_SQL}) || ' CRITICALITY' AS title
+       format('{ALERT_TITLE.replace('%s', '{}')}', ({_SEVERITY_SQL})) AS title
 FROM a WHERE invalid_rows > 0""")
 def dq_alerts(spark, sf):
     return q.alerts(lineitem_stats(spark, sf), FILE)

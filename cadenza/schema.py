@@ -60,6 +60,7 @@ KIND_CLASS = {"not_null": "missing_values", "of_type": "invalid_types",
 SEVERITY_HIGH_ABOVE = 0.7
 SEVERITY_MEDIUM_ABOVE = 0.3
 SEVERITY_COLOURS = {"HIGH": "FF0000", "MEDIUM": "FFA500", "LOW": "0076D7"}
+ALERT_TITLE = "DATA QUALITY ALERT - %s CRITICALITY"
 FILE_OUTCOMES = ["ok", "empty_file", "file_read_error", "validation_error",
                  "critical_error"]
 

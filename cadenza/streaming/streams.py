@@ -142,8 +142,6 @@ def score_paths(spark: SparkSession, listing: DataFrame, table_dir: str, ledger_
                                      + ", _start long, _row long")
     raw = (rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
            .withColumns({c: normalize_na(F.col(c)) for c in SCORING_INPUT}))
-    raw = raw.withColumns({c: F.col(c).try_cast("double").try_cast("int").cast("string")
-                           for c in ("duration_ms", "year")})
     types = {"duration_ms": "int", "year": "int", "energy": "double", "loudness": "double"}
     kept, _ = cast_or_drop(raw.filter(F.col("song").isNotNull() & F.col("genre").isNotNull()), types)
     kept = kept.filter(letters_only("song", unicode=False))

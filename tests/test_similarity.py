@@ -83,6 +83,13 @@ def test_standardize_population_std(spark):
     assert [r["x"] for r in FE.standardize(df, ["x"]).collect()] == [-1.0, 1.0]
 
 
+def test_vectors_of_different_lengths_are_an_error(spark):
+    import pytest
+    df = spark.createDataFrame([([0.0, 10.0],), ([2.0],)], "v array<double>")
+    with pytest.raises(ValueError, match="1 to 2"):
+        FE.array_dim(df, "v")
+
+
 def test_minmax_array(spark):
     df = spark.createDataFrame([([0.0, 10.0],), ([2.0, 10.0],)], "v array<double>")
     got = [r["v"] for r in FE.minmax_array(df, "v").collect()]
