@@ -1,0 +1,129 @@
+"""The registered queries on the smallest given tables: their columns, and
+their rows against SQL or brute force."""
+
+import hashlib
+
+import duckdb
+import numpy as np
+import pytest
+
+import __spark_entry__ as entry
+from cadenza.llm import queries
+from tests.conftest import SF_SMALL
+from tests.llm.test_simhash import brute_links, plain_fingerprint
+from tools.oracle_check import TABLES, compare
+
+COLUMNS = {
+    "op1_mixing": "doc_id size source_size target taken",
+    "op2_secrets": "doc_id n_assign n_access n_hex base_sha256 spans",
+    "op3_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op4_byte_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op5_rule_ensemble": "doc_id held_out score predicted",
+    "op6_learned_partitions": "query_id rank vec_id score",
+    "op7_toxicity": "doc_id severity toxic",
+    "op8_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
+    "op9_substring_dedup": "doc_id n_words n_removed kept_sha256",
+    "op10_simhash": "doc_id fingerprint component_id",
+    "pipeline": "doc_id n_tokens ids",
+}
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
+
+
+@pytest.fixture(scope="module")
+def got(spark):
+    made = {}
+
+    def get(name):
+        if name not in made:
+            made[name] = entry.queries()[name](spark, SF_SMALL).toPandas()
+        return made[name]
+    return get
+
+
+def test_all_are_registered():
+    assert set(COLUMNS) == set(queries.QUERIES) <= set(entry.queries())
+    assert set(queries.ORACLES) == {"op1_mixing", "op2_secrets", "op9_substring_dedup"}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_columns_and_rows(got, docs, name):
+    out = got(name)
+    assert set(COLUMNS[name].split()) <= set(out.columns)
+    if name not in ("pipeline", "op6_learned_partitions"):
+        assert sorted(out["doc_id"]) == sorted(docs)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(got, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    status, msg = compare(got(name), con.execute(queries.ORACLES[name]).fetchdf())
+    assert status == "OK", msg
+
+
+def test_suffix_dedup_by_brute_force(got, docs):
+    raw = {d: (t or "").encode() for d, t in docs.items()}
+    seen = {}
+    for b in raw.values():
+        for p in range(len(b) - 399):
+            k = hash(b[p:p + 400])
+            seen[k] = seen.get(k, 0) + 1
+    out = got("op8_suffix_dedup").set_index("doc_id")
+    for d, b in raw.items():
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 399):
+            if seen[hash(b[p:p + 400])] > 1:
+                gone[p:p + 400] = True
+        runs = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        r = out.loc[d]
+        assert (r.n_bytes, r.n_removed, r.n_spans) == (len(b), gone.sum(), runs)
+        assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+def test_simhash_by_brute_force(got, docs):
+    fp = {d: plain_fingerprint(t, 4) for d, t in docs.items()}
+    root = brute_links(list(fp.values()))
+    low = {}
+    for d, x in fp.items():
+        low[root[x]] = min(low.get(root[x], d), d)
+    for r in got("op10_simhash").itertuples():
+        assert r.fingerprint == f"{fp[r.doc_id]:016x}" and r.component_id == low[root[fp[r.doc_id]]]
+
+
+def test_byte_bpe_digests(got, docs):
+    import public_tokenizers
+    import tiktoken
+
+    from cadenza.llm import byte_bpe
+    ranks = {t: i for i, t in enumerate(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in got("op4_byte_bpe").itertuples():
+        text = docs[r.doc_id] or ""
+        ids = enc.encode_ordinary(text)
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_neighbours_recall(spark, got):
+    rows = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").orderBy("vec_id").collect()
+    ids = np.array([r.vec_id for r in rows])
+    x = np.array([r.embedding for r in rows], float)
+    n = np.sqrt((x * x).sum(1))
+    found = {q: g.sort_values("rank") for q, g in got("op6_learned_partitions").groupby("query_id")}
+    hits = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = (x * x[i]).sum(1) / (n * n[i])
+        s[i] = -np.inf
+        top = np.lexsort((ids, -s))[:5]
+        g = found[ids[i]]
+        hits += len(set(ids[top]) & set(g["vec_id"]))
+        assert list(g["rank"]) == [1, 2, 3, 4, 5]
+        assert np.allclose(g["score"], s[np.searchsorted(ids, g["vec_id"])], atol=1e-12)
+    assert hits >= 0.9 * 5 * (ids % 50 == 0).sum()
