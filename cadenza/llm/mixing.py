@@ -70,12 +70,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: int
     return per.select("source", "rank", "n_docs", "source_size", "weight", target.alias("target"))
 
 
-def _meet(rows: DataFrame, small: DataFrame, on, keys: list) -> DataFrame:
+def _meet(rows: DataFrame, small: DataFrame, on) -> DataFrame:
     """Join with a table of totals: broadcast while it has few rows; beyond
-    that both sides are dealt out by ``keys``."""
-    if small.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(small), on)
-    return rows.join(small, on).repartition(*keys) if keys else rows.join(small, on)
+    that a shuffle join, whose skewed partitions AQE splits."""
+    return rows.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on)
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: int = 2, seed: str = "mix",
@@ -95,7 +93,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: int = 2,
 
     # ranges of the shuffle key: as many as the root of the source's documents,
     # so that neither a range nor the list of ranges gets long
-    timed = _meet(rows.withColumn("_s", F.coalesce(source, F.lit(""))), per, "_s", [])
+    timed = _meet(rows.withColumn("_s", F.coalesce(source, F.lit(""))), per, "_s")
     place = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("bigint")
     ranges = F.ceil(F.sqrt(F.col("n_docs"))).cast("bigint")
     timed = timed.withColumn("range", F.floor(place * ranges / 4294967296).cast("bigint"))
@@ -103,7 +101,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: int = 2,
     ahead = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = checkpoint(totals.select("rank", "range",
                                       F.coalesce(F.sum("range_size").over(ahead), F.lit(0)).alias("ahead")), gather=True)
-    timed = _meet(timed, starts, ["rank", "range"], [])
+    timed = _meet(timed, starts, ["rank", "range"])
     within = Window.partitionBy("rank", "range").orderBy("shuffle_key", "size") \
         .rowsBetween(Window.unboundedPreceding, 0)
     timed = timed.repartition("rank", "range") \
