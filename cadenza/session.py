@@ -102,20 +102,23 @@ def checkpoint(df: DataFrame, gather: bool = False) -> DataFrame:
     many tasks write as the cluster has cores, so that tables of few bytes
     a partition do not become many small files."""
     checkpoint_dir(df.sparkSession)
-    if gather:
-        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
-    return df.checkpoint(eager=True)
+    return (_gathered(df) if gather else df).checkpoint(eager=True)
+
+
+def _gathered(df: DataFrame) -> DataFrame:
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 _scratch: dict[str, list[str]] = {}
 
 
-def scratch_table(df: DataFrame) -> DataFrame:
+def scratch_table(df: DataFrame, gather: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and
     read it back: columns and rows not needed later are not read again.
-    ``clear_scratch`` deletes the tables of an application."""
+    ``gather`` as in :func:`checkpoint`. ``clear_scratch`` deletes the
+    tables of an application."""
     path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
+    (_gathered(df) if gather else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
