@@ -7,7 +7,8 @@ starts in a document with a smaller id is reported back to its document,
 where flagged windows merge into maximal removal intervals.
 
 Only hashes travel, packed in binary rows of many documents: 8 bytes a
-window out, 8 bytes a repeated window back. Before the shuffle a task
+window out, 8 bytes a repeated window back; texts meet their flags
+compressed. Before the shuffle a task
 keeps one entry, that of the smallest id, of each window it has met, and
 flags the other documents at once, so a window that a third of all
 documents share arrives once per task batch, not once per document. The
@@ -30,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.words import SpanHash, chunks, covered, find_words, mix64, xxh64_of_long
+from cadenza.llm.words import (SpanHash, chunks, compress_texts, covered, find_words, mix64, texts_of,
+                               xxh64_of_long)
 
 #: Bytes of text whose windows make one part, and that meet in one task
 #: when the removals are applied.
-PART_BYTES, APPLY_BYTES = 16 << 20, 8 << 20
+PART_BYTES, APPLY_BYTES = 8 << 20, 8 << 20
 #: Windows that a task gathers before it sends them on.
-BATCH_WINDOWS = 2_000_000
+BATCH_WINDOWS = 1_000_000
 NULL_ID = 2**63 - 1
 
 _hash = SpanHash(20)
@@ -163,16 +165,15 @@ def _apply(width: int):
         ids, h = _unpack(*(flags.column(n).to_pylist() for n in ("docs", "counts", "hashes")))
         order = np.lexsort((h, ids))
         ids, h = ids[order], h[order]
-        out = []
-        for batch in docs.combine_chunks().to_batches():
-            for part, data, offsets in chunks(batch):
-                out.append(_cut(part, data, offsets, ids, h))
+        texts = pa.array(texts_of(docs), pa.large_binary())
+        batch = pa.RecordBatch.from_arrays([docs.column("id").combine_chunks(), texts], ["id", "text"])
+        out = [_cut(part, data, offsets, ids, h) for part, data, offsets in chunks(batch)]
         if not out:
             return pa.Table.from_batches([], OUT_ARROW)
         return pa.Table.from_batches(out)
 
     def _cut(part, data, offsets, ids, h):
-        keys = _row_ids(part.column(part.schema.get_field_index("id")))
+        keys = _row_ids(part.column(0))
         words = find_words(data, offsets)
         wh, wdoc, at = window_hashes(data, offsets, words, width)
         lo, hi = np.searchsorted(ids, keys), np.searchsorted(ids, keys, side="right")
@@ -199,7 +200,7 @@ def _apply(width: int):
             kept.append(b" ".join(tokens).decode("utf-8"))
             removed.append(spans)
         return pa.RecordBatch.from_arrays(
-            [part.column(part.schema.get_field_index("id")), pa.array(n_words, pa.int64()),
+            [part.column(0), pa.array(n_words, pa.int64()),
              pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()),
              pa.array(removed, _SPANS)], schema=OUT_ARROW)
 
@@ -232,7 +233,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id",
     flags = sent.groupBy("part").applyInPandas(
         _count(buckets), "bucket int, docs binary, counts binary, hashes binary")
 
-    keyed = rows.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("id", F.lit(NULL_ID))),
-                                              F.lit(buckets)).cast("int"))
+    bucket = F.pmod(F.xxhash64(F.coalesce("id", F.lit(NULL_ID))), F.lit(buckets)).cast("int").alias("bucket")
+    keyed = rows.select(bucket, "id", "text").mapInArrow(compress_texts, "bucket int, id bigint, packed binary")
     return keyed.groupBy("bucket").cogroup(flags.groupBy("bucket")).applyInArrow(
         _apply(width), OUT)
