@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.words import SpanHash, chunks, text_bytes
+from cadenza.llm.words import SpanHash, chunks, compress_texts, texts_of
 from cadenza.session import checkpoint, scratch_table
 
 #: Bytes of text handled at once; longer texts are cut into overlapping pieces.
@@ -43,7 +43,7 @@ PIECE = 1 << 20
 BATCH_SEGMENTS = 200_000
 #: Bytes of segments in a shard; of one anchor's segments before they are
 #: dealt over several; of text that meets in one task.
-SHARD_BYTES, HOT_BYTES, APPLY_BYTES = 2 << 20, 256 << 10, 8 << 20
+SHARD_BYTES, HOT_BYTES, APPLY_BYTES = 1 << 20, 256 << 10, 8 << 20
 #: A segment's place: first start times this, plus its further starts.
 PLACE = 4096
 
@@ -272,24 +272,6 @@ def _unpack(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["row", "start", "count"])
 
 
-def _compress(batches):
-    """Texts as compressed bytes, for the shuffles."""
-    import zstandard
-    pack = zstandard.ZstdCompressor(level=1).compress
-    for batch in batches:
-        data, offsets = text_bytes(batch.column(2))
-        raw = memoryview(data)
-        packed = [pack(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())],
-                                         ["row", "id", "packed"])
-
-
-def _texts(table: pa.Table) -> list[bytes]:
-    import zstandard
-    unpack = zstandard.ZstdDecompressor().decompress
-    return [unpack(x) for x in table.column("packed").to_pylist()]
-
-
 def _cut(length: int):
     """The bytes of the segments of the texts of one bucket."""
 
@@ -301,7 +283,7 @@ def _cut(length: int):
             need = set(row)
             keys = docs.column("row").to_pylist()
             keep = [i for i, k in enumerate(keys) if k in need]
-            texts = dict(zip((keys[i] for i in keep), _texts(docs.take(pa.array(keep, pa.int64())))))
+            texts = dict(zip((keys[i] for i in keep), texts_of(docs.take(pa.array(keep, pa.int64())))))
         start = [p // PLACE for p in place]
         cut = [texts[r][s:s + p % PLACE + length] for r, s, p in zip(row, start, place)]
         return pa.table([pa.array(c, k) for c, k in zip([anchor, sub, row, start, many, hot, cut], _CUT_KINDS)],
@@ -323,7 +305,7 @@ def _apply(length: int):
         keys = docs.column("row").to_numpy()
         lo, hi = np.searchsorted(row, keys), np.searchsorted(row, keys, side="right")
         size, removed, spans, kept = [], [], [], []
-        for raw, a, b in zip(_texts(docs), lo, hi):
+        for raw, a, b in zip(texts_of(docs), lo, hi):
             gone, pieces, at = [], [], 0
             for s, e in zip(start[a:b].tolist(), (start[a:b] + count[a:b] - 1 + length).tolist()):
                 if gone and s <= gone[-1][1]:
@@ -383,7 +365,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
     subs = F.ceil(F.col("n") * about / HOT_BYTES).cast("bigint")
     wanted = distinct.join(several, "anchor").select(
         "anchor", "at.row", "at.place", "many", F.pmod("content", subs).alias("sub"), (subs > 1).alias("hot"))
-    packed = rows.mapInArrow(_compress, "row bigint, id bigint, packed binary")
+    packed = rows.mapInArrow(compress_texts, "row bigint, id bigint, packed binary")
     cut = bucket(packed).groupBy("bucket").cogroup(bucket(wanted).groupBy("bucket")).applyInArrow(
         _cut(length), "anchor bigint, sub bigint, row bigint, start bigint, many boolean, hot boolean, bytes binary")
     sizes = several.agg(F.sum("n").alias("n"), F.sum(F.when(subs > 1, F.col("n"))).alias("hot")).first()
@@ -391,7 +373,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
     ranges = max(width, -(-(sizes["hot"] or 0) * about // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("anchor", "sub"), F.lit(shards)).cast("int")
     sharded = scratch_table(cut.withColumn("shard", shard).groupBy("shard").applyInArrow(
-        _shard(length, ranges), _SHARD))
+        _shard(length, ranges), _SHARD), gather=True)
 
     # 3. merging
     merged = sharded.filter("kind = 'string'").groupBy("range").applyInArrow(
