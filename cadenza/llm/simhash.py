@@ -182,9 +182,10 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", keep: list[str] | None = None,
-                    text_col: str = "text") -> DataFrame:
+                    text_col: str = "text", root_col: str | None = None) -> DataFrame:
     """``keep`` (default: the id), ``fp`` and ``component_id``, the smallest
-    id of the row's component."""
+    id of the row's component; with ``root_col`` also the component's root, a
+    fingerprint, under that name. Components may share an id, never a root."""
     keep = keep or [id_col]
     rows = checkpoint(fingerprints(docs, keep, width, text_col))
     distinct = checkpoint(rows.groupBy("fp").agg(F.min(id_col).alias("low")), gather=True)
@@ -193,19 +194,19 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", kee
         .select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = checkpoint(named, gather=True)
     lowest = checkpoint(named.groupBy("root").agg(F.min("low").alias("component_id")), gather=True)
-    of = checkpoint(named.join(lowest, "root").select("fp", "component_id"), gather=True)
-    return rows.join(of, "fp").select(*keep, "fp", "component_id")
+    roots_too = [root_col] if root_col else []
+    of = named.join(lowest, "root").select("fp", "component_id", *(F.col("root").alias(c) for c in roots_too))
+    of = checkpoint(of, gather=True)
+    return rows.join(of, "fp").select(*keep, "fp", "component_id", *roots_too)
 
 
 def keep_one(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of every component: the one of the smallest id,
     then of the smallest text hash."""
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = near_duplicates(docs.withColumn("__key", key), width, id_col, [id_col, "__key"], text_col)
-    # a component of null ids only is told by its first fingerprint
-    group = F.coalesce(F.concat(F.lit("d"), F.col("component_id").cast("string")),
-                       F.concat(F.lit("f"), F.col("fp").cast("string")))
-    first = rows.groupBy(group.alias("g")).agg(F.min(F.struct(
+    rows = near_duplicates(docs.withColumn("__key", key), width, id_col, [id_col, "__key"], text_col, "__root")
+    # by root: components may share their smallest id, or have none
+    first = rows.groupBy("__root").agg(F.min(F.struct(
         F.col(id_col).isNull().alias("last"), F.col(id_col).alias("i"), F.col("__key").alias("k"))).alias("w"))
     first = checkpoint(first.select(F.coalesce(F.concat(F.lit("d"), F.col("w.i").cast("string")), F.lit(""))
                                     .alias("__doc"), F.col("w.k").alias("__key")).distinct(), gather=True)

@@ -122,3 +122,17 @@ def test_awkward_and_empty(spark):
     nulls = frame(spark, [(None, "a b c d e", None, None, None), (None, "a b c d e", None, None, None)])
     assert [r.component_id for r in s.near_duplicates(nulls).collect()] == [None, None]
     assert s.keep_one(nulls).count() == 1
+
+
+def test_keep_one_of_every_component_whatever_its_ids(spark):
+    """Two texts under one id are two components; null-id near copies with
+    different fingerprints are one."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    a, b, c = (" ".join(rng.choices(words, k=200)) for _ in range(3))
+    near = next(t for i in range(200) for t in [c + f" t{i}"] if 0 < (
+        plain_fingerprint(t, 4) ^ plain_fingerprint(c, 4)).bit_count() <= 4)
+    rows = [(7, a), (7, b), (8, a), (9, b), (None, c), (None, near), (None, c)]
+    kept = [(r.doc_id, r.text) for r in s.keep_one(frame(spark, [(*r, "en", "s", 1) for r in rows])).collect()]
+    assert sorted(r for r in kept if r[0] is not None) == sorted([(7, a), (7, b)])
+    assert len(kept) == 3 and {t for d, t in kept if d is None} < {c, near}
