@@ -1,6 +1,6 @@
 """Corpus pipeline: toxic documents go, one document of each group of near
 duplicates stays, secrets are masked, sources are mixed to their weights,
-and the mix is encoded.
+and the mix is encoded and decoded.
 
 ``STAGES`` lists the stages; each takes (spark, docs, sf_dir) and returns a
 DataFrame that is written as Parquet and read back for the next one. All
@@ -39,8 +39,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ids = byte_bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
-    return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+    out = byte_bpe.transcode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("toxicity", reject_toxic),

@@ -1,5 +1,6 @@
 """Each stage of the corpus pipeline against brute force on its own input."""
 
+import hashlib
 import random
 import re
 
@@ -78,3 +79,11 @@ def test_stages(spark, folder):
 
     whole = corpus_pipeline.run(spark, folder)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, outs[4].collect()))
+
+
+def test_last_stage_decodes(spark):
+    """The digest is that of the bytes the ids decode to, the whole text."""
+    texts = {1: "plain words", 2: "délta \U0001f600\n\t x", 3: "", 4: None}
+    docs = frame(spark, [(i, t, "en", "s", 1) for i, t in texts.items()], extra=False)
+    got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.encode(spark, docs, "").collect()}
+    assert got == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in texts.items()}
