@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.words import xxh64_of_long
+from cadenza.session import checkpoint
 
 #: Vectors that the fit may use; the last quarter sets the routing share.
 SAMPLE_ROWS = 4096
@@ -41,6 +42,8 @@ RECALL = 0.95
 HIDDEN, STEPS, RATE = 64, 300, 0.01
 #: Index vectors and queries that meet in one task at most (about).
 INDEX_BLOCK, QUERY_BLOCK = 4096, 8192
+#: Tables of repeated ids are broadcast up to this many rows.
+BROADCAST_IDS = 100_000
 #: Scores this near to the last one kept are computed again, exactly.
 SLACK = 1e-9
 
@@ -177,6 +180,20 @@ def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
         .filter(finite & F.exists("v", lambda c: c != 0.0))
 
 
+def _one_vector_each(rows: DataFrame) -> DataFrame:
+    """Rows ``id, v`` with one row of each id, that of the smallest vector.
+    Ids that occur once go through no shuffle while the others are few."""
+    many = rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    many = checkpoint(many, gather=True)
+    n = many.count()
+    if n == 0:
+        return rows
+    if n > BROADCAST_IDS:
+        return checkpoint(rows.groupBy("id").agg(F.min("v").alias("v")))
+    some = rows.join(F.broadcast(many), "id", "left_semi").groupBy("id").agg(F.min("v").alias("v"))
+    return rows.join(F.broadcast(many), "id", "left_anti").unionByName(checkpoint(some, gather=True))
+
+
 def _matrix(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, vectors of the right length)."""
     lists = batch.column(1)
@@ -286,7 +303,7 @@ def search(vectors: DataFrame, router: Router | None, k: int = 5, every: int = 5
     out = "query_id bigint, vec_id bigint, score double"
     if router is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows = _valid(vectors, id_col, vec_col)
+    rows = _one_vector_each(_valid(vectors, id_col, vec_col).filter(F.size("v") == router.dim))
     counts = rows.mapInArrow(_counts(router, every), "part bigint, n bigint, asked bigint") \
         .groupBy("part").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")).collect()
     parts = router.layers[-1].shape[0]

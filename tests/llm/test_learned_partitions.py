@@ -89,3 +89,22 @@ def test_copies_of_one_vector_in_a_third_of_all(spark, monkeypatch):
     want = brute(ids, x, 5, 50)
     for q in (0, 150, 300, 450):
         assert [v for v, _ in got[q]] == [v for v, _ in want[q]]
+
+
+def sides():
+    """Two partitions by the sign of the first component; the likelier one
+    holds nearly all probability away from zero."""
+    return p.Router([np.array([[1.0, -1.0], [0.0, 0.0]]), np.zeros(2), np.eye(2) * 10, np.zeros(2)], 1.0, 2)
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_two_vectors_under_one_id_are_the_smallest(spark, monkeypatch, few):
+    monkeypatch.setattr(p, "BROADCAST_IDS", few, raising=False)
+    ids = [1, 1, 2, 3, 4, 5, 6, 50, 50, 1]
+    x = [[1, 0.1], [-1, 0.1], [1, 0.5], [1, 0.4], [-1, 0.5], [-1, 0.9], [1, 0.9], [0.5, 1], [-0.5, 1], [-9]]
+    got = found(p.search(frame(spark, ids, x), sides(), 5, 50))
+    own = dict(zip(ids, x)) | {1: [-1, 0.1], 50: [-0.5, 1]}
+    keys = np.array(sorted(own))
+    want = brute(keys, [own[i] for i in keys], 5, 50)
+    assert [v for v, _ in got[50]] == [v for v, _ in want[50]] and len({v for v, _ in got[50]}) == 5
+    assert [s for _, s in got[50]] == pytest.approx([s for _, s in want[50]])
