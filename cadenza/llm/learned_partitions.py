@@ -6,7 +6,8 @@ most neighbours). A small classifier learns where the neighbours of a
 vector lie. Every vector is indexed in its most probable partition; a
 query goes to its most probable partitions, as many as hold the share of
 probability that held-out sample queries needed to find ``RECALL`` of their
-neighbours. In these partitions the query meets every vector and is ranked
+neighbours, and on down the ranking while these hold too few vectors to
+fill its list. In these partitions the query meets every vector and is ranked
 by the exact cosine.
 
 A partition is dealt into blocks of index vectors and blocks of queries,
@@ -125,6 +126,18 @@ class Router:
         out[rows, order] = np.cumsum(ranked, axis=1) - ranked
         return out
 
+    def asked(self, p: np.ndarray, held: np.ndarray | None = None, least: int = 0) -> np.ndarray:
+        """Whether each partition is asked: by the share, and where ``held``
+        vectors a partition are given, until ``least`` are reached."""
+        out = self.before(p) <= self.share
+        if held is not None:
+            order = np.argsort(-p, axis=1, kind="stable")
+            ranked = held[order]
+            short = np.zeros_like(out)
+            short[np.arange(len(p))[:, None], order] = np.cumsum(ranked, axis=1) - ranked < least
+            out |= short & (held > 0)
+        return out
+
 
 def _train(u: np.ndarray, goal: np.ndarray, seed: int = 6) -> list[np.ndarray]:
     """Cross entropy with soft labels, by Adam over all rows."""
@@ -202,7 +215,7 @@ def _matrix(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _counts(router: Router, every: int):
+def _counts(router: Router, every: int, held=None, least: int = 0):
     def run(batches):
         for batch in batches:
             ids, x = _matrix(batch, router.dim)
@@ -210,13 +223,13 @@ def _counts(router: Router, every: int):
                 continue
             p = router.probabilities(_unit(x))
             n = np.bincount(p.argmax(1), minlength=p.shape[1])
-            asked = ((router.before(p) <= router.share) & (ids % every == 0)[:, None]).sum(0)
+            asked = (router.asked(p, held, least) & (ids % every == 0)[:, None]).sum(0)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(p.shape[1])), pa.array(n.astype(np.int64)),
                                               pa.array(asked.astype(np.int64))], ["part", "n", "asked"])
     return run
 
 
-def _deal(router: Router, every: int, base, n_blocks, q_blocks):
+def _deal(router: Router, every: int, base, n_blocks, q_blocks, held=None, least: int = 0):
     """Rows for the tasks: index vectors to each query block of their
     partition, queries to each index block of the partitions asked."""
 
@@ -233,7 +246,7 @@ def _deal(router: Router, every: int, base, n_blocks, q_blocks):
             j = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
             task = base[home[row]] + (h[row] % n_blocks[home[row]]) * q_blocks[home[row]] + j
             yield _rows(task, False, ids, x, row)
-            asked = (router.before(p) <= router.share) & (ids % every == 0)[:, None]
+            asked = router.asked(p, held, least) & (ids % every == 0)[:, None]
             row, part = np.nonzero(asked)
             copies = n_blocks[part]
             at = np.repeat(np.arange(len(row)), copies)
@@ -304,17 +317,25 @@ def search(vectors: DataFrame, router: Router | None, k: int = 5, every: int = 5
     if router is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     rows = _one_vector_each(_valid(vectors, id_col, vec_col).filter(F.size("v") == router.dim))
-    counts = rows.mapInArrow(_counts(router, every), "part bigint, n bigint, asked bigint") \
-        .groupBy("part").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")).collect()
+
+    def counted(*reach):
+        n, asked = np.zeros(parts, int), np.zeros(parts, int)
+        for r in rows.mapInArrow(_counts(router, every, *reach), "part bigint, n bigint, asked bigint") \
+                .groupBy("part").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")).collect():
+            n[r["part"]], asked[r["part"]] = r["n"], r["asked"]  # a row for each partition of the router
+        return n, asked
+
     parts = router.layers[-1].shape[0]
-    n_blocks, q_blocks = np.zeros(parts, int), np.zeros(parts, int)
-    for r in counts:  # a row for each partition of the router
-        n_blocks[r["part"]] = -(-r["n"] // INDEX_BLOCK)
-        q_blocks[r["part"]] = -(-r["asked"] // QUERY_BLOCK)
+    n, asked = counted()
+    reach = ()
+    if n.min() <= k:  # a query may need more partitions than its share; it never finds itself
+        reach = (n, k + 1)
+        n, asked = counted(*reach)
+    n_blocks, q_blocks = -(-n // INDEX_BLOCK), -(-asked // QUERY_BLOCK)
     n_blocks = np.maximum(n_blocks, 1)
     tasks = n_blocks * q_blocks
     base = np.cumsum(tasks) - tasks
-    dealt = rows.mapInArrow(_deal(router, every, base, n_blocks, q_blocks),
+    dealt = rows.mapInArrow(_deal(router, every, base, n_blocks, q_blocks, *reach),
                             "task bigint, query boolean, id bigint, vec binary")
     found = dealt.groupBy("task").applyInArrow(_best(k), out)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

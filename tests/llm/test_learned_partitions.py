@@ -108,3 +108,16 @@ def test_two_vectors_under_one_id_are_the_smallest(spark, monkeypatch, few):
     want = brute(keys, [own[i] for i in keys], 5, 50)
     assert [v for v, _ in got[50]] == [v for v, _ in want[50]] and len({v for v, _ in got[50]}) == 5
     assert [s for _, s in got[50]] == pytest.approx([s for _, s in want[50]])
+
+
+def test_a_query_goes_on_until_its_list_is_full(spark):
+    """Its likeliest partition passes the share but holds two vectors."""
+    router = sides()
+    router.share = 0.5
+    rng = np.random.default_rng(4)
+    ids = list(range(48, 68))
+    x = [[1.0 if i in (49, 50) else -1.0, y] for i, y in zip(ids, rng.standard_normal(20))]
+    got = found(p.search(frame(spark, ids, x), router, 5, 50))
+    assert got[50] == [(v, pytest.approx(c, abs=1e-12)) for v, c in brute(np.array(ids), x, 5, 50)[50]]
+    few = found(p.search(frame(spark, ids[:4], x[:4]), router, 5, 50))
+    assert {v for v, _ in few[50]} == {48, 49, 51}
