@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cadenza.llm import substring_dedup as s
@@ -69,3 +70,14 @@ def test_awkward_and_empty(spark):
     rows = [(r[0], r[1]) for r in awkward()]
     assert run(frame(spark), 13) == brute(rows, 13)
     assert run(empty(spark), 13) == []
+
+
+def test_windows_of_one_hash_are_told_by_their_part(monkeypatch):
+    """With a first hash of the last word only, different windows collide."""
+    monkeypatch.setattr(s, "_MULTIPLIER", np.uint64(0))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["a b z", "c d z", "a b z"])], ["id", "text"])
+    out = pa.Table.from_batches(s._send(3, 1 << 20, 8)([batch])).to_pylist()
+    flagged = [i for r in out if r["bucket"] >= 0 for i in np.frombuffer(r["docs"], np.int64)]
+    assert flagged == [3]
+    sent = {r["part"] for r in out if r["bucket"] < 0}
+    assert len(sent) == 2
