@@ -44,17 +44,28 @@ BATCH_SEGMENTS = 200_000
 #: Bytes of segments in a shard; of one anchor's segments before they are
 #: dealt over several; of text that meets in one task.
 SHARD_BYTES, HOT_BYTES, APPLY_BYTES = 1 << 20, 256 << 10, 8 << 20
-#: A segment's place: first start times this, plus its further starts.
+#: A segment's place: first start times this (or the next power of two that
+#: its further starts need), plus its further starts.
 PLACE = 4096
 
 _anchor_hash, _content_hash, _string_hash = SpanHash(81), SpanHash(82), SpanHash(83)
 _POSITION = np.uint64((1 << 28) - 1)
 
 
+def _gram(length: int) -> int:
+    return max(4, length * 8 // 25)
+
+
+def place_unit(length: int) -> int:
+    """What a first start is multiplied by in a place: more than the further
+    starts of any segment, which has one for each gram of a string at most."""
+    return max(PLACE, 1 << (length - _gram(length) + 1).bit_length())
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, length: int):
     """(row, first start, last start, anchor, content) of every segment;
     starts are within the row."""
-    gram = max(4, length * 8 // 25)
+    gram = _gram(length)
     width = length - gram + 1
     step = max(1, PIECE - length)
     out = [[np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64)]]
@@ -85,6 +96,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int):
 
 def _find(length: int):
     """Distinct segments of each batch, and the places of further copies."""
+    unit = place_unit(length)
 
     def rows(held):
         key, place, anchor, content = (np.concatenate(c) for c in zip(*held))
@@ -108,7 +120,7 @@ def _find(length: int):
                 own = keys[at:at + part.num_rows]
                 at += part.num_rows
                 row, first, last, anchor, content = segments(data, offsets, length)
-                held.append((own[row], first * PLACE + (last - first), anchor, content))
+                held.append((own[row], first * unit + (last - first), anchor, content))
                 n += len(row)
                 if n >= BATCH_SEGMENTS:
                     yield rows(held)
@@ -274,6 +286,7 @@ def _unpack(batches):
 
 def _cut(length: int):
     """The bytes of the segments of the texts of one bucket."""
+    unit = place_unit(length)
 
     def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
         names = ["row", "anchor", "sub", "many", "hot", "place"]
@@ -284,8 +297,8 @@ def _cut(length: int):
             keys = docs.column("row").to_pylist()
             keep = [i for i, k in enumerate(keys) if k in need]
             texts = dict(zip((keys[i] for i in keep), texts_of(docs.take(pa.array(keep, pa.int64())))))
-        start = [p // PLACE for p in place]
-        cut = [texts[r][s:s + p % PLACE + length] for r, s, p in zip(row, start, place)]
+        start = [p // unit for p in place]
+        cut = [texts[r][s:s + p % unit + length] for r, s, p in zip(row, start, place)]
         return pa.table([pa.array(c, k) for c, k in zip([anchor, sub, row, start, many, hot, cut], _CUT_KINDS)],
                         names=["anchor", "sub", "row", "start", "many", "hot", "bytes"])
 
@@ -357,8 +370,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
     copies = distinct.filter("many").select(F.col("anchor").alias("a"), F.col("content").alias("c"))
     whole = firsts.join(copies, (F.col("anchor") == F.col("a")) & (F.col("content") == F.col("c"))) \
         .select("row", "place").unionByName(found.filter("not first").select("row", "place"))
-    whole = whole.select("row", F.floor(F.col("place") / PLACE).cast("bigint").alias("start"),
-                         (F.col("place") % PLACE + 1).alias("count"))
+    unit = place_unit(length)
+    whole = whole.select("row", F.floor(F.col("place") / unit).cast("bigint").alias("start"),
+                         (F.col("place") % unit + 1).alias("count"))
 
     # 2. shards; an anchor's segments have about the same size
     about = length * 3 // 2

@@ -90,3 +90,17 @@ def test_awkward_and_empty(spark):
     rows = [(r[0], r[1]) for r in awkward()]
     assert run(frame(spark), 40) == brute(rows, 40)
     assert run(empty(spark), 40) == []
+
+
+def test_long_strings(spark):
+    """One segment of 5,441 starts: every string holds the same anchor."""
+    length, gram, width = 8000, 2560, 5441
+    text = "".join(random.Random(7).choices("abcdefgh", k=100_000))
+    grams = np.arange(len(text) - gram + 1)
+    h = s._anchor_hash(np.frombuffer(text.encode(), np.uint8), grams, grams + gram)
+    at = next(i for i in range(width, len(h) - width) if h[i] == h[i - width + 1:i + width].min())
+    cut = text[at - width + 1:at + width - 1 + gram]
+    rows = [(1, cut), (2, cut), (3, "x" * 100 + cut[:9000])]
+    want = brute(rows, length)
+    df = frame(spark, [(*r, "en", "s", 1) for r in rows]).repartition(2)
+    assert run(df, length) == want and want[0][2] == len(cut)
