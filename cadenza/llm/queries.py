@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cadenza.llm import (byte_bpe, learned_partitions, mixing, quality_rules, rule_ensemble, secrets, simhash,
-                         substring_dedup, suffix_dedup, toxicity)
+from cadenza.llm import (byte_bpe, html_text, learned_partitions, mixing, quality_rules, rule_ensemble, secrets,
+                         simhash, substring_dedup, suffix_dedup, token_alignment, toxicity, whitening)
 from cadenza.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The two sides of the alignment.
+TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None):
@@ -194,3 +196,19 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op11_token_alignment")
+def op11(spark, sf_dir):
+    return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER_A),
+                                 public_tokenizers.path(TOKENIZER_B))
+
+
+@query("op12_html_text")
+def op12(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"), html_text.fit(spark))
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
