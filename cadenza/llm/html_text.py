@@ -233,6 +233,11 @@ class _Filler:
                 out.append(self.main(kind, self.words(1, 8) if kind == "h2" else None))
         return "".join(out)
 
+    def long(self) -> str:
+        """Paragraphs that are known by their words alone."""
+        lo, hi = self.r.choice([(14, 40), (30, 60), (18, 200)])
+        return "".join(self.main("p", self.words(lo, hi)) for _ in range(self.r.randint(1, 8)))
+
     def menu(self, tag: str = "ul") -> str:
         return f"<{tag}>" + "".join(f"<li>{self.link(1, 2)}</li>" for _ in range(self.r.randint(3, 9))) + f"</{tag}>"
 
@@ -281,17 +286,13 @@ def _blog(f: _Filler) -> str:
 
 def _bare(f: _Filler) -> str:
     """No names at all: words and links must tell."""
-    def long() -> str:
-        return "".join(f.main("p", f.words(18, 200)) for _ in range(f.r.randint(3, 8)))
-
     menu = "".join(f"<div>{f.link(1, 3)}</div>" for _ in range(f.r.randint(4, 9)))
     head = f.main("h1", f.words(2, 9)) if f.r.random() < 0.7 else ""
-    return f"<div>{menu}</div><div>{head}{long()}</div><div>{menu}</div><div>{f.words(1, 6)} {f.link(2, 4)}</div>"
+    return f"<div>{menu}</div><div>{head}{f.long()}</div><div>{menu}</div><div>{f.words(1, 6)} {f.link(2, 4)}</div>"
 
 
 def _table(f: _Filler) -> str:
-    long = "".join(f.main("p", f.words(18, 200)) for _ in range(f.r.randint(2, 6)))
-    return (f"<table><tr><td>{f.menu()}</td><td>{f.main('h1', f.words(2, 9))}{long}</td><td>{f.menu()}</td></tr>"
+    return (f"<table><tr><td>{f.menu()}</td><td>{f.main('h1', f.words(2, 9))}{f.long()}</td><td>{f.menu()}</td></tr>"
             f"<tr><td>{f.link()} {f.link()}</td></tr></table>")
 
 

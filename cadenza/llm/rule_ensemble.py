@@ -109,8 +109,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str =
     rows = with_statistics(rows, ["y", "weight"], COUNTS)
     rows = rows.select(F.col("y").cast("double").alias("label"), "weight",
                        *(c.cast("double").alias(n) for n, c in inputs().items()))
-    # a bounded sample: one sorted partition, so that fits repeat
-    rows = checkpoint(rows.coalesce(1).sortWithinPartitions("label", *NAMES))
+    # the scan and the counts run in as many tasks as the documents ask for; then the bounded
+    # sample becomes one sorted partition, so that fits repeat
+    rows = checkpoint(checkpoint(rows).coalesce(1).sortWithinPartitions("label", *NAMES))
     sizes = {r["label"]: r["w"] for r in rows.groupBy("label").agg(F.sum("weight").alias("w")).collect()}
     if len(sizes) < 2:
         share = {0.0: 0.0, 1.0: 1.0}.get(next(iter(sizes), None), 0.5)

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.components import components
@@ -38,6 +38,8 @@ SEED = 42
 SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 #: Fingerprints of one key that meet in one tile.
 BLOCK = 1024
+#: Rows of tiles that one group is meant to get; the groups grow with the rows.
+GROUP_ROWS = 200_000
 ROWS = 256
 
 
@@ -157,22 +159,29 @@ def _links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(node.view(np.int64)), "b": pa.array(root.view(np.int64))})
 
 
+def group_count(rows: int, spark: SparkSession) -> int:
+    """Groups for so many rows of tiles: each gets about ``GROUP_ROWS``,
+    and every shuffle partition has some."""
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // GROUP_ROWS))
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Links ``a, b`` that connect the distinct fingerprints ``fp`` within
     the distance (a spanning forest of every task's links)."""
-    spark = fps.sparkSession
-    groups = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     masks = F.array(*(F.struct(F.lit(i).alias("k"), F.lit(_signed(int(m))).alias("mask"))
                       for i, m in enumerate(MASKS)))
     keyed = fps.select("fp", F.explode(masks).alias("m")) \
         .select("fp", "m.k", F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"))
     counted = keyed.groupBy("k", "key").agg(F.count("*").alias("n"))
     hot = checkpoint(counted.filter(F.col("n") > BLOCK)
-                     .select("k", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), gather=True)
+                     .select("k", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "n"))
+    # a hot key's rows go to each of its blocks
+    more = hot.agg(F.sum(F.col("n") * (F.col("blocks") - 1)).alias("n")).first()["n"] or 0
+    groups = group_count(fps.count() * len(MASKS) + int(more), fps.sparkSession)
     if hot.isEmpty():
         tiled = keyed.withColumn("tile", F.xxhash64("key", "k"))
     else:
-        rows = keyed.join(hot, ["k", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        rows = keyed.join(hot.drop("n"), ["k", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
         rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         tiled = rows.withColumn("tile", F.xxhash64(
@@ -188,15 +197,15 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", kee
     fingerprint, under that name. Components may share an id, never a root."""
     keep = keep or [id_col]
     rows = checkpoint(fingerprints(docs, keep, width, text_col))
-    distinct = checkpoint(rows.groupBy("fp").agg(F.min(id_col).alias("low")), gather=True)
+    distinct = checkpoint(rows.groupBy("fp").agg(F.min(id_col).alias("low")))
     roots = components(links(distinct.select("fp")))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left") \
         .select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = checkpoint(named, gather=True)
-    lowest = checkpoint(named.groupBy("root").agg(F.min("low").alias("component_id")), gather=True)
+    named = checkpoint(named)
+    lowest = checkpoint(named.groupBy("root").agg(F.min("low").alias("component_id")))
     roots_too = [root_col] if root_col else []
     of = named.join(lowest, "root").select("fp", "component_id", *(F.col("root").alias(c) for c in roots_too))
-    of = checkpoint(of, gather=True)
+    of = checkpoint(of)
     return rows.join(of, "fp").select(*keep, "fp", "component_id", *roots_too)
 
 
@@ -209,7 +218,7 @@ def keep_one(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col:
     first = rows.groupBy("__root").agg(F.min(F.struct(
         F.col(id_col).isNull().alias("last"), F.col(id_col).alias("i"), F.col("__key").alias("k"))).alias("w"))
     first = checkpoint(first.select(F.coalesce(F.concat(F.lit("d"), F.col("w.i").cast("string")), F.lit(""))
-                                    .alias("__doc"), F.col("w.k").alias("__key")).distinct(), gather=True)
+                                    .alias("__doc"), F.col("w.k").alias("__key")).distinct())
     doc = F.coalesce(F.concat(F.lit("d"), F.col(id_col).cast("string")), F.lit(""))
     columns = docs.columns
     keyed = docs.withColumn("__key", key).withColumn("__doc", doc)

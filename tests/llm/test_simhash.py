@@ -116,8 +116,9 @@ def test_awkward_and_empty(spark):
     assert len(got) == len(rows)
     blank = {r.component_id for r in got if r.fp == 0}
     assert blank == {100}
-    kept = s.keep_one(frame(spark)).collect()
-    assert len(kept) == len({r.component_id for r in got})
+    # components may share their smallest id, never their root
+    rooted = s.near_duplicates(frame(spark), root_col="r").collect()
+    assert len(s.keep_one(frame(spark)).collect()) == len({r.r for r in rooted})
     assert s.near_duplicates(empty(spark)).count() == 0 and s.keep_one(empty(spark)).count() == 0
     nulls = frame(spark, [(None, "a b c d e", None, None, None), (None, "a b c d e", None, None, None)])
     assert [r.component_id for r in s.near_duplicates(nulls).collect()] == [None, None]
@@ -136,3 +137,25 @@ def test_keep_one_of_every_component_whatever_its_ids(spark):
     kept = [(r.doc_id, r.text) for r in s.keep_one(frame(spark, [(*r, "en", "s", 1) for r in rows])).collect()]
     assert sorted(r for r in kept if r[0] is not None) == sorted([(7, a), (7, b)])
     assert len(kept) == 3 and {t for d, t in kept if d is None} < {c, near}
+
+
+def test_groups_grow_with_the_rows(spark, monkeypatch):
+    """Rows of a group stay near the bound at two sizes."""
+    monkeypatch.setattr(s, "GROUP_ROWS", 400)
+    rng = random.Random(8)
+    most = []
+    for n in (2_000, 10_000):
+        fps = spark.createDataFrame([(s._signed(rng.getrandbits(64)),) for _ in range(n)], "fp long").repartition(4)
+        seen = []
+        original = s._links
+
+        def counted(table, original=original):
+            import pyarrow as pa
+            return pa.table({"a": pa.array([table.num_rows], pa.int64()), "b": pa.array([0], pa.int64())})
+
+        with monkeypatch.context() as m:
+            m.setattr(s, "_links", counted)
+            seen = [r.a for r in s.links(fps).collect()]
+        assert sum(seen) == n * len(s.MASKS)
+        most.append(max(seen))
+    assert max(most) <= 2 * 400 and s.group_count(10**9, spark) == 10**9 // 400
