@@ -9,12 +9,11 @@ from __future__ import annotations
 import csv
 import datetime as dt
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions.columns import normalize_na
-from cadenza.schema import LEGACY_ALIASES, TRACK_COLUMNS, track_schema
+from cadenza.schema import LEGACY_ALIASES, TRACK_COLUMNS
 
 CORRUPT = "_corrupt_record"
 
@@ -83,18 +82,32 @@ def typed_text(name: str, kind):
     return c.try_cast(kind.simpleString())
 
 
-def scan_corrupt(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def scan_corrupt(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """Malformed-line tolerant typed read: (parsed rows, corrupt lines).
 
-    Spark refuses queries that touch only the corrupt-record column of a
-    raw scan, so the parsed frame is persisted (memory and disk) once and
-    both halves read from it."""
-    schema = track_schema(corrupt_col=CORRUPT)
-    df = (_csv(spark).schema(schema).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
-          .withColumn("file_name", file_name())
-          .persist(StorageLevel.MEMORY_AND_DISK))
+    Files are read by the names in their headers, so columns may stand in
+    any order; every column of the track schema must be there. A line of
+    another length, or with a value that is not of its column's type, is
+    corrupt. Files without a header line have no rows; files that lack a
+    column are an error. The driver reads one line of each file.
+
+    Both results read the files themselves; nothing is kept in memory."""
+    names = [n for n, _ in TRACK_COLUMNS]
+    paths = [r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(path)
+             .select("path").toLocalIterator()]
+    types = {n: t.simpleString() for n, t in TRACK_COLUMNS}
+    rows, outcomes = read_layouts(spark, paths, names, multi_line, types)
+    lacking = sorted(p for p, o in outcomes.items() if o == "validation_error")
+    if lacking:
+        raise ValueError(f"missing columns in {lacking[:5]}")
+    if rows is None:
+        rows = spark.createDataFrame([], ", ".join([*(f"`{n}` {t}" for n, t in types.items()),
+                                                    f"{CORRUPT} string, file_name string"]))
+    # a column that is not asked for is not parsed, and then never corrupt: a condition that always holds asks for all
+    read = F.length(F.concat_ws("", *(F.col(n).cast("string") for n in names))) >= 0
     bad = F.col(CORRUPT).isNotNull()
-    return df.filter(~bad).drop(CORRUPT), df.filter(bad).select("file_name", CORRUPT)
+    return (rows.filter(~bad & read).select(*names, "file_name"),
+            rows.filter(bad & read).select("file_name", CORRUPT))
 
 
 def discover_files(spark: SparkSession, directory: str, suffix: str = ".csv",
@@ -162,11 +175,13 @@ def header_names(spark: SparkSession, path: str) -> list[str] | None:
 
 
 def read_layouts(spark: SparkSession, paths: list[str], required: list[str],
-                 multi_line: bool = False) -> tuple[DataFrame | None, dict[str, str]]:
+                 multi_line: bool = False,
+                 types: dict[str, str] | None = None) -> tuple[DataFrame | None, dict[str, str]]:
     """Rows of CSV files whose columns may differ in order and number.
 
     Files are grouped by their header; every group is read by name and cut
-    to the ``required`` columns, as text. Returns (rows, outcomes): rows have
+    to the ``required`` columns, as text or as the ``types`` given by name
+    (a value that does not fit makes its line corrupt). Returns (rows, outcomes): rows have
     the required columns, the corrupt line if the line did not parse,
     ``file_name`` and the row's place (``_start``, ``_row``: in order within
     a file); outcomes has ``empty_file`` or ``validation_error`` (a required
@@ -186,7 +201,7 @@ def read_layouts(spark: SparkSession, paths: list[str], required: list[str],
             layouts.setdefault(tuple(names), []).append(path)
     out = None
     for names, group in layouts.items():
-        schema = ", ".join(f"`{n}` string" for n in [*names, CORRUPT])
+        schema = ", ".join(f"`{n}` {(types or {}).get(n, 'string')}" for n in [*names, CORRUPT])
         rows = (spark.read.schema(schema).option("header", True).option("escape", '"')
                 .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
                 .option("multiLine", multi_line).option("enforceSchema", True)

@@ -8,9 +8,11 @@ headers. That keeps files without rows visible (an ``empty_file`` outcome)
 and lets one read feed all writes. Every write goes to a folder named by
 the batch id, so a micro-batch replayed after a failure overwrites its own
 output instead of duplicating it; the keyed prediction table takes every
-batch of a source once. A fault fails the batch: the stream stops and
-takes it up again from its checkpoint. Only a suite that does not fit the
-files is an outcome (``critical_error``), found before anything is written.
+batch of a source once. A file that cannot be read is found by halving the
+batch (``sources.poison``) and becomes a ``critical_error`` row after one
+more attempt, while the others go on; so does every file of a batch whose
+suite does not fit. Any other fault fails the batch: the stream stops and
+takes it up again from its checkpoint.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from cadenza.schema import SCORING_INPUT, SCORING_KEY, TRACK_COLUMNS, track_suit
 from cadenza.session import checkpoint
 from cadenza.sources import keyed_table
 from cadenza.sources.files import CORRUPT, discover_files, fingerprint, read_layouts, typed_text
+from cadenza.sources.poison import Failure, read_apart
+from cadenza.streaming.changed_files import NAME, ChangedFiles
 
 #: Rows of a file that the scoring job stores at once: the first row of a
 #: key wins among them, a later batch overwrites an earlier one.
@@ -56,17 +60,22 @@ def ingest_batch(spark: SparkSession, files: DataFrame, out_dir: str, batch_id:
         if on_error != "record":
             raise ValueError(f"the suite names unknown columns: {unknown}")
         return _record_failure(listed, out_dir, batch_id, f"the suite names unknown columns: {unknown}")
-    rows, outcomes = read_layouts(spark, paths, names, multi_line)
+    rows, outcomes, failures = read_apart(paths, lambda part: read_layouts(spark, part, names, multi_line))
     if rows is None:
         rows = spark.createDataFrame([], ", ".join(f"`{n}` string" for n in [*names, CORRUPT, "file_name"]))
-    parsed = rows.withColumns({n: normalize_na(F.col(n)) for n in names}) \
-        .select(*names, CORRUPT, "file_name").persist()
-    bad = [(p.rstrip("/").split("/")[-1],) for p, o in outcomes.items() if o == "validation_error"]
-    try:
-        _ingest_parsed(parsed, listed, out_dir, batch_id, suite,
-                       spark.createDataFrame(bad, "file_name string"))
-    finally:
-        parsed.unpersist()
+    parsed = rows.withColumns({n: normalize_na(F.col(n)) for n in names}).select(*names, CORRUPT, "file_name")
+    bad = [(_name(p),) for p, o in outcomes.items() if o == "validation_error"]
+    _ingest_parsed(parsed, listed, out_dir, batch_id, suite, spark.createDataFrame(bad, "file_name string"),
+                   _failed(spark, failures, "file_name"))
+
+
+def _name(path: str) -> str:
+    return path.rstrip("/").split("/")[-1]
+
+
+def _failed(spark: SparkSession, failures: list[Failure], name: str) -> DataFrame:
+    return spark.createDataFrame([(_name(f.path), f.attempts, f.error) for f in failures],
+                                 f"{name} string, attempts int, error string")
 
 
 def _record_failure(listed: DataFrame, out_dir: str, batch_id: int, message: str) -> None:
@@ -74,14 +83,15 @@ def _record_failure(listed: DataFrame, out_dir: str, batch_id: int, message: str
     zero = F.lit(0).cast("long")
     failed = listed.select("file_name", zero.alias("total_rows"), zero.alias("valid_rows"),
                            zero.alias("invalid_rows"), zero.alias("corrupt_rows"),
-                           F.lit("critical_error").alias("outcome"), F.lit(message).alias("error"))
+                           F.lit("critical_error").alias("outcome"), F.lit(1).alias("attempts"),
+                           F.lit(message).alias("error"))
     (failed.select("*", F.lit(batch_id).alias("batch_id"), F.current_timestamp().alias("validated_at"))
      .write.mode("overwrite").parquet(f"{base}/stats/batch_id={batch_id}"))
     Q.alerts(failed, "file_name").write.mode("overwrite").parquet(f"{base}/alerts/batch_id={batch_id}")
 
 
 def _ingest_parsed(parsed: DataFrame, listed: DataFrame, out_dir: str, batch_id: int, suite,
-                   rejected: DataFrame | None = None) -> None:
+                   rejected: DataFrame | None = None, failed: DataFrame | None = None) -> None:
     corrupt = (parsed.groupBy("file_name")
                .agg(F.count_if(F.col(CORRUPT).isNotNull()).alias("corrupt_rows")))
     ev = Q.evaluate(parsed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), suite).persist()
@@ -90,6 +100,10 @@ def _ingest_parsed(parsed: DataFrame, listed: DataFrame, out_dir: str, batch_id:
         outcomes = Q.file_outcomes(listed.select("file_name"), stats, "file_name", corrupt, rejected)
         full = outcomes.join(stats.select("file_name", *Q.ERROR_CLASSES, "error_counts"),
                              "file_name", "left")
+        if failed is not None:
+            full = full.join(failed, "file_name", "left") \
+                .withColumn("outcome", F.when(F.col("error").isNotNull(), "critical_error").otherwise(F.col("outcome"))) \
+                .withColumn("attempts", F.coalesce("attempts", F.lit(1)))
         tag = F.lit(batch_id).alias("batch_id")
         base = f"{out_dir.rstrip('/')}"
         (full.select("*", tag, F.current_timestamp().alias("validated_at"))
@@ -131,12 +145,14 @@ def score_paths(spark: SparkSession, listing: DataFrame, table_dir: str, ledger_
     are skipped, not fatal. Files count in name order and rows in file
     order, stored ``STORE_ROWS`` at a time: the first row of a key wins
     within them, a later batch or file overwrites, and a key that was
-    stored before keeps its ``created_at``. The ledger gets one entry with
+    stored before keeps its ``created_at``. A file that cannot be read is
+    noted in ``failures_dir`` and stays out of the ledger, so a scheduled
+    job tries it again. The ledger gets one entry with
     the fingerprint for each file with at least one stored row, in a
     folder of the table's new version, which is returned.
     """
     paths = [r["path"] for r in listing.select("path").collect()]  # bounded by max_files
-    rows, _ = read_layouts(spark, paths, SCORING_INPUT, multi_line)
+    rows, _, failures = read_apart(paths, lambda part: read_layouts(spark, part, SCORING_INPUT, multi_line))
     if rows is None:
         rows = spark.createDataFrame([], ", ".join(f"`{n}` string" for n in [*SCORING_INPUT, CORRUPT, "file_name"])
                                      + ", _start long, _row long")
@@ -158,9 +174,17 @@ def score_paths(spark: SparkSession, listing: DataFrame, table_dir: str, ledger_
                                  buckets=buckets, source=source, batch=batch)
     ledger = ledger.join(listing.select("filename", "fingerprint"), "filename", "left")
     ledger.write.mode("overwrite").parquet(f"{ledger_dir.rstrip('/')}/version={version}")
+    if failures:
+        _failed(spark, failures, "filename").withColumn("failed_at", now) \
+            .write.mode("append").parquet(failures_dir(ledger_dir))
     return version
 
 
+def failures_dir(ledger_dir: str) -> str:
+    """Where files that could not be read are noted, beside the ledger."""
+    return f"{ledger_dir.rstrip('/')}-failed"
+
+
 def score_batch(spark: SparkSession, files: DataFrame, table_dir: str, ledger_dir: str,
                 batch_id: int, scorer, source: str = "stream", buckets: int = 64) -> None:
     """``foreachBatch`` body of the scoring stream; ``source`` names the
@@ -213,3 +237,48 @@ def start_scoring(spark: SparkSession, good_dir: str, table_dir: str, ledger_dir
          .option("checkpointLocation", checkpoint))
     w = w.trigger(processingTime=every) if every else w.trigger(availableNow=True)
     return w.start()
+
+
+def score_changes(spark: SparkSession, files: DataFrame, table_dir: str, ledger_dir: str, batch_id: int, scorer,
+                  source: str, buckets: int = 64) -> None:
+    """``foreachBatch`` body of the stream of new and changed files: those
+    that the ledger does not have with this fingerprint."""
+    listing = files.select("path", "filename", "fingerprint")
+    ledger = read_ledger(spark, ledger_dir)
+    if ledger is not None:
+        listing = M.new_files(listing, ledger.select("filename", "fingerprint", "processed_at", "version"),
+                              order=["version", "processed_at"])
+    listing = checkpoint(listing)
+    if not listing.isEmpty():
+        score_paths(spark, listing, table_dir, ledger_dir, scorer, source, batch_id, buckets)
+
+
+def start_scoring_changes(spark: SparkSession, good_dir: str, table_dir: str, ledger_dir: str, checkpoint: str, scorer,
+                          max_files: int = 100, every: str | None = None, settle: float = 1.0, buckets: int = 64):
+    """Score files as they arrive and again when they change (any case of
+    ``.csv``), at most ``max_files`` a batch. ``every`` as in
+    :func:`start_ingest`; without it one batch is taken (see
+    :func:`score_changes_now`)."""
+    spark.dataSource.register(ChangedFiles)
+    w = (spark.readStream.format(NAME).option("path", good_dir).option("pattern", "*.[cC][sS][vV]")
+         .option("maxFiles", max_files).option("settle", settle).load().writeStream
+         .foreachBatch(lambda df, bid: score_changes(spark, df, table_dir, ledger_dir, bid, scorer,
+                                                     f"changes {checkpoint}", buckets))
+         .option("checkpointLocation", checkpoint))
+    w = w.trigger(processingTime=every) if every else w.trigger(availableNow=True)
+    return w.start()
+
+
+def score_changes_now(spark: SparkSession, good_dir: str, table_dir: str, ledger_dir: str, checkpoint: str, scorer,
+                      max_files: int = 100, settle: float = 1.0, buckets: int = 64) -> int:
+    """Take what is new or changed now, batch by batch, and stop; returns
+    the number of files taken."""
+    taken = 0
+    while True:
+        query = start_scoring_changes(spark, good_dir, table_dir, ledger_dir, checkpoint, scorer, max_files, None,
+                                      settle, buckets)
+        query.awaitTermination()
+        rows = sum(p["numInputRows"] for p in query.recentProgress)
+        if not rows:
+            return taken
+        taken += rows

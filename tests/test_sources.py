@@ -37,6 +37,25 @@ def test_header_only_file_and_corrupt_lines(spark, tmpdir_fresh):
     assert good.count() == 1 and bad.count() == 1
 
 
+def test_corrupt_lines_by_header_name(spark, tmpdir_fresh):
+    """Columns in another order are read by name; a value of another type
+    makes its line corrupt."""
+    from tests.helpers import HEADER
+    names = HEADER.split(",")
+    line = track_line(song="Turned", year="1999").split(",")
+    write_csv(tmpdir_fresh, "turned.csv", [",".join(reversed(line))], header=",".join(reversed(names)))
+    write_csv(tmpdir_fresh, "plain.CSV", [track_line(song="Plain"), track_line(song="Bad", year="soon")])
+    write_csv(tmpdir_fresh, "none.csv", [])
+    good, bad = FS.scan_corrupt(spark, tmpdir_fresh)
+    assert {(r["song"], r["year"], r["file_name"]) for r in good.collect()} == {
+        ("Turned", 1999, "turned.csv"), ("Plain", 2001, "plain.CSV")}
+    assert [(r["file_name"], "soon" in r[FS.CORRUPT]) for r in bad.collect()] == [("plain.CSV", True)]
+    assert good.count() == 2 and bad.count() == 1 and bad.select(FS.CORRUPT).count() == 1
+    write_csv(tmpdir_fresh, "short.csv", ["x,1"], header="song,duration_ms")
+    with pytest.raises(ValueError, match="missing columns"):
+        FS.scan_corrupt(spark, tmpdir_fresh)
+
+
 def test_discover_files_case_and_fingerprint(spark, tmpdir_fresh):
     write_csv(tmpdir_fresh, "one.csv", [track_line()])
     write_csv(tmpdir_fresh, "two.CSV", [track_line()])
