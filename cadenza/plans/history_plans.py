@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from cadenza.functions import columns as C
 from cadenza.functions import predicates as P
 from cadenza.operators import history as H
+from cadenza.operators import paging as PG
 from cadenza.plans.registry import plan
+from cadenza.plans.source_plans import _stored_history
+from cadenza.sources import sinks as SK
 from cadenza.tables import table
 
 COLS = ["event_id", "ts", "event_type", "value"]
@@ -79,3 +82,23 @@ SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMI
 def page_recent(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts", "event_type")
     return P.page(e, [F.col("ts").desc(), F.col("event_id").desc()], limit=100, offset=0)
+
+
+@plan("page_deep", """
+SELECT l_shipdate, l_extendedprice, l_orderkey, l_linenumber FROM lineitem
+ORDER BY l_shipdate DESC NULLS LAST, l_extendedprice NULLS FIRST, l_orderkey NULLS FIRST, l_linenumber NULLS FIRST
+LIMIT 100 OFFSET (SELECT count(*) // 2 FROM lineitem)""")
+def page_deep(spark, sf):
+    """A page in the middle of the table: no task sorts the half before it."""
+    rows = table(spark, sf, "lineitem").select("l_shipdate", "l_extendedprice", "l_orderkey", "l_linenumber")
+    by = [PG.By("l_shipdate", True), PG.By("l_extendedprice"), PG.By("l_orderkey"), PG.By("l_linenumber")]
+    return PG.deep_page(rows, by, limit=100, offset=rows.count() // 2)
+
+
+@plan("history_newest", """
+SELECT event_id, ts, value FROM events WHERE event_type IN ('click', 'view') AND event_type = 'click'
+ORDER BY ts DESC, event_id DESC LIMIT 100""")
+def history_newest(spark, sf):
+    """The newest 100 of a stored history: only its last days are read."""
+    stored = SK.read_history(spark, _stored_history(spark, sf), "single")
+    return PG.newest(stored, "ts", 100, ["event_id"], F.col("source") == "WEBAPP").select("event_id", "ts", "value")

@@ -28,4 +28,4 @@ def load_all() -> None:
     """Import every plan module so that all plans are registered."""
     from cadenza.plans import (quality_plans, column_plans, merge_plans,  # noqa: F401
                                similarity_plans, history_plans, scoring_plans,
-                               source_plans)
+                               source_plans, summary_plans)
