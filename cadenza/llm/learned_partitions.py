@@ -341,3 +341,16 @@ def search(vectors: DataFrame, router: Router | None, k: int = 5, every: int = 5
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")
+
+
+def search_each_length(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
+                       vec_col: str = "embedding", parts: int = PARTITIONS) -> DataFrame:
+    """:func:`search` among the vectors of each length, with a router of
+    their own: vectors of different lengths have no cosine."""
+    usable = _valid(vectors, id_col, vec_col)
+    out = None
+    for size in sorted(r["n"] for r in usable.select(F.size("v").alias("n")).distinct().collect()):
+        own = vectors.filter(F.size(vec_col) == size)
+        found = search(own, fit(own, id_col, vec_col, parts), k, every, id_col, vec_col)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else search(vectors, None, k, every, id_col, vec_col)

@@ -17,12 +17,14 @@ groups. Scatter has a floor in each dimension (``FLOORS``), the smallest
 spread taken as real, so constant counts reject nothing by themselves.
 
 A group of fewer than ``LEAST_ROWS`` rows joins the small groups of its
-language, and these join those of the others when they too are few.
+language, and these join those of the others when they too are few. Steps
+are repeated until the determinants settle.
 
 Defined results: a null or empty text has no words and fails the base
 limits; a null language or source is a group of its own; where even the
 rest group is too small, the base limits decide alone; repeated rows are
-judged alike.
+judged alike; texts of any length are counted whole; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ from cadenza.llm.text_statistics import with_statistics
 from cadenza.session import checkpoint
 
 SUPPORT = 0.75
-STEPS = 6
-LEAST_ROWS = 200
+#: Steps end when no group's log determinant falls by more than ``SETTLED``.
+MOST_STEPS, SETTLED = 30, 1e-6
 BROADCAST_GROUPS = 20_000
 #: Chance that a row of a normal group is rejected.
 TAIL = 1e-6
@@ -47,6 +49,9 @@ TAIL = 1e-6
 #: words, log repeated lines per 100, root of the share of repeated words.
 FLOORS = (0.3, 0.05, 0.5, 1.5, 0.2)
 DIM = len(FLOORS)
+#: Rows from which a group has an estimate of its own: five for each
+#: dimension, as is usual for minimum-covariance-determinant estimates.
+LEAST_ROWS = 5 * DIM
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
@@ -172,12 +177,18 @@ def estimates(rows: DataFrame) -> DataFrame:
     starts = [sum((F.col(f"z{i}") ** 2 for i in range(1, DIM)), F.col("z0") ** 2),
               F.greatest(*(F.col(f"z{i}") for i in range(DIM)))]
     near = z.select("grp", *X, F.posexplode(F.array(*starts)).alias("start", "dist"))
-    found = None
-    for _ in range(STEPS):
+    found, before = None, None
+    for _ in range(MOST_STEPS):
         cut = checkpoint(near.groupBy("grp", "start").agg(
             F.percentile_approx("dist", SUPPORT, 2000).alias("cut")), gather=True)
         half = meet(near, cut, ["grp", "start"]).filter(F.col("dist") <= F.col("cut"))
         found = checkpoint(_estimates(_moments(half)), gather=True)
+        if before is not None:
+            moved = found.alias("a").join(before.alias("b"), ["grp", "start"]) \
+                .agg(F.max(F.abs(F.col("a.logdet") - F.col("b.logdet"))).alias("most")).first()["most"]
+            if moved is None or moved <= SETTLED:
+                break
+        before = found
         near = meet(rows, found, "grp").select("grp", "start", *X, _distance().alias("dist"))
     best = found.groupBy("grp").agg(F.min_by(F.struct("mu", "inv", "logdet"),
                                              F.struct("logdet", "start")).alias("e"),

@@ -112,7 +112,7 @@ parts as materialized (select rid, kind, e - length(m) as s, e from placed where
         and regexp_matches(m, '[0-9]')
     else length(m) >= 10 end),
 weak as materialized (select * from parts w where kind >= 3 and not exists (select 1 from parts o
-    where o.rid = w.rid and o.kind < 3 and greatest(o.s, w.s) < least(o.e, w.e))),
+    where o.rid = w.rid and o.kind < 3 and o.s <= w.s and w.e <= o.e)),
 spans as (select * from parts where kind < 3
     union all select * from weak w where kind = 3 and {near("(0, 2, 4)")}
     union all select * from weak w where kind = 4 and {near("(1, 3)")}
@@ -155,8 +155,7 @@ def op5(spark, sf_dir):
 
 @query("op6_learned_partitions")
 def op6(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
-    return learned_partitions.search(vectors, learned_partitions.fit(vectors), k=5, every=50)
+    return learned_partitions.search_each_length(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
 @query("op7_toxicity")

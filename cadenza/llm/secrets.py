@@ -96,11 +96,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                        *(c.alias(k) for k, c in _scan(text).items()))
 
 
-def spans(scanned: DataFrame, id_col: str = "doc_id", partly: bool = False) -> DataFrame:
+def spans(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``doc, text_key, kind (number), start, end``: strong findings and
     linked weak candidates of every distinct (id, text). A candidate that a
-    strong finding touches is left out; with ``partly`` only one that a
-    strong finding covers wholly."""
+    strong finding covers wholly is left out."""
     hit = F.lit(False)
     for k in KINDS:
         hit = hit | (F.size(k) > 0)
@@ -117,17 +116,17 @@ def spans(scanned: DataFrame, id_col: str = "doc_id", partly: bool = False) -> D
                         (end - F.col("m.len")).alias("start")).filter("ok").drop("ok")
     parts = checkpoint(parts, gather=True)
     strong = parts.filter(F.col("kind") < 3)
-    return strong.unionByName(_linked(parts, partly))
+    return strong.unionByName(_linked(parts))
 
 
 def _bins(lo: Column, hi: Column) -> Column:
     return F.explode(F.sequence(F.floor(lo / SCOPE).cast("bigint"), F.floor(hi / SCOPE).cast("bigint")))
 
 
-def _linked(parts: DataFrame, partly: bool) -> DataFrame:
+def _linked(parts: DataFrame) -> DataFrame:
     """Weak candidates with their complement in scope and no strong finding
-    over them (with ``partly``: over the whole of them). Identifiers are access keys and accounts, secrets are
-    assignments, hex runs and opaque tokens."""
+    over the whole of them. Identifiers are access keys and accounts, secrets
+    are assignments, hex runs and opaque tokens."""
     key = ["doc", "text_key"]
 
     def within(candidates, kinds, gap):
@@ -147,8 +146,8 @@ def _linked(parts: DataFrame, partly: bool) -> DataFrame:
             .drop("bin").dropDuplicates([*key, "kind", "start"])
 
     def apart(candidates, kinds):
-        seek, offer, space = within(candidates, kinds, 0)
-        hidden = (F.col("s") <= F.col("start")) & (F.col("end") <= F.col("e")) if partly else space < 0
+        seek, offer, _ = within(candidates, kinds, 0)
+        hidden = (F.col("s") <= F.col("start")) & (F.col("end") <= F.col("e"))
         over = seek.join(offer, [*(seek[c] == offer[c] for c in [*key, "bin"]), hidden], "left_semi") \
             .select(*key, "kind", "start").distinct()
         return candidates.join(over, [*key, "kind", "start"], "left_anti")
@@ -199,14 +198,14 @@ def digest(reported: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every reported span of the text replaced by ``MASK``,
-    and with it the linked weak candidates that a strong finding covers only
-    in part: the rest of a credential does not stay. Overlapping spans become
+    also the linked weak candidates that a strong finding covers only in
+    part: the rest of a credential does not stay. Overlapping spans become
     one. Rows and other columns stay."""
     scanned = checkpoint(scan(docs, id_col, text_col))
     key = ["doc", "text_key"]
     by = Window.partitionBy(*key).orderBy("start", F.desc("end"))
     before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    rows = spans(scanned, id_col, partly=True).withColumn("before", before)
+    rows = spans(scanned, id_col).withColumn("before", before)
     fresh = F.when(F.col("before").isNull() | (F.col("start") > F.col("before")), 1).otherwise(0)
     rows = rows.withColumn("run", F.sum(fresh).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     cuts = rows.groupBy(*key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")) \

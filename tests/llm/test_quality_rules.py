@@ -88,3 +88,30 @@ def test_awkward_and_empty(spark):
                  for c in (plain_counts(r[1]) for r in rows))
     assert sum(r.base_failed for r in got) == failed
     assert q.judge(empty(spark)).count() == 0
+
+
+def test_distances_settle_for_every_language_and_source(spark):
+    """On the given documents: each group with rows enough has an estimate
+    of its own, and it is where one more step, by plain numpy, leaves it;
+    no text labelled good is rejected."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    out = q.judge(docs).withColumns({f"x{i}": c for i, c in enumerate(q.vector())}).toPandas()
+    fit = out[~out.base_failed]
+    own = 0
+    limit = q.chi2_quantile(1 - q.TAIL, q.DIM)
+    for _, g in fit.groupby(["lang", "source"], dropna=False):
+        if len(g) < q.LEAST_ROWS:
+            continue
+        own += len(g)
+        x, d = g[q.X].to_numpy(float), g.distance.to_numpy(float)
+        cut = np.sort(d)[int(np.ceil(q.SUPPORT * len(d))) - 1]
+        half = x[d <= cut]
+        mu = half.mean(0)
+        c = q.CONSISTENCY * (half.T @ half / len(half) - np.outer(mu, mu)) + np.diag(np.square(q.FLOORS))
+        again = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(c), x - mu)
+        assert np.allclose(d, again, rtol=1e-3, atol=1e-6)
+        assert (g.kept.to_numpy() == (again <= limit)).all()
+    assert own > 0.5 * len(fit)
+    good = fit.merge(labels.toPandas(), on="doc_id")
+    assert good[good.quality == 1].kept.all()
