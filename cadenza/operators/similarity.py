@@ -154,12 +154,12 @@ def _against(ref: DataFrame, qry: DataFrame, k: int, with_cat: bool, exclude_sel
     block = _topk_block(k, exclude_self, with_cat)
     size = qry.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("d")).first()
     if size["n"] * (size["d"] or 1) <= SENT_NUMBERS:
-        asked = qry.toPandas()
+        asked = ref.sparkSession.sparkContext.broadcast(qry.toPandas())  # once an executor, not once a task
 
         def run(batches):
             for r in batches:
                 for i in range(0, len(r), block_rows):
-                    yield block(asked, r.iloc[i:i + block_rows])
+                    yield block(asked.value, r.iloc[i:i + block_rows])
 
         return ref.mapInPandas(run, _BEST)
     rb = max(1, math.ceil(ref.count() / block_rows))
@@ -177,8 +177,10 @@ def _all_against_all(base: DataFrame, k: int, with_cat: bool, block_rows: int, c
     """Best other items of every item.
 
     Equal vectors (of one category) are one class, so copies are compared
-    once; a class stands for its ``k + 1`` smallest ids. The classes lie in
-    cells around pivots, at most ``MAX_CELLS``. A class first meets its own
+    once; a class stands for its ``k + 1`` smallest ids. Copies are found by
+    a hash of 128 bits, so vectors do not travel to find them. The classes
+    lie in cells around pivots, whose number grows with the classes'
+    (:func:`cell_count`). A class first meets its own
     cell, which gives a bound for its k-th score; it is then sent only to
     cells that can beat the bound, by the triangle inequality for angles:
     nothing in a cell is nearer than the pivot's angle less the cell's
@@ -186,11 +188,13 @@ def _all_against_all(base: DataFrame, k: int, with_cat: bool, block_rows: int, c
     classes a side.
     """
     # scaled vectors are computed once
-    base = checkpoint(base.filter(F.col("id").isNotNull() & F.col("v").isNotNull()))
-    classes = checkpoint(base.groupBy("v", "c").agg(F.min("id").alias("cid")), gather=True)
-    same = [F.col("v") == F.col("_v"), F.col("c").eqNullSafe(F.col("_c"))]
-    member = checkpoint(base.join(classes.select("cid", F.col("v").alias("_v"), F.col("c").alias("_c")), same)
-                        .select("id", "cid"))
+    base = base.filter(F.col("id").isNotNull() & F.col("v").isNotNull())
+    base = checkpoint(base.withColumns({"h1": F.xxhash64("v", "c"), "h2": F.xxhash64(F.lit("other"), "c", "v")}))
+    named = checkpoint(base.groupBy("h1", "h2").agg(F.min("id").alias("cid")))
+    member = checkpoint(base.select("id", "h1", "h2").join(named, ["h1", "h2"]).select("id", "cid"))
+    # the row of the smallest id carries the class's vector
+    classes = checkpoint(base.select(F.col("id").alias("cid"), "v", "c", "h1", "h2")
+                         .join(named, ["cid", "h1", "h2"], "left_semi").select("v", "c", "cid"))
     n = classes.count()
     best = _class_neighbours(classes, n, k + 1, with_cat, block_rows, cell_rows)
     first = Window.partitionBy("cid").orderBy("id")
@@ -204,20 +208,40 @@ def _all_against_all(base: DataFrame, k: int, with_cat: bool, block_rows: int, c
 
 
 MAX_CELLS = 4096
+
+
+def cell_count(n: int, cell_rows: int) -> int:
+    """Cells for ``n`` classes: one for ``cell_rows`` of them up to
+    ``MAX_CELLS``, then at least their root, so that neither the pivots a
+    class is compared with nor the classes of its cell grow faster."""
+    return max(1, min(math.ceil(n / cell_rows), max(MAX_CELLS, math.isqrt(n))))
+
+
+#: Angles of classes and pivots held at once.
+ANGLES = 1 << 22
 #: Scores are compared after rounding to ``RANK_DIGITS``.
 SLACK = 4 * 10.0 ** -RANK_DIGITS
 
 
 def _class_neighbours(classes: DataFrame, n: int, k: int, with_cat: bool, block_rows: int, cell_rows: int) -> DataFrame:
     """Best ``k`` classes of every class, its own included."""
-    cells = min(MAX_CELLS, max(1, math.ceil(n / cell_rows)))
+    cells = cell_count(n, cell_rows)
     par = classes.sparkSession.sparkContext.defaultParallelism
     # blocks small enough to keep every core busy when there is one cell
     rows = max(1, min(block_rows, math.ceil(n / math.ceil(math.sqrt(2 * par)))))
-    pivots = classes.orderBy(F.xxhash64("cid"), "cid").limit(cells).toPandas() if cells > 1 else None
+    pivots = None
+    if cells > 1:  # at most ``cell_count`` vectors, sent once to each executor
+        drawn = classes.orderBy(F.xxhash64("cid"), "cid").limit(cells).toPandas()
+        pivots = classes.sparkSession.sparkContext.broadcast((_matrix(drawn["v"]), drawn["c"].to_numpy()))
+    step = max(1, ANGLES // cells)
 
-    def place(batches):
+    def parts(batches):
         for b in batches:
+            for i in range(0, len(b), step):
+                yield b.iloc[i:i + step]
+
+    def place(batches):
+        for b in parts(batches):
             m = _matrix(b["v"])
             cell, angle = np.zeros(len(b), int), np.zeros(len(b))
             if pivots is not None and len(b):
@@ -227,7 +251,8 @@ def _class_neighbours(classes: DataFrame, n: int, k: int, with_cat: bool, block_
             yield b.assign(cell=cell.astype("int32"), angle=angle)
 
     def _angles(m, cats, use):
-        s = _cosines(m, _matrix(pivots["v"]), cats if use else None, pivots["c"].to_numpy() if use else None)
+        vectors, kinds = pivots.value
+        s = _cosines(m, vectors, cats if use else None, kinds if use else None)
         return np.arccos(np.clip(s, -1, 1))
 
     if cells == 1:
@@ -241,7 +266,7 @@ def _class_neighbours(classes: DataFrame, n: int, k: int, with_cat: bool, block_
         for r in shape:  # one row a cell
             blocks[r["cell"]], radius[r["cell"]] = math.ceil(r["n"] / rows), r["r"]
         sizes = classes.sparkSession.createDataFrame([(i, int(b)) for i, b in enumerate(blocks)], "cell int, nb int")
-        placed = placed.join(F.broadcast(sizes), "cell")  # at most MAX_CELLS rows
+        placed = placed.join(F.broadcast(sizes), "cell")  # a row for each cell
     placed = placed.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
     ref = placed.select(F.col("cid").alias("rid"), F.col("v").alias("rv"), F.col("c").alias("rc"),
                         F.col("cell").alias("r_cell"), F.col("own").alias("r_rblk"),
@@ -259,7 +284,7 @@ def _class_neighbours(classes: DataFrame, n: int, k: int, with_cat: bool, block_
     asked = placed.select(F.col("cid").alias("qid"), "v", "c", "cell").join(bound, "qid")
 
     def send(batches):
-        for b in batches:
+        for b in parts(batches):
             if len(b):
                 m = _matrix(b["v"])
                 cats = b["c"].to_numpy()

@@ -249,3 +249,46 @@ def test_extra_unnamed_column_keeps_the_18(spark, tmpdir_fresh):
     rows = df.collect()
     assert len(df.columns) == 19 and df.columns[-1] == "file_name"   # 18 track columns + file name
     assert rows[0]["song"] == "Extra" and rows[0]["genre"] == "pop"
+
+
+def _files(folder):
+    return [os.path.join(d, f) for d, _, fs in os.walk(folder) for f in fs if f.startswith("part-")]
+
+
+def test_few_updates_write_few_rows(spark, tmpdir_fresh):
+    """64 of 20,000 keys: only changed rows are written; the first commit
+    leaves a file for each bucket."""
+    t = os.path.join(tmpdir_fresh, "keyed")
+    first = spark.range(20_000, numPartitions=20).selectExpr("id as k", "'m0' as made", "'a' as v")
+    KT.upsert(spark, first, t, ["k"], ["made"], buckets=16)
+    assert len(_files(os.path.join(t, "v=0"))) == 16
+    upd = spark.range(0, 20_000, 313).selectExpr("id as k", "'m1' as made", "'b' as v").limit(64)
+    KT.upsert(spark, upd, t, ["k"], ["made"])
+    written = spark.read.parquet(os.path.join(t, "v=1")).count()
+    assert written == 64
+    got = KT.read_table(spark, t)
+    assert got.count() == 20_000 and got.filter("v = 'b' AND made = 'm0' AND k % 313 = 0").count() == 64
+    assert sum(n for rows in KT.read_manifest(spark, t)["rows"].values() for n in rows) == 20_064
+
+
+@pytest.mark.parametrize("share,folders", [(KT.FOLD_SHARE, KT.FOLD_FOLDERS), (10.0, 3), (10.0, 100)])
+def test_changes_fold_and_read_like_a_dict(spark, tmpdir_fresh, monkeypatch, share, folders):
+    """Many small commits against a plain dict, null keys and new columns
+    included; a bucket's changes stay few."""
+    import random
+    monkeypatch.setattr(KT, "FOLD_SHARE", share)
+    monkeypatch.setattr(KT, "FOLD_FOLDERS", folders)
+    rng = random.Random(6)
+    t, want = os.path.join(tmpdir_fresh, "keyed"), {}
+    for step in range(7):
+        keys = rng.sample([None, *range(40)], rng.randint(1, 12) if step else 30)
+        rows = [(k, f"made{step}", f"v{step}") for k in keys]
+        KT.upsert(spark, _kv(spark, rows), t, ["k"], ["made"], buckets=3)
+        for k, made, v in rows:
+            want[k] = (want[k][0] if k in want else made, v)
+        manifest = KT.read_manifest(spark, t)
+        assert all(len(c) < folders for c in manifest["changes"].values())
+    assert _stored(spark, t) == sorted(((k, *x) for k, x in want.items()), key=str)
+    wide = spark.createDataFrame([(1, "late", "w", 5)], "k long, made string, v string, extra int")
+    KT.upsert(spark, wide, t, ["k"], ["made"])
+    assert {r["k"]: r["extra"] for r in KT.read_table(spark, t).collect()}[1] == 5
