@@ -128,7 +128,7 @@ def test_vectors_of_every_length_are_searched(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=6 if i % 3 else 4).tolist()) for i in range(300)] + [(900, []), (901, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    got = m.search_each_length(df, k=3, every=5, parts=2).collect()
+    got = p.search_each_length(df, k=3, every=5, parts=2).collect()
     size = {i: len(v) for i, v in rows if v}
     assert {r.query_id for r in got} == {i for i in size if i % 5 == 0}
     assert all(size[r.query_id] == size[r.vec_id] for r in got)
@@ -136,5 +136,5 @@ def test_vectors_of_every_length_are_searched(spark):
     x = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v}
     right = sum(max((i for i in x if i != q and size[i] == size[q]), key=lambda i: x[q] @ x[i]) == v for q, v in best.items())
     assert right >= 0.9 * len(best)
-    none = m.search_each_length(spark.createDataFrame([], "vec_id long, embedding array<double>"))
+    none = p.search_each_length(spark.createDataFrame([], "vec_id long, embedding array<double>"))
     assert none.count() == 0 and none.columns == ["query_id", "rank", "vec_id", "score"]

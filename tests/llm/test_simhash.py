@@ -146,10 +146,8 @@ def test_groups_grow_with_the_rows(spark, monkeypatch):
     most = []
     for n in (2_000, 10_000):
         fps = spark.createDataFrame([(s._signed(rng.getrandbits(64)),) for _ in range(n)], "fp long").repartition(4)
-        seen = []
-        original = s._links
 
-        def counted(table, original=original):
+        def counted(table):
             import pyarrow as pa
             return pa.table({"a": pa.array([table.num_rows], pa.int64()), "b": pa.array([0], pa.int64())})
 
