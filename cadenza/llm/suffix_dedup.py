@@ -8,15 +8,19 @@ losing no repeat:
 1. Segments. Every string of ``length`` bytes is told by an anchor, the
    gram of smallest hash within it; equal strings have equal anchors. The
    starts of one anchor in a row make a segment. Segments are told by
-   (anchor, content) hashes; one that occurs twice or more is repeated
-   from its first start to its last. A task sends one row for its copies.
-2. Shards. Distinct segments whose anchor has several contents are cut
-   from their texts and dealt by anchor into shards of bounded size. Each
-   shard gets a suffix array by Larsson-Sadakane refinement (sort by a
-   prefix, then re-sort only unsorted groups by the rank of the suffix
-   twice as far on), and common prefixes by Kasai's recurrence in its
-   permuted form: along the text, a prefix is one shorter than the one
-   before, and only where that chain breaks are bytes compared.
+   (anchor, content) hashes; a task sends one row for its copies of one.
+2. Shards. Segments that no other place can share a string with (one
+   place, and no other content of its anchor) are left out. One copy of
+   every other segment is cut from a text and dealt by anchor into shards
+   of bounded size, with the number of its places. Each shard gets a
+   suffix array by Larsson-Sadakane refinement (sort by a prefix, then
+   re-sort only unsorted groups by the rank of the suffix twice as far on),
+   and common prefixes by Kasai's recurrence in its permuted form: along
+   the text, a prefix is one shorter than the one before, and only where
+   that chain breaks are bytes compared. Neighbours in the array with a
+   common prefix of ``length`` are one string; it is repeated where their
+   segments have two places or more. What is found on a segment holds at
+   all its places.
 3. Merging. The segments of an anchor with more than ``HOT_BYTES`` of
    contents are dealt over several shards. Those shards also return the
    sorted fingerprints of their distinct strings, by fingerprint range, and
@@ -95,21 +99,19 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int):
 
 
 def _find(length: int):
-    """Distinct segments of each batch, and the places of further copies."""
+    """Distinct segments of each batch, each with its places."""
     unit = place_unit(length)
 
     def rows(held):
         key, place, anchor, content = (np.concatenate(c) for c in zip(*held))
         order = np.lexsort((place, key, content, anchor))
         key, place, anchor, content = key[order], place[order], anchor[order], content[order]
-        new = np.r_[True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]
-        head = np.flatnonzero(new)
-        many = np.zeros(len(key), bool)
-        many[head] = np.diff(np.r_[head, len(key)]) > 1
+        head = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])])
+        ends = pa.array(np.r_[head, len(key)].astype(np.int32))
         return pa.RecordBatch.from_arrays(
-            [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(key),
-             pa.array(place), pa.array(many), pa.array(new)],
-            ["anchor", "content", "row", "place", "many", "first"])
+            [pa.array(anchor[head].view(np.int64)), pa.array(content[head].view(np.int64)),
+             pa.ListArray.from_arrays(ends, pa.array(key)), pa.ListArray.from_arrays(ends, pa.array(place))],
+            ["anchor", "content", "rows", "places"])
 
     def run(batches):
         held, n = [], 0
@@ -131,7 +133,7 @@ def _find(length: int):
     return run
 
 
-_FOUND = "anchor bigint, content bigint, row bigint, place bigint, many boolean, first boolean"
+_FOUND = "anchor bigint, content bigint, rows array<bigint>, places array<bigint>"
 
 
 def suffix_array(text: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
@@ -207,6 +209,18 @@ def common_prefixes(text: np.ndarray, left: np.ndarray, order: np.ndarray) -> tu
     return before, shared
 
 
+def repeated_starts(order: np.ndarray, shared: np.ndarray, copies: np.ndarray, length: int) -> np.ndarray:
+    """Text positions whose string of ``length`` has two places or more:
+    neighbours in ``order`` that share it are one string, and a position
+    stands for ``copies`` places."""
+    repeated = np.zeros(len(shared), bool)
+    if len(order):
+        head = np.flatnonzero(shared[order] < length)
+        places = np.add.reduceat(copies[order], head)
+        repeated[order] = np.repeat(places > 1, np.diff(np.r_[head, len(order)]))
+    return repeated
+
+
 def _shard(length: int, ranges: int):
     """Repeated starts of one shard, and fingerprints for other shards."""
 
@@ -215,25 +229,28 @@ def _shard(length: int, ranges: int):
         size = np.array([len(p) for p in parts])
         text = np.frombuffer(b"".join(parts), np.uint8)
         row, first = table.column("row").to_numpy(), table.column("start").to_numpy()
-        many, hot = table.column("many").to_numpy(), table.column("hot").to_numpy()
+        anchor, content = table.column("anchor").to_numpy(), table.column("content").to_numpy()
+        copies, hot = table.column("copies").to_numpy(), table.column("hot").to_numpy()
         end = np.cumsum(size)
         segment = np.repeat(np.arange(len(parts)), size)
         left = end[segment] - np.arange(len(text))
         order = suffix_array(text, left, length)
         order = order[left[order] >= length]
-        before, shared = common_prefixes(text, left, order)
-        repeated = np.zeros(len(text), bool)
-        hit = np.flatnonzero(shared >= length)
-        repeated[hit] = repeated[before[hit]] = True
-        place = np.arange(len(text)) - (end - size)[segment] + first[segment]
-
-        at = np.flatnonzero(repeated & ~many[segment])
-        out = [("flag", -1, *_runs(row[segment[at]], place[at]), None, None)]
+        _, shared = common_prefixes(text, left, order)
+        repeated = repeated_starts(order, shared, copies[segment], length)
+        offset = np.arange(len(text)) - (end - size)[segment]
+        place = offset + first[segment]
+
+        at = np.flatnonzero(repeated & (copies[segment] == 1))
+        out = [("flag", -1, *_packed(*_runs(row[segment[at]], place[at])), None, None)]
+        at = np.flatnonzero(repeated & (copies[segment] > 1))
+        owner, start, count = _runs(segment[at], offset[at])
+        out.append(("copies", -1, *_packed(anchor[owner], start, count), content[owner].tobytes(), None))
         one = order[shared[order] < length]  # one of each distinct string
         one = one[hot[segment[one]]]
         if len(one):
             h = _string_hash(text, one, one + length)
-            known = repeated[one] | many[segment[one]]
+            known = repeated[one]
             by = (h >> np.uint64(32)).astype(np.int64) * ranges >> 32
             o = np.lexsort((h, by))
             for r in np.unique(by):
@@ -246,14 +263,17 @@ def _shard(length: int, ranges: int):
     return run
 
 
-def _runs(row: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes, bytes]:
+def _runs(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive starts of a row: rows, first starts, counts."""
     o = np.lexsort((start, row))
     row, start = row[o], start[o]
     head = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)]) \
         if len(row) else np.zeros(0, int)
-    n = np.diff(np.r_[head, len(row)]).astype(np.int64)
-    return row[head].tobytes(), start[head].astype(np.int64).tobytes(), n.tobytes()
+    return row[head], start[head], np.diff(np.r_[head, len(row)])
+
+
+def _packed(*columns: np.ndarray) -> tuple[bytes, ...]:
+    return tuple(c.astype(np.int64).tobytes() for c in columns)
 
 
 _SHARD_NAMES = ["kind", "range", "rows", "starts", "counts", "hashes", "known"]
@@ -271,17 +291,17 @@ def _merge(table: pa.Table) -> pa.Table:
     found = np.concatenate([np.searchsorted(everything, x, side="right") - np.searchsorted(everything, x)
                             for x in lists]) > 1
     at = np.flatnonzero(found & ~known)
-    r, s, n = _runs(rows[at], starts[at])
+    r, s, n = _packed(*_runs(rows[at], starts[at]))
     return pa.table({"rows": pa.array([r], pa.binary()), "starts": pa.array([s], pa.binary()),
                      "counts": pa.array([n], pa.binary())})
 
 
 def _unpack(batches):
-    """Rows (row, start, count) of packed runs."""
+    """One row for each number of the packed columns."""
     for batch in batches:
-        cols = [np.concatenate([np.frombuffer(x, np.int64) for x in batch.column(c).to_pylist() if x]
-                               + [np.zeros(0, np.int64)]) for c in ("rows", "starts", "counts")]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["row", "start", "count"])
+        cols = [np.concatenate([np.frombuffer(x, np.int64) for x in c.to_pylist() if x]
+                               + [np.zeros(0, np.int64)]) for c in batch.columns]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], batch.schema.names)
 
 
 def _cut(length: int):
@@ -289,8 +309,8 @@ def _cut(length: int):
     unit = place_unit(length)
 
     def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
-        names = ["row", "anchor", "sub", "many", "hot", "place"]
-        row, anchor, sub, many, hot, place = (wanted.column(n).to_pylist() for n in names)
+        names = ["row", "anchor", "content", "sub", "copies", "hot", "place"]
+        row, anchor, content, sub, copies, hot, place = (wanted.column(n).to_pylist() for n in names)
         texts = {}
         if row:
             need = set(row)
@@ -299,13 +319,16 @@ def _cut(length: int):
             texts = dict(zip((keys[i] for i in keep), texts_of(docs.take(pa.array(keep, pa.int64())))))
         start = [p // unit for p in place]
         cut = [texts[r][s:s + p % unit + length] for r, s, p in zip(row, start, place)]
-        return pa.table([pa.array(c, k) for c, k in zip([anchor, sub, row, start, many, hot, cut], _CUT_KINDS)],
-                        names=["anchor", "sub", "row", "start", "many", "hot", "bytes"])
+        cols = [anchor, content, sub, row, start, copies, hot, cut]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, _CUT_KINDS)],
+                        names=["anchor", "content", "sub", "row", "start", "copies", "hot", "bytes"])
 
     return run
 
 
-_CUT_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+_CUT_KINDS = [*[pa.int64()] * 6, pa.bool_(), pa.binary()]
+_CUT = ("anchor bigint, content bigint, sub bigint, row bigint, start bigint, copies bigint, "
+        "hot boolean, bytes binary")
 
 
 def _apply(length: int):
@@ -360,40 +383,45 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
 
     # 1. segments
     found = scratch_table(rows.select("row", "text").mapInArrow(_find(length), _FOUND))
-    firsts = found.filter("first")
-    place = F.struct("row", "place")
-    distinct = firsts.groupBy("anchor", "content").agg(
-        (F.max("many") | (F.count("*") > 1)).alias("many"), F.min(place).alias("at"))
-    several = distinct.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi"),
-                                             F.count("*").alias("n")).filter("lo <> hi").select("anchor", "n")
-    several = checkpoint(several, gather=True)
-    copies = distinct.filter("many").select(F.col("anchor").alias("a"), F.col("content").alias("c"))
-    whole = firsts.join(copies, (F.col("anchor") == F.col("a")) & (F.col("content") == F.col("c"))) \
-        .select("row", "place").unionByName(found.filter("not first").select("row", "place"))
-    unit = place_unit(length)
-    whole = whole.select("row", F.floor(F.col("place") / unit).cast("bigint").alias("start"),
-                         (F.col("place") % unit + 1).alias("count"))
+    distinct = found.groupBy("anchor", "content").agg(
+        F.sum(F.size("rows")).alias("copies"),
+        F.min(F.struct(F.col("rows")[0].alias("row"), F.col("places")[0].alias("place"))).alias("at"))
+    shared = distinct.groupBy("anchor").agg(F.sum("copies").alias("places"), F.count("*").alias("n")) \
+        .filter("places > 1").select("anchor", "n")
+    shared = checkpoint(shared)
 
     # 2. shards; an anchor's segments have about the same size
     about = length * 3 // 2
     subs = F.ceil(F.col("n") * about / HOT_BYTES).cast("bigint")
-    wanted = distinct.join(several, "anchor").select(
-        "anchor", "at.row", "at.place", "many", F.pmod("content", subs).alias("sub"), (subs > 1).alias("hot"))
+    wanted = distinct.join(shared, "anchor").select(
+        "anchor", "content", "at.row", "at.place", "copies", F.pmod("content", subs).alias("sub"),
+        (subs > 1).alias("hot"))
     packed = rows.mapInArrow(compress_texts, "row bigint, id bigint, packed binary")
     cut = bucket(packed).groupBy("bucket").cogroup(bucket(wanted).groupBy("bucket")).applyInArrow(
-        _cut(length), "anchor bigint, sub bigint, row bigint, start bigint, many boolean, hot boolean, bytes binary")
-    sizes = several.agg(F.sum("n").alias("n"), F.sum(F.when(subs > 1, F.col("n"))).alias("hot")).first()
+        _cut(length), _CUT)
+    sizes = shared.agg(F.sum("n").alias("n"), F.sum(F.when(subs > 1, F.col("n"))).alias("hot")).first()
     shards = max(2 * width, -(-(sizes["n"] or 0) * about // SHARD_BYTES))
     ranges = max(width, -(-(sizes["hot"] or 0) * about // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("anchor", "sub"), F.lit(shards)).cast("int")
     sharded = scratch_table(cut.withColumn("shard", shard).groupBy("shard").applyInArrow(
-        _shard(length, ranges), _SHARD), gather=True)
+        _shard(length, ranges), _SHARD))
 
     # 3. merging
     merged = sharded.filter("kind = 'string'").groupBy("range").applyInArrow(
         _merge, "rows binary, starts binary, counts binary")
     runs = sharded.filter("kind = 'flag'").select("rows", "starts", "counts").unionByName(merged)
-    flags = whole.unionByName(runs.mapInArrow(_unpack, "row bigint, start bigint, count bigint"))
+    flags = runs.select(F.col("rows").alias("row"), F.col("starts").alias("start"),
+                        F.col("counts").alias("count")).mapInArrow(_unpack, "row bigint, start bigint, count bigint")
+
+    # what was found on a segment holds at all its places
+    unit = place_unit(length)
+    copied = sharded.filter("kind = 'copies'").select(
+        F.col("rows").alias("anchor"), F.col("hashes").alias("content"), F.col("starts").alias("start"),
+        F.col("counts").alias("count")).mapInArrow(_unpack, "anchor bigint, content bigint, start bigint, count bigint")
+    copied = found.join(copied, ["anchor", "content"]).select(
+        "start", "count", F.inline(F.arrays_zip("rows", "places")).alias("row", "place"))
+    flags = flags.unionByName(copied.select(
+        "row", (F.floor(F.col("place") / unit).cast("bigint") + F.col("start")).alias("start"), "count"))
     return bucket(packed).groupBy("bucket").cogroup(bucket(flags).groupBy("bucket")).applyInArrow(
         _apply(length), "doc_id bigint, n_bytes bigint, n_removed bigint, "
                         "removed array<struct<start:bigint,end:bigint>>, kept binary")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cadenza.llm import suffix_dedup as s
@@ -86,6 +87,28 @@ def test_one_passage_in_a_third_of_all(spark, monkeypatch):
     assert run(df, 60) == want and sum(r[2] for r in want) >= 100 * 90
 
 
+@pytest.mark.parametrize("hot", [256 << 10, 3000])
+def test_only_the_arrays_remove(spark, monkeypatch, hot):
+    """Copies, whole and in part, stay where no shard reports them."""
+    monkeypatch.setattr(s, "HOT_BYTES", hot)
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefgh", k=200)) for _ in range(20)]
+    rows = [(i, texts[i % 20] if i % 2 else texts[i % 20][:120] + "tail") for i in range(60)]
+    df = frame(spark, [(*r, "en", "s", 1) for r in rows]).repartition(3)
+    assert run(df, 60) == brute(rows, 60)
+    monkeypatch.setattr(s, "_shard", lambda length, ranges: lambda table: pa.schema(
+        list(zip(s._SHARD_NAMES, s._SHARD_KINDS))).empty_table())
+    assert all(r[2] == 0 for r in run(df, 60))
+
+
+def test_repeated_starts():
+    """Two suffixes of one string, one of a copied segment, one by itself."""
+    order, shared = np.array([3, 0, 1, 2]), np.array([9, 4, 2, 0])
+    got = s.repeated_starts(order, shared, np.array([1, 1, 5, 1]), 5)
+    assert got.tolist() == [True, False, True, True]
+    assert not s.repeated_starts(order[:0], shared, np.ones(4, int), 5).any()
+
+
 def test_awkward_and_empty(spark):
     rows = [(r[0], r[1]) for r in awkward()]
     assert run(frame(spark), 40) == brute(rows, 40)
