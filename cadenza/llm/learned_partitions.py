@@ -10,6 +10,16 @@ neighbours, and on down the ranking while these hold too few vectors to
 fill its list. In these partitions the query meets every vector and is ranked
 by the exact cosine.
 
+The partitions grow in number with the vectors: one that holds more than
+``LEAF_ROWS`` vectors, and more than ``LEAF_ROOT`` times the root of their
+number, is cut again by a router fitted on a sample of its own vectors, one
+task for each, so routers form a tree of at most ``LEVELS`` levels. The
+share of a tree is fitted anew, on the true neighbours of ``CALIBRATE``
+vectors among all rows, found in one pass. A tree has about 1/16 of the
+root of the number of vectors as leaves, which bounds what tasks are sent
+(a router is about 50 kB for 64 components; a billion vectors have about
+60 of them).
+
 A partition is dealt into blocks of index vectors and blocks of queries,
 by counts taken beforehand, so a popular partition (a third of all vectors
 may be copies of one) is many tasks of bounded size. A task returns the
@@ -24,7 +34,8 @@ all are returned.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import pickle
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +52,10 @@ PARTITIONS = 32
 NEIGHBOURS = 10
 RECALL = 0.95
 HIDDEN, STEPS, RATE = 64, 300, 0.01
+#: A partition of more vectors than both bounds allow is cut again.
+LEAF_ROWS, LEAF_ROOT, LEVELS = 32_768, 32, 8
+#: Vectors whose true neighbours set the share of a tree.
+CALIBRATE = 256
 #: Index vectors and queries that meet in one task at most (about).
 INDEX_BLOCK, QUERY_BLOCK = 4096, 8192
 #: Tables of repeated ids are broadcast up to this many rows.
@@ -106,10 +121,13 @@ def balanced_partitions(graph: np.ndarray, parts: int, seed: int = 6) -> np.ndar
 
 @dataclass
 class Router:
-    """The classifier and the share of probability a query is routed by."""
+    """The classifier and the share of probability a query is routed by;
+    ``children`` are the routers of partitions that are cut again. Leaves
+    are the partitions that are not, numbered from 0 in order."""
     layers: list[np.ndarray]
     share: float
     dim: int
+    children: dict[int, Router] = field(default_factory=dict)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         a, b, c, d = self.layers
@@ -126,17 +144,72 @@ class Router:
         out[rows, order] = np.cumsum(ranked, axis=1) - ranked
         return out
 
-    def asked(self, p: np.ndarray, held: np.ndarray | None = None, least: int = 0) -> np.ndarray:
-        """Whether each partition is asked: by the share, and where ``held``
-        vectors a partition are given, until ``least`` are reached."""
-        out = self.before(p) <= self.share
-        if held is not None:
+    def leaves(self) -> list[tuple[Router, int]]:
+        """(router, partition) of every leaf."""
+        return [leaf for part in range(len(self.layers[-1])) for leaf in
+                (self.children[part].leaves() if part in self.children else [(self, part)])]
+
+    def _first(self) -> np.ndarray:
+        """Number of the first leaf in each partition."""
+        size = np.ones(len(self.layers[-1]), int)
+        for part, child in self.children.items():
+            size[part] = len(child.leaves())
+        return np.cumsum(size) - size
+
+    def home(self, u: np.ndarray) -> np.ndarray:
+        """The leaf that each vector is indexed in."""
+        best = self.probabilities(u).argmax(1)
+        out = self._first()[best]
+        for part, child in self.children.items():
+            at = np.flatnonzero(best == part)
+            if len(at):
+                out[at] += child.home(u[at])
+        return out
+
+    def needed(self, q: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The share from which each query reaches the home of its vector."""
+        best = self.probabilities(u).argmax(1)
+        out = self.before(self.probabilities(q))[np.arange(len(q)), best]
+        for part, child in self.children.items():
+            at = np.flatnonzero(best == part)
+            if len(at):
+                out[at] = np.maximum(out[at], child.needed(q[at], u[at]))
+        return out
+
+    def chances(self, u: np.ndarray) -> np.ndarray:
+        """Probability of every leaf."""
+        p = self.probabilities(u)
+        return np.hstack([p[:, [part]] * self.children[part].chances(u) if part in self.children else p[:, [part]]
+                          for part in range(p.shape[1])])
+
+    def _within(self, u: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+        rows, parts = np.nonzero(self.before(self.probabilities(u)) <= share)
+        first = self._first()
+        plain = ~np.isin(parts, list(self.children))
+        found = [(rows[plain], first[parts[plain]])]
+        for part, child in self.children.items():
+            at = rows[parts == part]
+            if len(at):
+                r, leaf = child._within(u[at], share)
+                found.append((at[r], first[part] + leaf))
+        return tuple(np.concatenate(side) for side in zip(*found))
+
+    def asked(self, u: np.ndarray, held: np.ndarray | None = None, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of the leaves asked: by the share, and where ``held``
+        vectors a leaf are given, on by probability until ``least`` are
+        reached."""
+        row, leaf = self._within(u, self.share)
+        if held is None:
+            return row, leaf
+        short = np.flatnonzero(np.bincount(row, held[leaf], len(u)) < least)
+        pairs = [np.stack([row, leaf])]
+        for i in range(0, len(short), 256):
+            p = self.chances(u[short[i:i + 256]])
             order = np.argsort(-p, axis=1, kind="stable")
             ranked = held[order]
-            short = np.zeros_like(out)
-            short[np.arange(len(p))[:, None], order] = np.cumsum(ranked, axis=1) - ranked < least
-            out |= short & (held > 0)
-        return out
+            r, at = np.nonzero((np.cumsum(ranked, axis=1) - ranked < least) & (ranked > 0))
+            pairs.append(np.stack([short[i + r], order[r, at]]))
+        return tuple(np.unique(np.concatenate(pairs, axis=1), axis=1)) if len(short) else (row, leaf)
 
 
 def _train(u: np.ndarray, goal: np.ndarray, seed: int = 6) -> list[np.ndarray]:
@@ -216,38 +289,50 @@ def _matrix(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(router: Router, every: int, held=None, least: int = 0):
+    leaves = len(router.leaves())
+
     def run(batches):
         for batch in batches:
             ids, x = _matrix(batch, router.dim)
             if not len(ids):
                 continue
-            p = router.probabilities(_unit(x))
-            n = np.bincount(p.argmax(1), minlength=p.shape[1])
-            asked = (router.asked(p, held, least) & (ids % every == 0)[:, None]).sum(0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(p.shape[1])), pa.array(n.astype(np.int64)),
+            u = _unit(x)
+            n = np.bincount(router.home(u), minlength=leaves)
+            asked = np.bincount(router.asked(u[ids % every == 0], held, least)[1], minlength=leaves)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(leaves)), pa.array(n.astype(np.int64)),
                                               pa.array(asked.astype(np.int64))], ["part", "n", "asked"])
     return run
 
 
+def _counted(rows: DataFrame, router: Router, every: int, *reach) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and queries of every leaf."""
+    n, asked = np.zeros(len(router.leaves()), int), np.zeros(len(router.leaves()), int)
+    for r in rows.mapInArrow(_counts(router, every, *reach), "part bigint, n bigint, asked bigint") \
+            .groupBy("part").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")).collect():
+        n[r["part"]], asked[r["part"]] = r["n"], r["asked"]  # a row for each leaf of the router
+    return n, asked
+
+
 def _deal(router: Router, every: int, base, n_blocks, q_blocks, held=None, least: int = 0):
     """Rows for the tasks: index vectors to each query block of their
-    partition, queries to each index block of the partitions asked."""
+    leaf, queries to each index block of the leaves asked."""
 
     def run(batches):
         for batch in batches:
             ids, x = _matrix(batch, router.dim)
             if not len(ids):
                 continue
-            p = router.probabilities(_unit(x))
+            u = _unit(x)
             h = (xxh64_of_long(ids.astype(np.int64)) >> np.uint64(1)).astype(np.int64)
-            home = p.argmax(1)
+            home = router.home(u)
             copies = q_blocks[home]
             row = np.repeat(np.arange(len(ids)), copies)
             j = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
             task = base[home[row]] + (h[row] % n_blocks[home[row]]) * q_blocks[home[row]] + j
             yield _rows(task, False, ids, x, row)
-            asked = router.asked(p, held, least) & (ids % every == 0)[:, None]
-            row, part = np.nonzero(asked)
+            queries = np.flatnonzero(ids % every == 0)
+            row, part = router.asked(u[queries], held, least)
+            row = queries[row]
             copies = n_blocks[part]
             at = np.repeat(np.arange(len(row)), copies)
             i = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
@@ -308,36 +393,110 @@ def fit(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     return fit_router(np.array([r["v"] for r in rows if len(r["v"]) == dim], float), parts)
 
 
+def _draw(router: Router, rates: np.ndarray):
+    """The share ``rates`` of the vectors of each leaf, by their ids."""
+    def run(batches):
+        for batch in batches:
+            ids, x = _matrix(batch, router.dim)
+            if not len(ids):
+                continue
+            home = router.home(_unit(x))
+            at = np.flatnonzero(xxh64_of_long(ids.astype(np.int64)) / 2.0**64 < rates[home])
+            yield pa.RecordBatch.from_arrays([pa.array(home[at].astype(np.int64)),
+                                              pa.array([v.tobytes() for v in x[at]], pa.binary())], ["leaf", "vec"])
+    return run
+
+
+def _fit_leaf(dim: int, parts: np.ndarray):
+    def run(table: pa.Table) -> pa.Table:
+        leaf = table.column("leaf")[0].as_py()
+        x = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float64).reshape(-1, dim)
+        return pa.table({"leaf": [leaf], "router": [pickle.dumps(fit_router(x, int(parts[leaf])))]})
+    return run
+
+
+def _nearest_to(q_ids: np.ndarray, q: np.ndarray, k: int):
+    """The ``k`` nearest vectors of a task to each of a few queries."""
+    def run(batches):
+        best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros((0, q.shape[1])))] * len(q)
+        for batch in batches:
+            ids, x = _matrix(batch, q.shape[1])
+            if not len(ids):
+                continue
+            s = q @ _unit(x).T
+            s[q_ids[:, None] == ids[None, :]] = -np.inf
+            for i, (score, own, vec) in enumerate(best):
+                top = np.argpartition(-s[i], min(k, len(ids)) - 1)[:k]
+                score, own = np.concatenate([score, s[i, top]]), np.concatenate([own, ids[top]])
+                keep = np.lexsort((own, -score))[:k]
+                best[i] = score[keep], own[keep], np.concatenate([vec, x[top]])[keep]
+        for i, (score, own, vec) in enumerate(best):
+            real = score > -np.inf
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(real.sum(), i)), pa.array(score[real]), pa.array(own[real].astype(np.int64)),
+                 pa.array([v.tobytes() for v in vec[real]], pa.binary())], ["query", "score", "id", "vec"])
+    return run
+
+
+def grow(rows: DataFrame, router: Router) -> Router:
+    """Cuts the partitions of ``router`` again that hold too many of the
+    vectors ``id, v`` (one row of each id), until none does or none can be
+    cut (copies of one vector cannot), and fits the share of the tree."""
+    for _ in range(LEVELS):
+        n, _ = _counted(rows, router, 1 << 62)
+        most = max(LEAF_ROWS, LEAF_ROOT * int(np.sqrt(n.sum())))
+        wide = n > most
+        if not wide.any():
+            break
+        drawn = rows.mapInArrow(_draw(router, np.where(wide, SAMPLE_ROWS / np.maximum(n, 1), 0.0)), "leaf bigint, vec binary")
+        parts = np.clip(-(-2 * n // most), 2, PARTITIONS)
+        fitted = drawn.groupBy("leaf").applyInArrow(_fit_leaf(router.dim, parts), "leaf bigint, router binary").collect()
+        places, cut = router.leaves(), False
+        for r in fitted:  # a router for each leaf that is cut
+            child = pickle.loads(r["router"])
+            if len(child.layers[-1]) > 1:
+                parent, part = places[r["leaf"]]
+                parent.children[part], cut = child, True
+        if not cut:
+            break
+    if router.children:
+        few = rows.orderBy(F.xxhash64("id", F.lit("calibrate")), "id").limit(CALIBRATE).collect()
+        q = _unit(np.array([r["v"] for r in few], float))
+        near = rows.mapInArrow(_nearest_to(np.array([r["id"] for r in few]), q, NEIGHBOURS),
+                               "query bigint, score double, id bigint, vec binary")
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+        near = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= NEIGHBOURS).collect()
+        x = np.frombuffer(b"".join(r["vec"] for r in near), np.float64).reshape(-1, router.dim)
+        router.share = float(np.quantile(router.needed(q[[r["query"] for r in near]], _unit(x)), RECALL)) + 1e-12
+    return router
+
+
+def _rows_of(vectors: DataFrame, router: Router, id_col: str, vec_col: str) -> DataFrame:
+    return _one_vector_each(_valid(vectors, id_col, vec_col).filter(F.size("v") == router.dim))
+
+
 def search(vectors: DataFrame, router: Router | None, k: int = 5, every: int = 50,
            id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest found of every
     row whose id is divisible by ``every``."""
-    spark = vectors.sparkSession
-    out = "query_id bigint, vec_id bigint, score double"
     if router is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows = _one_vector_each(_valid(vectors, id_col, vec_col).filter(F.size("v") == router.dim))
-
-    def counted(*reach):
-        n, asked = np.zeros(parts, int), np.zeros(parts, int)
-        for r in rows.mapInArrow(_counts(router, every, *reach), "part bigint, n bigint, asked bigint") \
-                .groupBy("part").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")).collect():
-            n[r["part"]], asked[r["part"]] = r["n"], r["asked"]  # a row for each partition of the router
-        return n, asked
-
-    parts = router.layers[-1].shape[0]
-    n, asked = counted()
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    return _found(_rows_of(vectors, router, id_col, vec_col), router, k, every)
+
+
+def _found(rows: DataFrame, router: Router, k: int, every: int) -> DataFrame:
+    n, asked = _counted(rows, router, every)
     reach = ()
-    if n.min() <= k:  # a query may need more partitions than its share; it never finds itself
+    if n.min() <= k:  # a query may need more leaves than its share; it never finds itself
         reach = (n, k + 1)
-        n, asked = counted(*reach)
+        n, asked = _counted(rows, router, every, *reach)
     n_blocks, q_blocks = -(-n // INDEX_BLOCK), -(-asked // QUERY_BLOCK)
     n_blocks = np.maximum(n_blocks, 1)
     tasks = n_blocks * q_blocks
     base = np.cumsum(tasks) - tasks
     dealt = rows.mapInArrow(_deal(router, every, base, n_blocks, q_blocks, *reach),
                             "task bigint, query boolean, id bigint, vec binary")
-    found = dealt.groupBy("task").applyInArrow(_best(k), out)
+    found = dealt.groupBy("task").applyInArrow(_best(k), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")
@@ -345,12 +504,16 @@ def search(vectors: DataFrame, router: Router | None, k: int = 5, every: int = 5
 
 def search_each_length(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
                        vec_col: str = "embedding", parts: int = PARTITIONS) -> DataFrame:
-    """:func:`search` among the vectors of each length, with a router of
-    their own: vectors of different lengths have no cosine."""
+    """:func:`search` among the vectors of each length, with a tree of
+    routers of their own: vectors of different lengths have no cosine."""
     usable = _valid(vectors, id_col, vec_col)
     out = None
     for size in sorted(r["n"] for r in usable.select(F.size("v").alias("n")).distinct().collect()):
         own = vectors.filter(F.size(vec_col) == size)
-        found = search(own, fit(own, id_col, vec_col, parts), k, every, id_col, vec_col)
+        router = fit(own, id_col, vec_col, parts)
+        if router is None:
+            continue
+        rows = _rows_of(own, router, id_col, vec_col)
+        found = _found(rows, grow(rows, router), k, every)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else search(vectors, None, k, every, id_col, vec_col)

@@ -138,3 +138,77 @@ def test_vectors_of_every_length_are_searched(spark):
     assert right >= 0.9 * len(best)
     none = p.search_each_length(spark.createDataFrame([], "vec_id long, embedding array<double>"))
     assert none.count() == 0 and none.columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def clustered(n, seed=5):
+    rng = np.random.default_rng(seed)
+    return rng.standard_normal((n // 40, 16))[rng.integers(0, n // 40, n)] + 0.3 * rng.standard_normal((n, 16))
+
+
+def test_partitions_grow_with_the_vectors(spark, monkeypatch):
+    """More vectors, more leaves: the share of all vectors that a query
+    meets falls, and recall stays."""
+    monkeypatch.setattr(p, "LEAF_ROWS", 150)
+    monkeypatch.setattr(p, "LEAF_ROOT", 1)
+    share = []
+    for n in (5_000, 20_000):
+        x = clustered(n)
+        df = p._valid(frame(spark, range(n), x).repartition(4), "vec_id", "embedding")
+        router = p.grow(df, p.fit_router(x[:2000]))
+        held, _ = p._counted(df, router, 100)
+        assert held.sum() == n and len(held) == len(router.leaves())
+        row, leaf = router.asked(p._unit(x[::100]))
+        share.append(held[leaf].sum() / (n * len(x[::100])))
+        got, want = found(p._found(df, router, 5, 100)), brute(np.arange(n), x, 5, 100)
+        assert set(got) == set(want)
+        assert sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+        assert len(held) > 32 and router.children
+    assert share[1] < 0.7 * share[0], share
+
+
+def test_a_tree_by_plain_python():
+    """Leaf numbers, chances and the share needed, leaf by leaf."""
+    rng = np.random.default_rng(7)
+    root = p.fit_router(rng.standard_normal((400, 6)), 4)
+    root.children = {1: p.fit_router(rng.standard_normal((300, 6)), 3), 3: p.fit_router(rng.standard_normal((300, 6)), 2)}
+    root.children[1].children = {2: p.fit_router(rng.standard_normal((300, 6)), 2)}
+    u = p._unit(rng.standard_normal((50, 6)))
+    places = root.leaves()
+    assert len(places) == 8 and places[1] == (root.children[1], 0)
+    assert root.chances(u).sum(1) == pytest.approx(1.0)
+    home = root.home(u)
+    for i, v in enumerate(u):
+        node, path = root, []
+        while True:
+            best = int(node.probabilities(v[None])[0].argmax())
+            path.append((node, best))
+            if best not in node.children:
+                break
+            node = node.children[best]
+        assert places[home[i]] == path[-1]
+        q = u[(i + 1) % 50][None]
+        need = max(node.before(node.probabilities(q))[0, best] for node, best in path)
+        assert root.needed(q, v[None])[0] == pytest.approx(need)
+        root.share = need + 1e-9
+        assert home[i] in root.asked(q)[1]
+        root.share = need - 1e-9
+        assert home[i] not in root.asked(q)[1]
+    root.share = -1.0  # nothing by the share: on by chance until three are held
+    held = np.array([0, 1, 5, 0, 2, 1, 0, 1])
+    row, leaf = root.asked(u, held, 3)
+    for i in range(50):
+        order, want, n = np.argsort(-root.chances(u[i:i + 1])[0], kind="stable"), set(), 0
+        for j in order:
+            if n < 3 and held[j]:
+                want.add(j)
+                n += held[j]
+        assert set(leaf[row == i]) == want
+
+
+def test_copies_of_one_vector_are_not_cut(spark, monkeypatch):
+    monkeypatch.setattr(p, "LEAF_ROWS", 50)
+    monkeypatch.setattr(p, "LEAF_ROOT", 1)
+    x = np.tile([[1.0, 2.0, 3.0]], (600, 1))
+    got = found(p.search_each_length(frame(spark, range(600), x), 5, 50))
+    assert [v for v, _ in got[0]] == [1, 2, 3, 4, 5] and [v for v, _ in got[50]] == [0, 1, 2, 3, 4]
+    assert len(got) == 12
