@@ -11,8 +11,10 @@ where the running total of words reaches the budget.
 Running totals never take one task for a source: a source's documents are
 dealt into ranges of their shuffle key, in number by the source's
 documents; a range is summed by itself and starts at the total of the
-ranges before it. The global order is ranged by finish time the same way,
-and only the one range in which the budget falls is looked at row by row.
+ranges before it. The global order is ranged by finish time the same way;
+the range in which the budget falls is cut again until it holds at most
+``EDGE_ROWS`` entries, and only these are looked at row by row. The shuffle
+key is made of id and text, so rows without an id are dealt like others.
 
 Defined results: a null or empty text has size 0 and is never taken; a
 null source is a source, the last; repeated rows are separate documents; an
@@ -31,8 +33,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Per-source and per-range totals are broadcast up to this many rows, and
 #: shuffled beyond it.
 BROADCAST_ROWS = 100_000
-#: Ranges of virtual finish time, over the times up to 1.
+#: Ranges of virtual finish time, over the times up to 1, and of a range that
+#: holds more entries than one task is to sort; the finest are 4096^-4 wide.
 TIME_RANGES = 4096
+EDGE_ROWS, EDGE_LEVELS = 100_000, 4
 
 
 def size_of(text: Column) -> Column:
@@ -81,7 +85,8 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: int = 2,
     """``keep`` (default: id and source), ``size, source_size, target, taken``
     and ``finish`` (virtual time of the first pass) of every row."""
     keep = keep or [id_col, "source"]
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"),
+                         F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     rows = docs.withColumn("size", size_of(F.col(text_col))).select(*keep, "size", key.alias("shuffle_key"))
     rows = checkpoint(rows)
     # null-safe joins on the source: a key column that is never null
@@ -109,7 +114,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: int = 2,
     finish = [(F.col("cum") + e * F.col("source_size")) / F.nullif(F.col("target"), F.lit(0.0))
               for e in range(repeats)]
     timed = checkpoint(timed.select(*keep, "size", "source_size", "target", "shuffle_key", "rank",
-                                    *(f.alias(f"finish{e}") for e, f in enumerate(finish))), gather=True)
+                                    *(f.alias(f"finish{e}") for e, f in enumerate(finish))))
     cut = _cut(timed, repeats, budget) if budget else None
     taken = F.lit(0)
     for e in range(repeats if cut else 0):
@@ -119,34 +124,34 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: int = 2,
                         F.col("finish0").alias("finish"))
 
 
-def _slot(finish: Column) -> Column:
-    # the targets together are the budget, so the cut is near time 1
-    return F.least(F.floor(finish * TIME_RANGES), F.lit(2 * TIME_RANGES)).cast("bigint")
-
-
 def _cut(timed: DataFrame, repeats: int, budget: float):
     """(finish, shuffle_key, rank) of the last entry within the budget."""
     entries = timed.filter(F.col("size") > 0).select(
         "size", "shuffle_key", "rank", F.explode(F.array(*(f"finish{e}" for e in range(repeats)))).alias("finish"))
-    entries = entries.withColumn("slot", _slot(F.col("finish")))
-    slots = entries.groupBy("slot").agg(F.sum("size").alias("slot_size"))
-    upto = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.withColumn("ahead", F.coalesce(F.sum("slot_size").over(upto), F.lit(0)))
-    last = slots.filter(F.col("ahead") <= budget).agg(F.max(F.struct("slot", "ahead"))).first()[0]
-    if last is None:
-        return None
+    rows, start, ahead = entries, 0.0, 0
+    for level in range(EDGE_LEVELS):
+        # the targets together are the budget, so the cut is near time 1
+        slot = F.floor((F.col("finish") - start) * float(TIME_RANGES)**(level + 1))
+        slotted = rows.withColumn("slot", F.least(slot, F.lit(2 * TIME_RANGES)).cast("bigint"))
+        slots = slotted.groupBy("slot").agg(F.sum("size").alias("slot_size"), F.count("*").alias("n"))
+        upto = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+        slots = slots.withColumn("ahead", F.lit(ahead) + F.coalesce(F.sum("slot_size").over(upto), F.lit(0)))
+        last = slots.filter(F.col("ahead") <= budget).agg(F.max(F.struct("slot", "ahead", "n"))).first()[0]
+        if last is None:
+            return None
+        rows, ahead = slotted.filter(F.col("slot") == last["slot"]).drop("slot"), last["ahead"]
+        start += last["slot"] / float(TIME_RANGES)**(level + 1)
+        if last["n"] <= EDGE_ROWS or last["slot"] == 2 * TIME_RANGES:
+            break
     order = ["finish", "shuffle_key", "rank"]
-
-    def edge(slot, start):
-        rows = entries.filter(F.col("slot") == slot)
-        running = start + F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-        # an entry is in when at least half of it is within the budget
-        rows = rows.withColumn("running", running).filter(F.col("running") - F.col("size") / 2 <= budget)
-        return rows.agg(F.max(F.struct(*order))).first()[0]
-
-    found = edge(last["slot"], last["ahead"])
+    running = ahead + F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    # an entry is in when at least half of it is within the budget
+    within = rows.withColumn("running", running).filter(F.col("running") - F.col("size") / 2 <= budget)
+    found = within.agg(F.max(F.struct(*order))).first()[0]
     if found is None:  # the first entry of the range is out already
-        found = entries.filter(F.col("slot") < last["slot"]).agg(F.max(F.struct(*order))).first()[0]
+        first = rows.agg(F.min(F.struct(*order))).first()[0]
+        before = F.struct(*order) < F.struct(*(F.lit(first[c]).alias(c) for c in order))
+        found = entries.filter(before).agg(F.max(F.struct(*order))).first()[0]
     return found
 
 

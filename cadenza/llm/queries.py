@@ -32,8 +32,9 @@ def query(name: str, sql: str | None = None):
 
 
 @query("op1_mixing", r"""
-with docs as (
-    select doc_id, source, md5('mix:' || coalesce(doc_id::varchar, '')) as shuffle_key,
+with docs as materialized (
+    select row_number() over () as rid, doc_id, source,
+        md5('mix:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as shuffle_key,
         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size
     from documents),
 per as (select source, sum(size)::bigint as source_size from docs group by source),
@@ -56,7 +57,7 @@ per_source as (
         case when any_rest is null then cap else least(cap, final * weight) end as target
     from filled),
 timed as (
-    select d.doc_id, d.size, d.shuffle_key, p.rnk, p.source_size, p.target, p.budget,
+    select d.rid, d.doc_id, d.size, d.shuffle_key, p.rnk, p.source_size, p.target, p.budget,
         sum(d.size) over (partition by p.rnk order by d.shuffle_key, d.size
             rows between unbounded preceding and current row) as cum
     from docs d join per_source p on d.source is not distinct from p.source),
@@ -64,14 +65,13 @@ entries as (
     select *, (cum + e * source_size) / nullif(target, 0) as finish from timed, (values (0), (1)) as p(e)
     where size > 0),
 run as (
-    select doc_id, rnk, size, shuffle_key,
+    select rid, size,
         sum(size) over (order by finish, shuffle_key, rnk rows between unbounded preceding and current row)
         - size / 2.0 <= budget as inside
     from entries),
-took as (select doc_id, rnk, size, shuffle_key, sum(case when inside then size else 0 end) as taken from run group by all)
+took as (select rid, sum(case when inside then size else 0 end) as taken from run group by rid)
 select t.doc_id, t.size, t.source_size::bigint as source_size, t.target, coalesce(k.taken, 0)::bigint as taken
-from timed t left join took k
-    on t.doc_id is not distinct from k.doc_id and t.rnk = k.rnk and t.size = k.size
+from timed t left join took k on t.rid = k.rid
 """)
 def op1(spark, sf_dir):
     return mixing.plan(table(spark, sf_dir, "documents")).select(

@@ -1,10 +1,12 @@
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm import mixing
+from cadenza.llm import mixing, queries
 from tests.llm.frames import as_set, awkward, empty, frame
+from tools.oracle_check import compare
 
 
 def water_fill(sizes, weights, budget):
@@ -69,3 +71,25 @@ def test_empty(spark):
     assert mixing.mix(empty(spark)).count() == 0
     blank = frame(spark, [(1, None, None, None, None), (2, "  ", "en", "a", 0)])
     assert [r["taken"] for r in mixing.plan(blank).collect()] == [0, 0]
+
+
+def test_the_edge_is_cut_until_it_is_small(spark, monkeypatch):
+    rows = [(i if i % 5 else None, "w " * (i % 9 + 1) + str(i % 700), "en", "hot" if i % 3 else f"s{i % 4}", 1)
+            for i in range(3000)]
+    cols = ["doc_id", "size", "taken"]
+    want = as_set(mixing.plan(frame(spark, rows)).select(cols))
+    monkeypatch.setattr(mixing, "TIME_RANGES", 5)
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 4)
+    assert as_set(mixing.plan(frame(spark, rows)).select(cols)) == want
+
+
+def test_rows_without_an_id_are_dealt_like_others(spark):
+    """Their shuffle keys differ by text, and the result equals the SQL."""
+    rows = [(None, "w " * (i % 7 + 1) + str(i), "en", f"s{i % 2}", 1) for i in range(600)]
+    got = mixing.plan(frame(spark, rows))
+    assert got.select("finish", "source").distinct().count() == 600
+    con = duckdb.connect()
+    con.register("documents", frame(spark, rows, extra=False).toPandas())
+    cols = ["doc_id", "size", "source_size", "target", "taken"]
+    status, msg = compare(got.select(cols).toPandas(), con.execute(queries.ORACLES["op1_mixing"]).fetchdf())
+    assert status == "OK", msg
