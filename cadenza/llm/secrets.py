@@ -41,8 +41,8 @@ LEAST = {"assign": 12, "access": 18, "hex": 16, "account": 3, "opaque": 20, "end
 #: Code points between a weak candidate and a part that completes it; also
 #: the width of a bin.
 SCOPE = 200
-#: Tables of findings are broadcast up to this many rows.
-BROADCAST_ROWS = 100_000
+#: Tables of findings are broadcast up to this many spans, in all rows.
+BROADCAST_SPANS = 100_000
 MASK = "[REDACTED]"
 
 
@@ -114,7 +114,7 @@ def spans(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     end = F.sum(F.col("m.gap").cast("bigint") + F.col("m.len")).over(upto)
     parts = rows.select("doc", "text_key", "kind", "m.ok", end.alias("end"),
                         (end - F.col("m.len")).alias("start")).filter("ok").drop("ok")
-    parts = checkpoint(parts, gather=True)
+    parts = checkpoint(parts)
     strong = parts.filter(F.col("kind") < 3)
     return strong.unionByName(_linked(parts))
 
@@ -168,16 +168,21 @@ def _joined(kinds: Column, keep) -> Column:
         ":", F.element_at(names, r["kind"] + 1), r["start"].cast("string"), r["end"].cast("string"))), ",")
 
 
+def _spans_in(per: DataFrame, col: str) -> int:
+    """Spans in the arrays of a table, each with at least one."""
+    return per.agg(F.sum(F.size(col))).first()[0] or 0
+
+
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col`` and ``found``, an array of
     (start, kind, end)."""
     scanned = checkpoint(scan(docs, id_col, text_col))
     per = spans(scanned, id_col).groupBy("doc", "text_key").agg(
         F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("found"))
-    per = checkpoint(per, gather=True)
+    per = checkpoint(per)
     doc = F.coalesce(F.concat(F.lit("d"), F.col(id_col).cast("string")), F.lit(""))
     rows = scanned.select(id_col, doc.alias("doc"), "text_key")
-    small = F.broadcast(per) if per.count() <= BROADCAST_ROWS else per
+    small = F.broadcast(per) if _spans_in(per, "found") <= BROADCAST_SPANS else per
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     return rows.join(small, ["doc", "text_key"], "left").select(
         id_col, F.coalesce("found", none).alias("found"))
@@ -210,8 +215,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = rows.withColumn("run", F.sum(fresh).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     cuts = rows.groupBy(*key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")) \
         .groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    cuts = checkpoint(cuts.withColumnsRenamed({"doc": "__doc", "text_key": "__text_key", "cuts": "__cuts"}), gather=True)
-    small = F.broadcast(cuts) if cuts.count() <= BROADCAST_ROWS else cuts
+    cuts = checkpoint(cuts.withColumnsRenamed({"doc": "__doc", "text_key": "__text_key", "cuts": "__cuts"}))
+    small = F.broadcast(cuts) if _spans_in(cuts, "__cuts") <= BROADCAST_SPANS else cuts
     text = F.col(text_col)
     doc = F.coalesce(F.concat(F.lit("d"), F.col(id_col).cast("string")), F.lit(""))
     on = (doc == F.col("__doc")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__text_key"))

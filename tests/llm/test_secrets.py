@@ -35,7 +35,7 @@ def test_equals_sql(spark, texts):
 
 def test_tables_by_shuffle_agree(spark, texts, monkeypatch):
     want = as_set(secrets.digest(secrets.report(frame(spark, texts))))
-    monkeypatch.setattr(secrets, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(secrets, "BROADCAST_SPANS", -1)
     assert as_set(secrets.digest(secrets.report(frame(spark, texts)))) == want
 
 
