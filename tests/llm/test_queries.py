@@ -24,7 +24,10 @@ COLUMNS = {
     "op8_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op9_substring_dedup": "doc_id n_words n_removed kept_sha256",
     "op10_simhash": "doc_id fingerprint component_id",
-    "pipeline": "doc_id n_tokens ids",
+    "op11_token_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op12_html_text": "page_id url text n_chars",
+    "op13_whitening": "vec_id component n deviation whitened explained identity_error",
+    "pipeline": "doc_id n_tokens ids decoded_sha256",
 }
 
 
@@ -53,10 +56,18 @@ def test_all_are_registered():
 def test_columns_and_rows(got, docs, name):
     out = got(name)
     assert set(COLUMNS[name].split()) <= set(out.columns)
-    if name not in ("pipeline", "op6_learned_partitions"):
+    if name not in ("pipeline", "op6_learned_partitions", "op12_html_text", "op13_whitening"):
         assert sorted(out["doc_id"]) == sorted(docs)
 
 
+def test_a_row_of_every_page_and_component(spark, got):
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet").toPandas()
+    assert sorted(got("op12_html_text")["page_id"]) == sorted(pages["page_id"])
+    vectors = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").toPandas()
+    out = got("op13_whitening")
+    assert sorted(zip(out["vec_id"], out["component"])) == sorted((v, c) for v in vectors["vec_id"] for c in range(1, 17))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(got, name):
     con = duckdb.connect()
