@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from cadenza.schema import (ALERT_TITLE, ERROR_CLASSES, FILE_OUTCOMES, KIND_CLASS,  # noqa: F401
                             SEVERITY_COLOURS, SEVERITY_HIGH_ABOVE, SEVERITY_MEDIUM_ABOVE)
+from cadenza.session import checkpoint
 
 FAILED = "failed"
 
@@ -216,14 +217,20 @@ def file_outcomes(files: DataFrame, stats: DataFrame, file_col: str,
                     outcome.alias("outcome"))
 
 
+#: Counts of up to this many files are sent to every task.
+SENT_FILES = 100_000
+
+
 def route(evaluated: DataFrame, suite: list[Expectation], file_col: str,
           failed_col: str = FAILED) -> DataFrame:
     """Route each row: whole file good when all rows pass, whole file bad
     when none pass, else ``valid_``/``invalid_`` halves.
 
     The per-file counts are a small aggregate joined back on the file
-    name; AQE broadcasts it when its measured size is small and otherwise
-    splits a skewed file's partition in the sort-merge join.
+    name. They are made first: counts of up to ``SENT_FILES`` files are sent
+    to the tasks that read the rows, so that rows are not dealt by a few file
+    names; counts of more files meet the rows in a sort-merge join, where AQE
+    splits a skewed file's partition.
     """
     if failed_col in evaluated.columns:
         ok = row_valid(failed_col)
@@ -236,7 +243,9 @@ def route(evaluated: DataFrame, suite: list[Expectation], file_col: str,
               .agg(F.count(F.lit(1)).alias("_total"),
                    F.count_if(F.col("_ok")).alias("_valid")))
     # null-safe: rows without a file name are routed as one unnamed file
-    counts = counts.withColumnRenamed(file_col, "_file")
+    counts = checkpoint(counts.withColumnRenamed(file_col, "_file"))
+    if counts.count() <= SENT_FILES:
+        counts = F.broadcast(counts)
     j = evaluated.join(counts, F.col(file_col).eqNullSafe(F.col("_file")), "inner")
     ok = F.col("_ok")
     name = F.col(file_col).cast("string")

@@ -100,3 +100,21 @@ def test_training_stats_shape(spark):
     d = r["distribution"]
     assert [b["n"] for b in d] == [25, 25, 25, 25]
     assert d[0]["lo"] == 0.0 and d[-1]["hi"] == 99.0
+
+
+def test_routed_rows_are_not_dealt_by_file(spark, monkeypatch):
+    """Counts of few files go to the rows; of many they meet in a join."""
+    df = _rows(spark, [(["a", "b", "c", None][i % 4], float(i % 8)) for i in range(80)], "file string, x double")
+    suite = [E("between", "x", (0.0, 3.0))]
+    monkeypatch.setattr(Q, "SENT_FILES", 0)
+    many = sorted(Q.route(df, suite, "file").collect(), key=str)
+    monkeypatch.undo()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        routed = Q.route(df, suite, "file")
+        plan = routed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert sorted(routed.collect(), key=str) == many and len(many) == 80
